@@ -320,3 +320,124 @@ def registrations(spark, sf_dir):
 
 def logs(spark, sf_dir):
     return loads.load_activity_logs(raw_logs(spark, sf_dir))
+
+
+# Request frames for the bulk jobs ------------------------------------------------------
+
+
+def _later(days: int):
+    return (F.col("date_received") + F.expr(f"INTERVAL {days} DAYS")).alias("requested_at")
+
+
+def _no_notes():
+    return F.lit(None).cast("string").alias("notes")
+
+
+def status_requests(spark, sf_dir):
+    """Status requests with older ones behind them and some for items that do not exist."""
+    source = items(spark, sf_dir).select("id", "status", "quantity", "date_received")
+    names = F.array(*[F.lit(s) for s in S.ITEM_STATUSES])
+    q = F.col("quantity")
+    wanted = F.get(names, (step_index(F.col("status")) + q) % 6)
+    main = source.filter(q % 5 != 0).select(
+        F.concat(F.lit("R"), "id").alias("request_id"), F.col("id").alias("item_id"),
+        wanted.alias("new_status"),
+        F.when(q % 2 == 0, "warehouse_staff").otherwise("super_admin").alias("role"),
+        F.when(q % 3 == 0, "desk").otherwise("ops@example.com").alias("actor"),
+        _later(100), _no_notes(),
+    )
+
+    def others(rows, letter, item_id, days):
+        return rows.select(
+            F.concat(F.lit(letter), "id").alias("request_id"), item_id.alias("item_id"),
+            F.lit(S.COMPLETED).alias("new_status"), F.lit("super_admin").alias("role"),
+            F.lit("ops@example.com").alias("actor"), _later(days), _no_notes(),
+        )
+
+    older = others(source.filter(q % 7 == 0), "Q", F.col("id"), 50)
+    unknown = others(source.filter(q % 11 == 0), "X", F.concat("id", F.lit("?")), 0)
+    return main.unionByName(older).unionByName(unknown)
+
+
+def load_requests(spark, sf_dir):
+    source = items(spark, sf_dir).select("id", "quantity", "container_id", "date_received")
+    size = containers(spark, sf_dir).agg((F.count(F.lit(1)) + 2).alias("_boxes"))
+    q = F.col("quantity")
+
+    def rows(df, letter, item_id, box, days):
+        return df.select(
+            F.concat(F.lit(letter), "id").alias("request_id"), item_id.alias("item_id"),
+            box.cast("bigint").alias("container_id"), _later(days),
+        )
+
+    first = source.filter(q % 2 == 0).crossJoin(F.broadcast(size))
+    return (
+        rows(first, "A", F.col("id"), (q * 7) % F.col("_boxes"), 0)
+        .unionByName(
+            rows(source.filter(q % 3 == 0), "B", F.col("id"), F.coalesce("container_id", F.lit(3)), 1)
+        )
+        .unionByName(
+            rows(source.filter(q % 11 == 0), "X", F.concat("id", F.lit("?")), F.lit(1), 0)
+        )
+    )
+
+
+def sorting_actions(spark, sf_dir):
+    source = items(spark, sf_dir).select("id", "status", "is_missing", "quantity", "date_received")
+    q = F.col("quantity")
+    kind = F.when(q % 3 == 0, "found").when(q % 3 == 1, "missing").otherwise("lost")
+
+    def rows(df, letter, action, days):
+        return df.select(
+            F.concat(F.lit(letter), "id").alias("request_id"), F.col("id").alias("item_id"),
+            action.alias("action"), F.lit("super_admin").alias("role"),
+            F.lit("ops@example.com").alias("actor"), _later(days),
+        )
+
+    main = source.filter((F.col("status") == S.SORTING) | F.col("is_missing"))
+    return rows(main, "R", kind, 100).unionByName(
+        rows(source.filter(q % 7 == 0), "Q", F.lit("missing"), 50)
+    )
+
+
+def box_requests(spark, sf_dir):
+    key = F.col("id")
+    status = (
+        F.when(key % 3 == 0, "Shipped to Ghana").when(key % 3 == 1, "Arrived in Ghana")
+        .otherwise("Loading")
+    )
+    arrival = F.date_add(F.lit("2001-07-01").cast("date"), (key % 30).cast("int"))
+    return containers(spark, sf_dir).filter(key % 4 != 3).select(
+        F.concat(F.lit("C"), _text("id")).alias("request_id"), key.alias("container_id"),
+        status.alias("new_status"),
+        F.when(key % 2 == 0, arrival.cast("timestamp_ntz")).alias("arrival_date"),
+        F.lit("2001-07-02").cast("timestamp_ntz").alias("requested_at"),
+    )
+
+
+def sold_orders(spark, sf_dir):
+    """Orders of which every second one has an invoice with the payment service."""
+    key = F.col("id")
+    quarter = key % 4 == 0
+    return orders(spark, sf_dir).withColumns(
+        {
+            "sale_id": F.when(key % 2 == 0, F.concat(F.lit("S"), _text("id"))),
+            "amount_paid": F.when(quarter, F.lit(50).cast(S.MONEY)),
+            "balance_due": F.when(quarter, (F.col("invoice_amount") - 50).cast(S.MONEY)),
+        }
+    )
+
+
+def snapshot_payloads(spark, sf_dir):
+    """Payment service replies as JSON: three spellings, one in ten without a total."""
+    key = F.col("order_id")
+    total, paid = F.col("total_amount").cast("string"), F.col("amount_paid").cast("string")
+    flat = F.to_json(F.struct(total.alias("total_amount"), paid.alias("amount_paid")))
+    nested = F.to_json(
+        F.struct(F.struct(total.alias("grand_total"), paid.alias("paid")).alias("data"))
+    )
+    broken = F.to_json(F.struct(paid.alias("amount_received")))
+    payload = F.when(key % 10 == 0, broken).when(key % 4 == 0, nested).otherwise(flat)
+    return payments(spark, sf_dir).filter(key % 2 == 0).select(
+        F.concat(F.lit("S"), _text("order_id")).alias("sale_id"), payload.alias("payload")
+    )
