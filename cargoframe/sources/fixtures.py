@@ -10,8 +10,33 @@ from cargoframe.sources import loads
 MARK_PREFIX = "FRT-"
 
 
+BASE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; the stated schema saves a footer job per read."""
+    return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that gives far fewer scan tasks than there are cores is spread over them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
 def _text(column) -> F.Column:
@@ -87,7 +112,7 @@ def raw_items(spark, sf_dir):
         "-", _text("l_orderkey"), _text("l_partkey"), _text("l_suppkey"), line.cast("string"),
         F.col("l_quantity").cast("int").cast("string"),
     )
-    lines = base(spark, sf_dir, "lineitem")
+    lines = spread(base(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = base(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
