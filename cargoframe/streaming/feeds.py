@@ -214,6 +214,7 @@ def transition_stream(
     """
     def apply(batch: DataFrame, number: int):
         session = batch.sparkSession
+        batch = batch.persist()
         base = session.read.parquet(items_path)
         schema = item_delta_schema(base)
         ids = batch.select(F.col("item_id").alias("id"))
@@ -227,6 +228,7 @@ def transition_stream(
         change.history.write.mode("overwrite").parquet(_folder(history_root, number))
         if rejected_root is not None:
             change.rejected.write.mode("overwrite").parquet(_folder(rejected_root, number))
+        batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(apply)
@@ -250,6 +252,7 @@ def payment_stream(
 
     def apply(batch: DataFrame, number: int):
         session = batch.sparkSession
+        batch = batch.persist()
         values = ["total_amount", "sale_paid", "sale_balance"]
         newest = batch.groupBy("sale_id").agg(F.max(F.struct("at", *values)).alias("_s"))
         newest = newest.select("sale_id", *[f"_s.{v}" for v in values])
@@ -263,6 +266,7 @@ def payment_stream(
         changed.select("id", *ORDER_DELTA).write.mode("overwrite").parquet(
             _folder(delta_root, number)
         )
+        batch.unpersist()
 
     return (
         once.writeStream.foreachBatch(apply)
