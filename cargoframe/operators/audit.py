@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.functions.statuses import step_index
 from cargoframe.functions.text import actor_email, blank_to_null, phone_chat
+from cargoframe.operators.skew import HOT_ROWS, join_unique
 from cargoframe.schema import ITEM_STATUSES, RECEIVED, SHIPPED
 
 
@@ -56,7 +57,8 @@ def item_timeline(items: DataFrame, history: DataFrame, containers: DataFrame) -
 
 
 def resolve_log_ids(
-    logs: DataFrame, customers: DataFrame, items: DataFrame, id_pattern: str
+    logs: DataFrame, customers: DataFrame, items: DataFrame, id_pattern: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Replace record ids inside ``details`` by customer mark or name, else item ref.
 
@@ -68,6 +70,7 @@ def resolve_log_ids(
     holders = tagged.filter(F.size("_ids") > 0)
 
     tokens = holders.select("id", F.explode(F.array_distinct("_ids")).alias("_token"))
+    known = tokens.select("_token").distinct()
     names = customers.select(
         F.col("id").cast("string").alias("_token"),
         F.coalesce(blank_to_null(F.col("shipping_mark")), F.col("name")).alias("_customer"),
@@ -76,11 +79,14 @@ def resolve_log_ids(
         F.col("id").cast("string").alias("_token"),
         blank_to_null(F.col("item_ref")).alias("_item"),
     )
-    labelled = tokens.join(names, "_token", "left").join(refs, "_token", "left")
-    label = F.coalesce("_customer", "_item", "_token")
+    labels = known.join(names, "_token", "left").join(refs, "_token", "left").select(
+        "_token", F.coalesce("_customer", "_item", "_token").alias("_label")
+    )
+    # an id that very many logs mention is looked up by broadcast
+    labelled = join_unique(tokens, labels, ["_token"], "inner", hot_rows)
     # one map per log row: its size is the number of ids in that text
     maps = labelled.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_token", label.alias("v")))).alias("_labels")
+        F.map_from_entries(F.collect_list(F.struct("_token", "_label"))).alias("_labels")
     )
     between = F.split("details", id_pattern, -1)
     named = F.transform("_ids", lambda i: F.element_at(F.col("_labels"), i))

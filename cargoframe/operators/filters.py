@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cargoframe.functions.text import contains_any
 from cargoframe.functions.times import between_days, moment, since
+from cargoframe.operators.skew import join_unique
 from cargoframe.schema import RECEIVED
 
 
@@ -140,6 +141,6 @@ def match_customers(customers: DataFrame, probes: DataFrame) -> DataFrame:
     first = pairs.filter("value <> ''").groupBy("kind", "value").agg(
         F.min("id").alias("customer_id")
     )
-    return probes.join(first, ["kind", "value"], "left").select(
+    return join_unique(probes, first, ["kind", "value"], "left").select(
         "probe_id", "kind", "value", "customer_id"
     )

@@ -114,7 +114,8 @@ def cascade_container_status(
 
     Items follow the container (shipped -> shipped, arrived -> sorting); Loading leaves them.
     """
-    current, _ = _newest(requests, "container_id")
+    known = containers.select(F.col("id").alias("container_id"))
+    current, _ = _newest(requests.join(known, "container_id", "left_semi"), "container_id")
     side = current.select(
         F.col("container_id").alias("id"), F.col("new_status").alias("_status"),
         F.col("arrival_date").alias("_arrival"),
@@ -127,9 +128,9 @@ def cascade_container_status(
     ).select(containers.columns)
 
     target = mapped(F.col("new_status"), ITEM_STATUS_FOR_CONTAINER)
-    moves = current.join(
-        containers.select(F.col("id").alias("container_id")), "container_id", "left_semi"
-    ).select("container_id", target.alias("_target"), "requested_at").filter("_target IS NOT NULL")
+    moves = current.select("container_id", target.alias("_target"), "requested_at").filter(
+        "_target IS NOT NULL"
+    )
     joined = items.join(moves, "container_id", "left")
     table = joined.withColumn("status", F.coalesce("_target", "status")).select(items.columns)
     history = None
@@ -242,13 +243,15 @@ def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame) -> d
 
     Deleting a customer removes its logins but keeps its items and orders.
     """
-    ids = ids.select("id").distinct()
+    ids = ids.select("id")
     changed = {f"{kind}s": delete_rows(tables[f"{kind}s"], ids)}
     if kind in ("container", "order"):
         items, link = tables["items"], f"{kind}_id"
-        flagged = _flag(items, ids.withColumn(link, F.col("id")), link)
-        unlinked = F.when(F.col("_flag").isNull(), F.col(link))
-        changed["items"] = flagged.withColumn(link, unlinked).select(items.columns)
+        gone = ids.select(F.col("id").alias(link))
+        cut = items.join(gone, link, "left_semi").withColumn(
+            link, F.lit(None).cast(items.schema[link].dataType)
+        )
+        changed["items"] = items.join(gone, link, "left_anti").select(items.columns).unionByName(cut)
     elif kind == "customer":
         gone = ids.withColumn("customer_id", F.col("id"))
         changed["users"] = delete_rows(tables["users"], gone, "customer_id")

@@ -182,6 +182,6 @@ def phone_country(customers: DataFrame, country_codes) -> DataFrame:
 
 def link_users_by_email(logins: DataFrame, users: DataFrame, customers: DataFrame) -> DataFrame:
     """Logins (login_uid, email) without a user row, matched to the first customer by e-mail."""
-    unknown = logins.join(users.select("login_uid"), "login_uid", "left_anti")
+    unknown = logins.filter("email <> ''").join(users.select("login_uid"), "login_uid", "left_anti")
     first = customers.filter("email <> ''").groupBy("email").agg(F.min("id").alias("customer_id"))
     return unknown.join(first, "email").select("login_uid", "email", "customer_id")

@@ -10,23 +10,28 @@ When no key is hot, adaptive execution drops the hot branch after the count.
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, so that lost executors do not matter."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate results; a temporary one on local[n]."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so that lost executors do not matter."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -107,7 +107,7 @@ def _hot(events: DataFrame, limit: int, length: int) -> DataFrame:
 def rate_limit_labels(
     events: DataFrame, limit: int, seconds: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Events (id, key, at) with ``allowed``; ids are unique, ties in time go by id."""
+    """Events (id, key, at) with ``allowed``; ids are unique, keys set, ties in time go by id."""
     length = seconds * 1_000_000
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     timed = events.select("id", "key", "at", micros.alias("_us"))

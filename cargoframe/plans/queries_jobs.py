@@ -1,9 +1,12 @@
 """Lifecycle jobs, pricing, invoices, audit, quality checks and feeds."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cargoframe.functions.measures import cube_side, discount_amount
 from cargoframe.operators import audit, lifecycle, pricing, quality, throttle, unions
+from cargoframe.operators.skew import shared_folder
 from cargoframe.plans.registry import FX, plain, query
 from cargoframe.plans.views import e164_sql, mark_sql, step_sql
 from cargoframe.sources import fixtures as X
@@ -28,11 +31,14 @@ def _status_change(spark, d):
     return lifecycle.apply_item_status(X.items(spark, d), X.status_requests(spark, d))
 
 
-@query("i1_apply_item_status", f"""{_STATUS}
+_STATUS_TABLE = f"""{_STATUS}
 SELECT i.id, coalesce(j.new_status, i.status) AS status,
  CASE WHEN j.new_status IN ('Arrived in Ghana', 'Sorting', 'Ready for Pickup', 'Completed') THEN FALSE
   ELSE i.is_missing END AS is_missing
-FROM t_items i LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j ON j.item_id = i.id""")
+FROM t_items i LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j ON j.item_id = i.id"""
+
+
+@query("i1_apply_item_status", _STATUS_TABLE)
 def _(spark, d):
     return _status_change(spark, d).table.select("id", "status", "is_missing")
 
@@ -176,7 +182,10 @@ def _snapshots(spark, d):
     return lifecycle.parse_snapshots(X.snapshot_payloads(spark, d))
 
 
-@query("i9_sync_payment_status", f"{_SYNC} SELECT id, coalesce(fresh, status) AS status FROM decided")
+_SYNCED = f"{_SYNC} SELECT id, coalesce(fresh, status) AS status FROM decided"
+
+
+@query("i9_sync_payment_status", _SYNCED)
 def _(spark, d):
     return lifecycle.sync_payment_status(X.sold_orders(spark, d), _snapshots(spark, d))[0].select(
         "id", "status")
@@ -736,3 +745,36 @@ def _(spark, d):
     events = X.base(spark, d, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
     return throttle.rate_limit_labels(events, 2, 86400).select("id", "key", "allowed")
+
+
+def _fed(spark, df, name):
+    """Write a frame as the input of a stream: (stream, folder for its outputs)."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).parquet(f"{root}/in"), root
+
+
+@query("m3_transition_stream", _STATUS_TABLE)
+def _(spark, d):
+    requests, root = _fed(spark, X.status_requests(spark, d), "transitions")
+    X.items(spark, d).select("id", "item_ref", "customer_id", "order_id", "container_id", "status",
+                             "is_missing", "tracking_number", "description").write.parquet(f"{root}/items")
+    feeds.transition_stream(
+        requests, f"{root}/items", f"{root}/delta", f"{root}/history", f"{root}/checkpoint"
+    ).awaitTermination()
+    base = spark.read.parquet(f"{root}/items")
+    deltas = feeds.read_deltas(spark, f"{root}/delta", feeds.item_delta_schema(base))
+    return feeds.current_rows(base, deltas, feeds.ITEM_DELTA).select("id", "status", "is_missing")
+
+
+@query("m4_payment_stream", _SYNCED)
+def _(spark, d):
+    timed = _snapshots(spark, d).withColumn("at", F.lit("2001-08-01").cast("timestamp"))
+    snapshots, root = _fed(spark, timed.unionByName(timed), "payments")
+    X.sold_orders(spark, d).write.parquet(f"{root}/orders")
+    feeds.payment_stream(
+        snapshots, f"{root}/orders", f"{root}/delta", f"{root}/checkpoint"
+    ).awaitTermination()
+    base = spark.read.parquet(f"{root}/orders")
+    deltas = feeds.read_deltas(spark, f"{root}/delta", feeds.order_delta_schema(base))
+    return feeds.current_rows(base, deltas, feeds.ORDER_DELTA).select("id", "status")

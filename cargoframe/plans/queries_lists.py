@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cargoframe.operators import filters, links, listing, unions, windows
+from cargoframe.plans import screens
 from cargoframe.plans.registry import AS_OF, FROM, TO, plain, query
 from cargoframe.sources import fixtures as X, loads, tables
 
@@ -536,3 +537,32 @@ UNION ALL SELECT 'missing', id FROM found WHERE is_missing""")
 def _(spark, d):
     df = links.items_with_customer(X.items(spark, d), X.customers(spark, d))
     return unions.sorting_board(df, "ring").select("board", "id")
+
+
+# whole read paths -----------------------------------------------------------------------
+
+
+@query("item_list", """
+WITH latest AS (SELECT i.*, row_number() OVER (PARTITION BY tracking_number
+ ORDER BY date_received DESC, i.id) AS rn FROM t_items i WHERE status = 'Ready for Pickup')
+SELECT l.id, c.name AS customer_name, TS(l.date_received) AS date_received, TS(b.eta) AS container_eta
+FROM (SELECT * FROM latest WHERE (rn = 1 OR tracking_number IS NULL)
+ AND date_received >= {AS_OF} - INTERVAL 1 YEAR AND date_received <= {AS_OF}
+ ORDER BY date_received DESC, id LIMIT 50 OFFSET 50) l
+LEFT JOIN t_customers c ON c.id = l.customer_id LEFT JOIN v_containers b ON b.id = l.container_id""")
+def _(spark, d):
+    df = screens.item_list(
+        X.items(spark, d), X.customers(spark, d), X.containers(spark, d), needle="customer",
+        period="year", as_of=AS_OF, page=2, status="Ready for Pickup")
+    return plain(df, "id", "customer_name", "date_received", "container_eta")
+
+
+@query("revenue_report_totals", """
+SELECT (SELECT CAST(sum(invoice_amount) AS DOUBLE) FROM t_orders WHERE status = 'Paid' AND {RANGE})
+  AS total_revenue,
+ (SELECT count(*) FROM t_orders WHERE {RANGE}) AS total_orders, 0e0 AS revenue_this_year,
+ (SELECT count(*) FROM t_items) AS total_shipments""")
+def _(spark, d):
+    parts = screens.revenue_report(
+        X.orders(spark, d), X.customers(spark, d), X.items(spark, d), AS_OF, FROM, TO)
+    return plain(parts["totals"], "total_revenue", "total_orders", "revenue_this_year", "total_shipments")
