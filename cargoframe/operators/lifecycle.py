@@ -8,7 +8,7 @@ superseded. Requests carry ``request_id`` (unique) and ``requested_at``.
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargoframe.functions.statuses import mapped, sale_amounts, step_index
 from cargoframe.functions.text import (
@@ -30,13 +30,24 @@ class Change(NamedTuple):
 
 
 def _newest(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(effective, superseded) requests; one aggregate per key, then joins on the unique id."""
+    """(effective, superseded) requests.
+
+    The rank filter also runs before the shuffle, so many requests for one record send one
+    row per task, and the result is already partitioned for the join to its table.
+    """
+    latest = Window.partitionBy(key).orderBy(F.desc("requested_at"), F.desc("request_id"))
+    ranked = requests.withColumn("_rank", F.row_number().over(latest))
+    effective = ranked.filter("_rank = 1").drop("_rank")
+    ids = effective.select("request_id")
+    return effective, requests.join(ids, "request_id", "left_anti")
+
+
+def _newest_per_container(requests: DataFrame) -> DataFrame:
+    """Effective container requests, partitioned by their own id: the join to the items then
+    shuffles both sides, and adaptive execution can split a container that is very full."""
     order = F.struct("requested_at", "request_id")
-    winners = requests.groupBy(key).agg(F.max(order).alias("w")).select("w.request_id")
-    return (
-        requests.join(winners, "request_id", "left_semi"),
-        requests.join(winners, "request_id", "left_anti"),
-    )
+    winners = requests.groupBy("container_id").agg(F.max(order).alias("w"))
+    return requests.join(winners.select("w.request_id"), "request_id", "left_semi")
 
 
 def history_rows(changes: DataFrame, record_type: str = "Item") -> DataFrame:
@@ -115,7 +126,7 @@ def cascade_container_status(
     Items follow the container (shipped -> shipped, arrived -> sorting); Loading leaves them.
     """
     known = containers.select(F.col("id").alias("container_id"))
-    current, _ = _newest(requests.join(known, "container_id", "left_semi"), "container_id")
+    current = _newest_per_container(requests.join(known, "container_id", "left_semi"))
     side = current.select(
         F.col("container_id").alias("id"), F.col("new_status").alias("_status"),
         F.col("arrival_date").alias("_arrival"),

@@ -350,12 +350,18 @@ def logs(spark, sf_dir):
 # Request frames for the bulk jobs ------------------------------------------------------
 
 
-def _later(days: int):
-    return (F.col("date_received") + F.expr(f"INTERVAL {days} DAYS")).alias("requested_at")
+def _one_pass(source: DataFrame, *cases) -> DataFrame:
+    """Up to one row per (condition, columns) case and source row, from a single scan."""
+    made = F.array(*[F.when(condition, F.struct(*columns)) for condition, columns in cases])
+    return source.select(F.inline(F.filter(made, lambda row: row.isNotNull())))
+
 
+def _tagged(letter: str):
+    return F.concat(F.lit(letter), "id").alias("request_id")
 
-def _no_notes():
-    return F.lit(None).cast("string").alias("notes")
+
+def _later(days: int):
+    return (F.col("date_received") + F.expr(f"INTERVAL {days} DAYS")).alias("requested_at")
 
 
 def status_requests(spark, sf_dir):
@@ -363,47 +369,43 @@ def status_requests(spark, sf_dir):
     source = items(spark, sf_dir).select("id", "status", "quantity", "date_received")
     names = F.array(*[F.lit(s) for s in S.ITEM_STATUSES])
     q = F.col("quantity")
-    wanted = F.get(names, (step_index(F.col("status")) + q) % 6)
-    main = source.filter(q % 5 != 0).select(
-        F.concat(F.lit("R"), "id").alias("request_id"), F.col("id").alias("item_id"),
-        wanted.alias("new_status"),
-        F.when(q % 2 == 0, "warehouse_staff").otherwise("super_admin").alias("role"),
-        F.when(q % 3 == 0, "desk").otherwise("ops@example.com").alias("actor"),
-        _later(100), _no_notes(),
-    )
-
-    def others(rows, letter, item_id, days):
-        return rows.select(
-            F.concat(F.lit(letter), "id").alias("request_id"), item_id.alias("item_id"),
-            F.lit(S.COMPLETED).alias("new_status"), F.lit("super_admin").alias("role"),
-            F.lit("ops@example.com").alias("actor"), _later(days), _no_notes(),
-        )
 
-    older = others(source.filter(q % 7 == 0), "Q", F.col("id"), 50)
-    unknown = others(source.filter(q % 11 == 0), "X", F.concat("id", F.lit("?")), 0)
-    return main.unionByName(older).unionByName(unknown)
+    def case(letter, item_id, status, role, actor, days):
+        return [
+            _tagged(letter), item_id.alias("item_id"), status.alias("new_status"),
+            role.alias("role"), actor.alias("actor"), _later(days),
+            F.lit(None).cast("string").alias("notes"),
+        ]
+
+    wanted = F.get(names, (step_index(F.col("status")) + q) % 6)
+    role = F.when(q % 2 == 0, "warehouse_staff").otherwise("super_admin")
+    actor = F.when(q % 3 == 0, "desk").otherwise("ops@example.com")
+    done = (F.lit(S.COMPLETED), F.lit("super_admin"), F.lit("ops@example.com"))
+    return _one_pass(
+        source,
+        (q % 5 != 0, case("R", F.col("id"), wanted, role, actor, 100)),
+        (q % 7 == 0, case("Q", F.col("id"), *done, 50)),
+        (q % 11 == 0, case("X", F.concat("id", F.lit("?")), *done, 0)),
+    )
 
 
 def load_requests(spark, sf_dir):
-    source = items(spark, sf_dir).select("id", "quantity", "container_id", "date_received")
+    """Loading requests, some for unknown items or containers, some in conflict."""
     size = containers(spark, sf_dir).agg((F.count(F.lit(1)) + 2).alias("_boxes"))
+    source = items(spark, sf_dir).select("id", "quantity", "container_id", "date_received")
     q = F.col("quantity")
 
-    def rows(df, letter, item_id, box, days):
-        return df.select(
-            F.concat(F.lit(letter), "id").alias("request_id"), item_id.alias("item_id"),
+    def case(letter, item_id, box, days):
+        return [
+            _tagged(letter), item_id.alias("item_id"),
             box.cast("bigint").alias("container_id"), _later(days),
-        )
+        ]
 
-    first = source.filter(q % 2 == 0).crossJoin(F.broadcast(size))
-    return (
-        rows(first, "A", F.col("id"), (q * 7) % F.col("_boxes"), 0)
-        .unionByName(
-            rows(source.filter(q % 3 == 0), "B", F.col("id"), F.coalesce("container_id", F.lit(3)), 1)
-        )
-        .unionByName(
-            rows(source.filter(q % 11 == 0), "X", F.concat("id", F.lit("?")), F.lit(1), 0)
-        )
+    return _one_pass(
+        source.crossJoin(F.broadcast(size)),
+        (q % 2 == 0, case("A", F.col("id"), (q * 7) % F.col("_boxes"), 0)),
+        (q % 3 == 0, case("B", F.col("id"), F.coalesce("container_id", F.lit(3)), 1)),
+        (q % 11 == 0, case("X", F.concat("id", F.lit("?")), F.lit(1), 0)),
     )
 
 
@@ -412,16 +414,17 @@ def sorting_actions(spark, sf_dir):
     q = F.col("quantity")
     kind = F.when(q % 3 == 0, "found").when(q % 3 == 1, "missing").otherwise("lost")
 
-    def rows(df, letter, action, days):
-        return df.select(
-            F.concat(F.lit(letter), "id").alias("request_id"), F.col("id").alias("item_id"),
-            action.alias("action"), F.lit("super_admin").alias("role"),
-            F.lit("ops@example.com").alias("actor"), _later(days),
-        )
-
-    main = source.filter((F.col("status") == S.SORTING) | F.col("is_missing"))
-    return rows(main, "R", kind, 100).unionByName(
-        rows(source.filter(q % 7 == 0), "Q", F.lit("missing"), 50)
+    def case(letter, action, days):
+        return [
+            _tagged(letter), F.col("id").alias("item_id"), action.alias("action"),
+            F.lit("super_admin").alias("role"), F.lit("ops@example.com").alias("actor"),
+            _later(days),
+        ]
+
+    return _one_pass(
+        source,
+        ((F.col("status") == S.SORTING) | F.col("is_missing"), case("R", kind, 100)),
+        (q % 7 == 0, case("Q", F.lit("missing"), 50)),
     )
 
 
