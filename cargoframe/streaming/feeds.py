@@ -5,6 +5,8 @@ one delta folder per micro-batch, never as a rewrite of the whole table, and a r
 micro-batch replaces its own folder.
 """
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -64,41 +66,52 @@ ALERT = T.StructType(
 
 
 class StatusAlerts(StatefulProcessor):
-    """Keeps the last status and the statuses already announced of one record."""
+    """Keeps the last status and the statuses already announced of one record.
+
+    Both live in one value, read and written once per record and micro-batch; there are
+    as many announced statuses as life-cycle steps at most.
+    """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle):
-        text = T.StructType([T.StructField("v", T.StringType())])
-        self.last = handle.getValueState("last", text, self.ttl_ms)
-        self.seen = handle.getMapState("seen", text, text, self.ttl_ms)
+        kept = T.StructType(
+            [T.StructField("last", T.StringType()), T.StructField("seen", T.StringType())]
+        )
+        self.kept = handle.getValueState("kept", kept, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["changed_at", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last, seen = self.kept.get() if self.kept.exists() else (None, "[]")
+        seen = json.loads(seen)
         out = []
         for status, at, event in zip(batch["new_status"], batch["changed_at"], batch["id"]):
-            if last is not None and status != last and not self.seen.containsKey((status,)):
-                self.seen.updateValue((status,), ("1",))
+            if last is not None and status != last and status not in seen:
+                seen.append(status)
                 out.append((key[0], status, at, event))
             last = status
-        self.last.update((last,))
+        self.kept.update((last, json.dumps(seen)))
         yield pd.DataFrame(out, columns=ALERT.names)
 
     def close(self):
         pass
 
 
-def status_change_feed(events: DataFrame, ttl_days: int = 30) -> DataFrame:
-    """Streaming form of ``status_changes``; rows per trigger are bounded by the source."""
+def status_change_feed(events: DataFrame, ttl_days: int | None = None) -> DataFrame:
+    """Streaming form of ``status_changes``; rows per trigger are bounded by the source.
+
+    With ``ttl_days`` a record that is silent for so long is forgotten. Spark then keeps
+    triggering to expire state, so use it with a processing-time trigger, not availableNow.
+    """
     enable_state(events.sparkSession)
+    ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
     timely = events.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
     return (
         timely.select("record_id", "new_status", "changed_at", "id")
         .groupBy("record_id")
         .transformWithStateInPandas(
-            StatusAlerts(ttl_days * 86_400_000), ALERT, "Append", "ProcessingTime"
+            StatusAlerts(ttl_ms), ALERT, "Append", "None" if ttl_ms is None else "ProcessingTime"
         )
     )
 

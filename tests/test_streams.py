@@ -25,8 +25,7 @@ def stream(spark, folder, schema, files=1):
 def run(df, name, checkpoint):
     query = (df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-    query.awaitTermination(180)
-    assert query.exception() is None
+    assert query.awaitTermination(180) and query.exception() is None
     return df.sparkSession.table(name)
 
 
