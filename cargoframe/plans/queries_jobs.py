@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cargoframe.functions.measures import cube_side, discount_amount
+from cargoframe.functions.measures import cbm_unit, cube_side, discount_amount
+from cargoframe.functions.text import reference
 from cargoframe.operators import audit, lifecycle, pricing, quality, throttle, unions
 from cargoframe.operators.skew import shared_folder
 from cargoframe.plans.registry import FX, plain, query
@@ -216,43 +217,34 @@ def _(spark, d):
     return plain(df, round_to=2)
 
 
-_CREATE = """
-WITH req AS (SELECT customer_id, concat('N', CAST(customer_id AS VARCHAR)) AS request_id,
- count(*) AS n, CAST(sum(weight) AS DECIMAL(18,2)) AS amount FROM t_items
- WHERE order_id IS NULL GROUP BY 1)"""
-
-
 def _created(spark, d):
-    loose = X.items(spark, d).filter("order_id IS NULL AND customer_id IS NOT NULL")
-    requests = loose.groupBy("customer_id").agg(
-        F.sum("weight").alias("invoice_amount"), F.collect_list("id").alias("item_ids"))
-    requests = requests.select(
-        F.concat(F.lit("N"), F.col("customer_id").cast("string")).alias("request_id"),
-        "customer_id", "item_ids", "invoice_amount",
-        F.lit("2001-08-01").cast("timestamp_ntz").alias("invoice_date"),
-        F.lit(None).cast("string").alias("notes"),
-        F.lit("2001-08-01").cast("timestamp_ntz").alias("requested_at"))
-    old = X.orders(spark, d)
-    ref = F.concat(F.lit("ORD-"), F.lpad(F.col("id").cast("string"), 5, "0"))
+    """An order for every item that has none yet."""
+    loose = X.items(spark, d).filter("order_id IS NULL")
+    today = F.lit("2001-08-01").cast("timestamp_ntz")
+    requests = loose.select(
+        F.concat(F.lit("N"), "id").alias("request_id"), "customer_id",
+        F.array("id").alias("item_ids"), F.col("weight").alias("invoice_amount"),
+        today.alias("invoice_date"), F.lit(None).cast("string").alias("notes"),
+        today.alias("requested_at"))
+    ref = reference("ORD-", F.col("id"), 5)
     items = X.items(spark, d).withColumn("order_id", F.col("order_id").cast("string"))
-    return lifecycle.create_orders(old.withColumn("order_ref", ref), items, requests)
+    return lifecycle.create_orders(X.orders(spark, d).withColumn("order_ref", ref), items, requests)
 
 
-@query("i11_create_orders", f"""{_CREATE}
-SELECT request_id AS id, concat('ORD-', lpad(CAST(m.n + rn AS VARCHAR),
+@query("i11_create_orders", """
+SELECT q.id, concat('ORD-', lpad(CAST(m.n + rn AS VARCHAR),
  CAST(greatest(5, length(CAST(m.n + rn AS VARCHAR))) AS INT), '0')) AS order_ref, customer_id,
- CAST(amount AS DOUBLE) AS invoice_amount, 'Pending' AS status, items AS item_count
-FROM (SELECT request_id, customer_id, amount, CAST(n AS INTEGER) AS items,
- row_number() OVER (ORDER BY request_id) AS rn FROM req) q
-CROSS JOIN (SELECT max(CAST(right(CAST(id AS VARCHAR), 9) AS BIGINT)) AS n FROM t_orders) m""")
+ CAST(amount AS DOUBLE) AS invoice_amount, 'Pending' AS status, CAST(1 AS INTEGER) AS item_count
+FROM (SELECT concat('N', id) AS id, customer_id, CAST(weight AS DECIMAL(18,2)) AS amount,
+ row_number() OVER (ORDER BY concat('N', id)) AS rn FROM t_items WHERE order_id IS NULL) q
+CROSS JOIN (SELECT max(id) AS n FROM t_orders) m""")
 def _(spark, d):
     new = _created(spark, d)[0].withColumn("item_count", F.size("item_ids"))
     return plain(new, "id", "order_ref", "customer_id", "invoice_amount", "status", "item_count")
 
 
 @query("i11_linked_items", """
-SELECT id, coalesce(CAST(order_id AS VARCHAR), concat('N', CAST(customer_id AS VARCHAR))) AS order_id
-FROM t_items""")
+SELECT id, coalesce(CAST(order_id AS VARCHAR), concat('N', id)) AS order_id FROM t_items""")
 def _(spark, d):
     return _created(spark, d)[1].select("id", "order_id")
 
@@ -471,8 +463,6 @@ def _(spark, d):
 @query("j7_cube_sides", """
 SELECT id, R6(cbrt(cbm_unit * 1e6)) AS side FROM t_items WHERE cbm_unit > 0""")
 def _(spark, d):
-    from cargoframe.functions.measures import cbm_unit
-
     df = X.items(spark, d).select("id", cube_side(cbm_unit()).alias("side")).filter("side IS NOT NULL")
     return plain(df, round_to=None)
 
