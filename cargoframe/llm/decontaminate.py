@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from cargoframe.llm.words import SPACES, Words, mix
 from cargoframe.sources.scratch import settle, ship
 
-#: Words a walk may touch, sampled steps of a key, repetitions, distance of item starts.
-SPAN, SAMPLES, REPEATS, STRIDE = 10, 4, 3, 2
+#: Steps of a walk (it moves on at every other one), sampled steps of a key, repetitions, distance
+#: of item starts.
+STEPS, SAMPLES, REPEATS, STRIDE = 26, 6, 3, 2
 BITMAP = 22
 SIMILARITY = 0.8
 ROWS = 2000
@@ -34,37 +35,39 @@ _SEPARATORS = SPACES.copy()
 _SEPARATORS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
+def _span(words: int) -> int:
+    """Steps for an item of so many words: long, middle, or short items that can't leave their end."""
+    return STEPS if words >= 22 else 14 if words >= 14 else words
+
+
 def _steps(span: int, repeat: int) -> np.ndarray:
-    """Sampled steps of a repetition; step 0, the start word, is always one of them."""
+    """Sampled steps of a repetition; step 0, the start word, and one of the last are among them."""
     rng = np.random.default_rng([11, span, repeat])
-    later = rng.permutation(np.arange(1, span))[:SAMPLES - 1]
-    return np.sort(np.concatenate([[0], later]))
+    last = span - 1 - int(rng.integers(0, max(1, span // 8)))
+    later = rng.permutation(np.arange(1, max(1, last)))[:SAMPLES - 2]
+    return np.unique(np.concatenate([[0], later, [last]]))
 
 
-def _walk(hashes: np.ndarray, at: np.ndarray, span: int, repeat: int, alive=None):
-    """Starts that survive and their keys. ``alive(words)`` marks words worth going on with."""
+def _walk(hashes: np.ndarray, at: np.ndarray, ends: np.ndarray, span: int, repeat: int, alive=None):
+    """Starts that survive and their keys. ``alive(words)`` marks words worth going on with; a walk
+    past the end of its row (``ends`` by word) is dropped."""
     bits = mix(hashes ^ np.uint64(0x51ED27 + 7919 * repeat))
     key = np.full(len(at), np.uint64(span * 64 + repeat))
     here, begin, wanted = at.copy(), at, set(_steps(span, repeat).tolist())
-    last = max(wanted)
-    for step in range(last + 1):
-        word = hashes[here]
+    for step in range(max(wanted) + 1):
         if step in wanted:
+            go = here < ends[begin]
+            begin, here, key = begin[go], here[go], key[go]
+            word = hashes[here]
             if alive is not None:
                 go = alive(word)
                 begin, here, key, word = begin[go], here[go], key[go], word[go]
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-        here = here + ((bits[here] >> np.uint64(step)) & np.uint64(1)).astype(here.dtype)
+        inside = np.minimum(here, len(hashes) - 1)
+        here = here + ((bits[inside] >> np.uint64(step)) & np.uint64(1)).astype(here.dtype)
     return begin, key
 
 
-def _clip(words: Words, span: int) -> np.ndarray:
-    """Starts with at least ``span`` words to the end of their row."""
-    ends = words.first[1:][words.row]
-    at = np.arange(len(words.row))
-    return at[ends - at >= span]
-
-
 def _bit(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITMAP)).astype(np.int64)
 
@@ -75,12 +78,12 @@ def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = words.hashes(), []
         for i in range(batch.num_rows):
             own = hashes[words.first[i]:words.first[i + 1]]
-            span = min(SPAN, len(own))
+            span = _span(len(own))
             if not span:
                 continue
-            at = np.unique(np.append(np.arange(0, len(own) - span + 1, STRIDE), len(own) - span))
+            at = np.arange(0, len(own), STRIDE)
             for repeat in range(REPEATS):
-                begin, key = _walk(own, at, span, repeat)
+                begin, key = _walk(own, at, np.full(len(own), len(own)), span, repeat)
                 rows += [(batch.column("item")[i].as_py(), span, repeat, int(k), int(a))
                          for a, k in zip(begin, key.view(np.int64))]
         columns = list(zip(*rows)) or [()] * 5
@@ -110,13 +113,12 @@ def _doc_keys(spans: list[int], word_bits: np.ndarray, key_bits: np.ndarray):
                 batch = whole.slice(low, ROWS)
                 words = Words(batch.column("text"), lower=True, separators=_SEPARATORS)
                 hashes = words.hashes()
-                in_item = known[_bit(hashes)]
+                in_item = np.flatnonzero(known[_bit(hashes)])
+                ends = words.first[1:][words.row]
                 out = []
                 for span in spans:
-                    at = _clip(words, span)
-                    at = at[in_item[at]]
                     for repeat in range(REPEATS):
-                        begin, key = _walk(hashes, at, span, repeat, lambda w: known[_bit(w)])
+                        begin, key = _walk(hashes, in_item, ends, span, repeat, lambda w: known[_bit(w)])
                         hit = used[_bit(key)]
                         out.append((begin[hit], key[hit]))
                 begin = np.concatenate([o[0] for o in out] or [np.zeros(0, np.int64)])
@@ -161,10 +163,13 @@ def _verify(similarity: float):
                         a = max(0, mark - 2 * slack)
                         b = min(len(text), mark + len(item) + 4 * slack)
                         done = mark + slack
+                        # every edit spoils one item word at most
+                        if np.isin(item, text[a:b]).sum() < similarity * len(item) - 1e-9:
+                            continue
                         distance, end = _best(item.tolist(), text[a:b])
                         if best is None or distance < best[0]:
                             best = (distance, a + end)
-                    if best[0] <= (1 - similarity) * len(item) + 1e-9:
+                    if best and best[0] <= (1 - similarity) * len(item) + 1e-9:
                         out.append((batch.column("doc_id")[i].as_py(), batch.column("item_id")[i].as_py(),
                                     best[0], len(item), best[1]))
                 columns = list(zip(*out)) or [()] * 5
@@ -181,7 +186,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     items = items.filter("text IS NOT NULL").withColumn("item", F.xxhash64("item_id", "text"))
     keys = settle(items.select("item", "text").mapInArrow(
         _item_keys, "item long, span int, repeat int, key long, item_at int"), "items")
-    spans = [r[0] for r in keys.select("span").distinct().orderBy("span").collect()]  # at most SPAN
+    spans = [r[0] for r in keys.select("span").distinct().orderBy("span").collect()]  # a few short lengths
     # at most 2**BITMAP numbers each, however large the benchmark
     word_bits = _bitmap(items.select("text").mapInArrow(_item_words, "bit long").distinct().collect())
     key_bits = _bitmap(keys.select(F.shiftrightunsigned("key", 64 - BITMAP)).distinct().collect())

@@ -4,13 +4,13 @@ Equal sets are one *class* (64-bit key of the set). The tree over the classes ha
 
 1. size bands: linked sets differ little in size, so a set enters its own band and the next
    ones a partner may lie in;
-2. segments: within a band every set is dealt into ``p`` segments by shingle hash, with more
-   segments than shingles that a linked pair can differ in; linked sets therefore agree in at
-   least one whole segment, and a node of this level holds the sets with an equal segment;
+2. segments: within a band every set is dealt into segments by shingle hash, so many that linked
+   sets agree in at least one whole segment (certain for small sets, up to a chance of ``MISS``
+   for large ones); a node of this level holds the sets with an equal segment;
 3. inner nodes and 4. leaves inside such a node, each with the OR of its members' token bitmaps
    and their size range.
 
-The traversal first compares every member with the node's first one. Verified links give
+The traversal first compares every set with the first member of most of its nodes. Verified links give
 components, and only nodes with members of different components are traversed further, in
 pairs of inner nodes, leaves and sets; a pair is dropped where sizes or the largest possible overlap
 (common bits of the bitmaps plus shingles that share a bit) rule a link out, or where all is in
@@ -36,6 +36,7 @@ from cargoframe.sources.scratch import settle, ship
 
 ROWS = 1000
 BAND = 1.5
+MISS = 1e-12
 LANES = 8  # 64-bit words of a token bitmap
 LEAF, FANOUT = 32, 32
 
@@ -82,19 +83,31 @@ def _largest(band: int) -> int:
 
 @cache
 def _segments(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """Segments of a band, those that a linked pair can differ in, least size of a strong one."""
+    """(segments, least size of a strong one, weak segments from which a set enters with them too).
+
+    A linked pair of the band differs in at most ``differ`` shingles. Large bands take as few
+    segments as leave a linked pair without an equal strong one with probability ``MISS`` only;
+    in small bands the segments outnumber the differing shingles, and none can be missed.
+    """
     most = _largest(band)
+    least = max(1, most / BAND)
+
+    def missed(count: int, strong: int) -> float:
+        worst = 0.0
+        for size in (least, most):
+            apart = 2 * size * (den - num) / (den + num)
+            load = (size - apart / 2) / count
+            weak = math.exp(-load) * sum(load ** j / math.factorial(j) for j in range(strong))
+            worst = max(worst, (1 - math.exp(-apart / count) * (1 - weak)) ** count)
+        return worst
+
     differ = 2 * most * (den - num) // (den + num)
-    if differ < 4:
-        return differ + 1, differ, 1
-    count = differ + 1
-    while count < 3 * differ:
-        load = 0.75 * most / count
-        weak = math.exp(-load) * (1 + load)
-        if count * (1 - 1.3 * weak) - 2 >= differ + 1:
-            return count, differ, 2
-        count += 1
-    return differ + 1, differ, 1
+    for strong in (5, 4, 3):
+        for count in range(max(2, differ // 4), differ + 1):
+            if missed(count, strong) <= MISS:
+                return count, strong, count + 1
+    spare = min(differ, 2)
+    return differ + 1 + spare, 1, spare + 1
 
 
 def _signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +121,7 @@ def _signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]
             enters.setdefault(band, []).append(i)
     for band, members in enters.items():
         members = np.array(members)
-        count, differ, strong = _segments(band, num, den)
+        count, strong, enough = _segments(band, num, den)
         size = sets.size[members]
         at = np.repeat(sets.first[members] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         own = np.repeat(np.arange(len(members)), size)
@@ -123,7 +136,7 @@ def _signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]
         sign = mix(sign ^ mix((number + band * 1_000_003).astype(np.uint64)) ^ mix(held.astype(np.uint64)))
         weak = (held < strong).reshape(len(members), count)
         # with too many weak segments the equal ones might all be weak: then they count too
-        use = ~weak | (weak.sum(1) > count - differ - 1)[:, None]
+        use = ~weak | (weak.sum(1) >= enough)[:, None]
         pick = np.flatnonzero(use.ravel())
         rows.append(members[pick // count])
         signs.append(sign[pick])
@@ -240,7 +253,9 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     ones = sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count(_BITS[0]))
     leaf = sets.select("key", F.struct(
         F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") - ones).alias("slack"), *_BITS).alias("s"))
-    star = held.filter("key <> head").select(F.col("head").alias("u"), F.col("key").alias("v")).distinct()
+    # the first member that most of a set's nodes have: one pair per set
+    star = held.groupBy(F.col("key").alias("v"), F.col("head").alias("u")).agg(F.count("*").alias("n")).groupBy("v").agg(
+        F.max_by("u", F.struct("n", "u")).alias("u")).filter("u <> v")
     star = (star.join(leaf.select(F.col("key").alias("u"), F.col("s").alias("left")), "u")
             .join(leaf.select(F.col("key").alias("v"), F.col("s").alias("right")), "v")
             .filter(_may_link("left", "right", num, den)).select("u", "v"))

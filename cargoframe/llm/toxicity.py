@@ -23,8 +23,8 @@ from cargoframe.sources.scratch import ship
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Bounds of the fit: labelled rows of each class, features of the model.
-MAX_TOXIC, MAX_CLEAN, FEATURES = 3000, 6000, 1 << 15
-ROUNDS, RIDGE = 150, 1e-3
+MAX_TOXIC, MAX_CLEAN, FEATURES = 3000, 6000, 2048
+ROUNDS, RIDGE = 150, 2e-3
 #: Characters handled at once; longer batches and texts are taken in pieces.
 PIECE = 1 << 20
 
@@ -74,7 +74,7 @@ def _fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     for step in range(1, ROUNDS + 1):
         z = np.bincount(row, weights=w[column] * value, minlength=len(rows)) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
-        grad = np.append(np.bincount(column, weights=error[row] * value, minlength=len(chosen)) + RIDGE * w / len(chosen),
+        grad = np.append(np.bincount(column, weights=error[row] * value, minlength=len(chosen)) + RIDGE * w,
                          error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
