@@ -7,12 +7,13 @@ Equal sets are one *class* (64-bit key of the set). The tree over the classes ha
 2. segments: within a band every set is dealt into segments by shingle hash, so many that linked
    sets agree in at least one whole segment (certain for small sets, up to a chance of ``MISS``
    for large ones); a node of this level holds the sets with an equal segment;
-3. inner nodes and 4. leaves inside such a node, each with the OR of its members' token bitmaps
-   and their size range.
+3. inner nodes: a node with more than ``LEAF`` members (of sets above ``SPLIT_SIZE``, which agree in
+   dozens of segments if linked) is split by a second equal segment;
+4. leaves inside a node, each with the OR of its members' token bitmaps and their size range.
 
 The traversal first compares every set with the first member of most of its nodes. Verified links give
 components, and only nodes with members of different components are traversed further, in
-pairs of inner nodes, leaves and sets; a pair is dropped where sizes or the largest possible overlap
+pairs of leaves and sets; a pair is dropped where sizes or the largest possible overlap
 (common bits of the bitmaps plus shingles that share a bit) rule a link out, or where all is in
 one component already. What remains is verified on the whole sets. Copies thus never become
 pairs, and no cap is set on partners.
@@ -38,7 +39,9 @@ ROWS = 1000
 BAND = 1.5
 MISS = 1e-12
 LANES = 8  # 64-bit words of a token bitmap
-LEAF, FANOUT = 32, 32
+LEAF = 32
+#: Full nodes of sets of this size and above are split by a further equal segment.
+SPLIT_SIZE = 130
 
 
 class Sets:
@@ -233,6 +236,21 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "u").join(right, "v").mapInArrow(_verify(num, den), "u long, v long")
 
 
+def _pruned(pairs: DataFrame, leaf: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes and bitmaps of both sets allow to link."""
+    return (pairs.join(leaf.select(F.col("key").alias("u"), F.col("s").alias("left")), "u")
+            .join(leaf.select(F.col("key").alias("v"), F.col("s").alias("right")), "v")
+            .filter(_may_link("left", "right", num, den)).select("u", "v"))
+
+
+def _open(member: DataFrame) -> DataFrame:
+    """Members of nodes that hold more than one component, with the node's size ``n``."""
+    kinds = member.groupBy("node").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return member.join(kinds.filter("low < high").select("node", "n"), "node").select(
+        "node", "key", "component", "size", "n")
+
+
 def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id, n_shingles, key of every row; and linked pairs (u, v) of keys that
     connect what the join connects: den * |intersection| >= num * |union|."""
@@ -256,48 +274,35 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     # the first member that most of a set's nodes have: one pair per set
     star = held.groupBy(F.col("key").alias("v"), F.col("head").alias("u")).agg(F.count("*").alias("n")).groupBy("v").agg(
         F.max_by("u", F.struct("n", "u")).alias("u")).filter("u <> v")
-    star = (star.join(leaf.select(F.col("key").alias("u"), F.col("s").alias("left")), "u")
-            .join(leaf.select(F.col("key").alias("v"), F.col("s").alias("right")), "v")
-            .filter(_may_link("left", "right", num, den)).select("u", "v"))
-    links = settle(_checked(star, sets, num, den), "links")
+    links = settle(_checked(_pruned(star, leaf, num, den), sets, num, den), "links")
     groups = components(links)
-    # nodes that still hold different components
-    member = held.select("node", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select(
-        "node", "key", F.coalesce("component", "key").alias("component"))
-    open_nodes = member.groupBy("node").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
-    member = member.join(open_nodes.filter("least < most").select("node", "n"), "node")
-    member = member.join(leaf, "key").select(
-        "node", "key", "s.low", "s.high", "s.slack", *[f"s.{b}" for b in _BITS],
-        F.col("component").alias("least"), F.col("component").alias("most"),
-        # a leaf takes sets of like size; their number follows from the node's
-        F.concat_ws("/", F.floor(F.log2("s.low") * 8), F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LEAF))).alias("leaf"))
-    member = member.withColumn("inner", F.pmod(F.xxhash64("leaf"), F.lit(FANOUT)))
-    member = settle(member, "members")
-    leaves = member.groupBy("node", "inner", "leaf").agg(*_head())
-    inner = leaves.groupBy("node", "inner").agg(*_head())
-
-    def pair(table: DataFrame, on: list[str], number: str, pairs: DataFrame | None = None) -> DataFrame:
-        """Pairs of entries of one level below the given pairs of the level above."""
-        entry = F.struct(*[c for c in table.columns if c != "node"])
-        a = table.select("node", *[F.col(c).alias(f"{c}_a") for c in on], entry.alias("left"))
-        b = table.select("node", *[F.col(c).alias(f"{c}_b") for c in on], entry.alias("right"))
-        if pairs is None:
-            both = a.join(b, "node")
-        else:
-            both = pairs.join(a, ["node", *[f"{c}_a" for c in on]]).join(b, ["node", *[f"{c}_b" for c in on]])
-        return both.filter(F.col(f"left.{number}") <= F.col(f"right.{number}")).filter(
-            _may_link("left", "right", num, den) & _apart("left", "right"))
-
-    top = pair(inner, [], "inner").select(
-        "node", F.col("left.inner").alias("inner_a"), F.col("right.inner").alias("inner_b"))
-    # leaves of unequal inner nodes come in either order
-    top = top.union(top.filter("inner_a <> inner_b").select("node", F.col("inner_b").alias("inner_a"), F.col("inner_a").alias("inner_b")))
-    low = pair(leaves, ["inner"], "leaf", top).select(
-        "node", F.col("left.leaf").alias("leaf_a"), F.col("right.leaf").alias("leaf_b"))
-    low = low.union(low.filter("leaf_a <> leaf_b").select("node", F.col("leaf_b").alias("leaf_a"), F.col("leaf_a").alias("leaf_b")))
-    rest = pair(member, ["leaf"], "key", low).filter("left.key < right.key").select(
-        F.col("left.key").alias("u"), F.col("right.key").alias("v")).distinct()
+    # nodes that still hold different components, the full ones split by a further equal segment
+    named = held.select("node", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "node", F.coalesce("component", "key").alias("component"))
+    named = settle(named.join(sets.select("key", "size"), "key"), "named")
+    level = _open(named)
+    full = (F.col("n") > LEAF) & (F.col("size") >= SPLIT_SIZE)
+    # of the nodes that two sets share, the first one full meets a later one
+    deeper = level.filter(full).join(named.select("key", F.col("node").alias("other")), "key").filter("other > node")
+    deeper = deeper.select(F.xxhash64("node", "other").alias("node"), "key", "component", "size").distinct()
+    done, level = level.filter(~full), _open(deeper)
+    member = done.unionByName(level).select(
+        "node", "key", F.col("component").alias("least"), F.col("component").alias("most"), "size", "n")
+    # a leaf takes sets of like size; the number of leaves follows from the node's
+    member = settle(member.withColumn("leaf", F.concat_ws("/", F.floor(F.log2("size") * 8), F.pmod(
+        F.xxhash64("key"), F.ceil(F.col("n") / LEAF)))), "members")
+    leaves = member.join(leaf, "key").select("node", "leaf", "least", "most", "s.*").groupBy("node", "leaf").agg(*_head())
+    entry = F.struct(*[c for c in leaves.columns if c != "node"])
+    near = leaves.select("node", entry.alias("left")).join(leaves.select("node", entry.alias("right")), "node").filter(
+        (F.col("left.leaf") <= F.col("right.leaf")) & _may_link("left", "right", num, den) & _apart("left", "right")
+    ).select("node", F.col("left.leaf").alias("leaf"), F.col("right.leaf").alias("other"))
+    first = member.select("node", "leaf", F.col("key").alias("a"), F.col("least").alias("of_a"), F.col("size").alias("size_a"))
+    second = member.select("node", F.col("leaf").alias("other"), F.col("key").alias("b"), F.col("least").alias("of_b"),
+                           F.col("size").alias("size_b"))
+    rest = near.join(first, ["node", "leaf"]).join(second, ["node", "other"]).filter(
+        (F.col("a") != F.col("b")) & (F.col("of_a") != F.col("of_b"))
+        & (den * F.col("size_a") >= num * F.col("size_b")) & (den * F.col("size_b") >= num * F.col("size_a")))
+    rest = _pruned(rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), leaf, num, den)
     more = _checked(rest, sets, num, den)
     return members, settle(links.union(more), "links")
 
