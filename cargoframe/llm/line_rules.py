@@ -51,7 +51,7 @@ def _lines(column: pa.Array, words: Words, hashes: np.ndarray, lowered: np.ndarr
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
     ends = ends - (data[ends - 1] == 10)
     first = np.searchsorted(words.starts, starts)
     count = np.searchsorted(words.starts, ends) - first
