@@ -112,7 +112,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         .groupBy("row").agg(F.collect_list(F.struct("template", "first", "end")).alias("spans")))
     known = F.broadcast(templates.groupBy().agg(F.collect_list(
         F.struct("template", "words", "label", "base")).alias("known")))
-    joined = keyed.join(spans, "row", "left").crossJoin(known)
+    # the texts move, not the longer word lists
+    joined = source.withColumn("row", F.xxhash64("doc_id", "text")).join(spans, "row", "left").select(
+        "doc_id", "spans", _once(_words(F.col("text"))).alias("words")).crossJoin(known)
 
     def verify(span: Column) -> Column:
         """The span with its template's words found there, in order of place."""
