@@ -198,7 +198,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         "row_key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = proposed.groupBy("row_key", "item").agg(F.collect_set("diagonal").alias("diagonals"))
     pairs = settle(pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item"), "pairs")
-    checked = source.join(pairs, "row_key").mapInArrow(
+    # the same join at every size: what is proposed grows with the documents
+    checked = source.join(pairs.hint("merge"), "row_key").mapInArrow(
         _verify(similarity), "doc_id long, item_id long, distance long, item_words long, end_word long")
     best = checked.groupBy("doc_id", "item_id").agg(
         F.min_by(F.struct("distance", "item_words", "end_word"), F.struct("distance", "end_word")).alias("b"))
