@@ -39,7 +39,9 @@ def sale_amounts(payload: Column) -> tuple[Column, Column, Column]:
         nested = F.coalesce(*[outer["data"][f] for f in fields])
         flat = F.coalesce(*[outer[f] for f in fields])
         picked = F.when(outer["data"].isNotNull(), nested).otherwise(flat)
-        return picked.try_cast("double")
+        # a number at the start counts, whatever follows it
+        number = F.regexp_extract(picked, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+        return number.try_cast("double")
 
     total = F.nullif(first(_TOTAL), F.lit(0.0))
     paid = F.coalesce(first(_PAID), F.lit(0.0))

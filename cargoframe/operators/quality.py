@@ -11,7 +11,7 @@ MAX_MEASURE = 10_000
 MAX_ITEM_MONEY = 500_000
 MAX_INVOICE = 1_000_000
 MAX_PHOTOS = 20
-EMAIL = r"^[A-Za-z0-9_+.'-]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
+EMAIL = r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_+.'-]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
 
 
 class Rules:

@@ -128,11 +128,9 @@ def _(spark, d):
 
 @query("d12_container_cbm", """
 SELECT c.id AS container_id, c.container_ref, R4(coalesce(sum(i.cbm_unit), 0)) AS total_cbm
-FROM v_containers c LEFT JOIN (SELECT * FROM t_items WHERE status = 'Sorting' AND is_missing) i
- ON i.container_id = c.id GROUP BY 1, 2""")
+FROM v_containers c LEFT JOIN t_items i ON i.container_id = c.id GROUP BY 1, 2""")
 def _(spark, d):
-    items = X.items(spark, d).filter("status = 'Sorting' AND is_missing")
-    return plain(reports.container_cbm(X.containers(spark, d), items), round_to=4)
+    return plain(reports.container_cbm(X.containers(spark, d), X.items(spark, d)), round_to=4)
 
 
 @query("d13_container_item_count", """

