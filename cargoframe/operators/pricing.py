@@ -7,8 +7,7 @@ from cargoframe.functions.measures import (
 )
 from cargoframe.functions.text import first_line_label, line_label
 from cargoframe.operators.links import rate_card
-from cargoframe.operators.skew import HOT_ROWS, by_group, hot_keys
-from cargoframe.operators.windows import split_to_cents
+from cargoframe.operators.windows import group_totals, share_units, split_to_cents, units_total
 from cargoframe.schema import MONEY
 
 
@@ -107,16 +106,10 @@ def _order_heads(orders: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
-def _line_parts(
-    heads: DataFrame, lines: DataFrame, hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """(cold, hot) order lines. An order without items keeps one row with a NULL item."""
-    lines = lines.filter(F.col("order_id").isNotNull())
-    hot = F.broadcast(hot_keys(lines, ["order_id"], hot_rows))
-    cold_lines = lines.join(hot, "order_id", "left_anti")
-    cold = heads.join(hot, "order_id", "left_anti").join(cold_lines, "order_id", "left")
-    few = heads.join(hot, "order_id", "left_semi")
-    return cold, lines.join(hot, "order_id", "left_semi").join(F.broadcast(few), "order_id")
+def _attached(heads: DataFrame, totals: DataFrame, lines: DataFrame) -> DataFrame:
+    """Order lines with head and group totals. An order without items keeps one row with a NULL
+    item. Both sides are shuffled straight below the join with the lines."""
+    return heads.join(totals, "order_id", "left").join(lines, "order_id", "left")
 
 
 def _freight_label() -> Column:
@@ -127,7 +120,7 @@ def _item_lines(items: DataFrame) -> DataFrame:
     return items.select(
         "order_id", F.col("id").alias("item_id"), line_label().alias("_label"),
         cbm_total().alias("cbm"),
-    )
+    ).filter("order_id IS NOT NULL")
 
 
 def _shaped(lines: DataFrame) -> DataFrame:
@@ -137,62 +130,52 @@ def _shaped(lines: DataFrame) -> DataFrame:
     )
 
 
-def invoice_lines(
-    orders: DataFrame, items: DataFrame, settings: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def invoice_lines(orders: DataFrame, items: DataFrame, settings: DataFrame) -> DataFrame:
     """Net amount of every unpaid order split over its items by volume, else equally.
 
     The last item (by id) takes the rounding remainder; an order without items gives one line.
     """
-    parts = _line_parts(_order_heads(orders, settings), _item_lines(items), hot_rows)
-    lines = by_group(
-        parts,
-        lambda rows, attach: split_to_cents(
-            rows, attach, "net", "cbm", ["item_id"], "order_id", "price"
-        ),
-    )
-    return _shaped(lines)
+    lines = _item_lines(items).withColumn("_units", share_units(F.col("cbm"))).drop("cbm")
+    totals = group_totals(lines, ["item_id"], "order_id")
+    rows = _attached(_order_heads(orders, settings), totals, lines)
+    return _shaped(split_to_cents(rows, "net", ["item_id"], "order_id", "price"))
 
 
-def invoice_lines_equal(
-    orders: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def invoice_lines_equal(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Lines of the invoice issued with a new order: equal shares, no remainder fix."""
     heads = orders.select(F.col("id").alias("order_id"), "order_ref", "invoice_amount")
     lines = items.select(
         "order_id", F.col("id").alias("item_id"), first_line_label().alias("_label")
-    )
-
-    def build(rows, attach):
-        rows = attach(rows, ["order_id"], _n=F.count(F.lit(1)))
-        return rows.withColumn(
-            "price", cents(F.col("invoice_amount").cast("double") / F.col("_n"))
-        ).drop("_n")
-
-    return _shaped(by_group(_line_parts(heads, lines, hot_rows), build))
+    ).filter("order_id IS NOT NULL")
+    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("invoice_amount").cast("double") / F.coalesce("_n", F.lit(1))
+    return _shaped(_attached(heads, counts, lines).withColumn("price", cents(share)))
 
 
 def invoice_lines_quoted(
-    orders: DataFrame, items: DataFrame, quoted: DataFrame, settings: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    orders: DataFrame, items: DataFrame, quoted: DataFrame, settings: DataFrame
 ) -> DataFrame:
     """Split by the supplied prices (item_id, price) where all items of an order have one.
 
     Other orders are split as in ``invoice_lines``; prices that add up to zero split equally.
     """
     prices = quoted.select("item_id", F.col("price").cast("double").alias("_quote"))
-    lines = _item_lines(items).join(prices, "item_id", "left")
-
-    def build(rows, attach):
-        rows = attach(
-            rows, ["order_id"], _quoted=F.count("_quote"), _items=F.count("item_id")
-        )
-        full = (F.col("_quoted") == F.col("_items")) & (F.col("_items") > 0)
-        rows = rows.withColumn("_share", F.when(full, F.col("_quote")).otherwise(F.col("cbm")))
-        rows = rows.drop("_quoted", "_items", "_quote", "cbm")
-        return split_to_cents(rows, attach, "net", "_share", ["item_id"], "order_id", "price")
-
-    return _shaped(by_group(_line_parts(_order_heads(orders, settings), lines, hot_rows), build))
+    lines = _item_lines(items).join(prices, "item_id", "left").select(
+        "order_id", "item_id", "_label", share_units(F.col("cbm")).alias("_units"),
+        share_units(F.col("_quote")).alias("_quoted"),
+    )
+    totals = lines.groupBy("order_id").agg(
+        units_total("_units").alias("_volume"), units_total("_quoted").alias("_asked"),
+        (F.count("_quoted") == F.count(F.lit(1))).alias("_full"),
+        F.count(F.lit(1)).alias("_n"), F.max(F.struct("item_id")).alias("_end"),
+    )
+    rows = _attached(_order_heads(orders, settings), totals, lines).withColumns(
+        {
+            "_units": F.when(F.col("_full"), F.col("_quoted")).otherwise(F.col("_units")),
+            "_total": F.when(F.col("_full"), F.col("_asked")).otherwise(F.col("_volume")),
+        }
+    ).drop("_quoted", "_asked", "_volume", "_full")
+    return _shaped(split_to_cents(rows, "net", ["item_id"], "order_id", "price"))
 
 
 def volume_quotes(requests: DataFrame, package_rates: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
 """Ranking, numbering and remainder allocation."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargoframe.functions.measures import cents
 from cargoframe.functions.text import reference
-from cargoframe.operators.skew import (
-    HOT_ROWS, by_group, number_in_groups, number_rows, split_hot,
-)
+from cargoframe.operators.skew import HOT_ROWS, number_in_groups, number_rows
 from cargoframe.schema import MONEY
 
 
@@ -68,34 +66,58 @@ def share_of_max(monthly: DataFrame, value: str) -> DataFrame:
     return monthly.select("*", F.greatest(percent, floor).alias("pct_of_peak"))
 
 
-def split_to_cents(rows, attach, net: str, share: str, order_cols, key: str, out: str):
-    """Allocation step of one (cold or hot) part, see ``running_split``."""
-    place = F.struct(*order_cols)
-    rows = attach(rows, [key], _total=F.sum(share), _n=F.count(F.lit(1)), _end=F.max(place))
-    part = F.when(F.col("_total") > 0, F.col(share) / F.col("_total")).otherwise(
-        F.lit(1.0) / F.col("_n")
+def share_units(share: Column) -> Column:
+    """A share in whole billionths (up to 9.2e9): their sum does not depend on the order of addition."""
+    return F.floor(share * F.lit(1e9) + F.lit(0.5)).cast("bigint")
+
+
+def units_total(units) -> Column:
+    return F.sum(F.col(units).cast("decimal(20,0)"))
+
+
+def group_totals(lines: DataFrame, order_cols: list[str], key: str) -> DataFrame:
+    """What ``split_to_cents`` needs of a group, by partial aggregation over ``_units``."""
+    return lines.groupBy(key).agg(
+        units_total("_units").alias("_total"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.struct(*order_cols)).alias("_end"),
+    )
+
+
+def split_to_cents(rows: DataFrame, net: str, order_cols: list[str], key: str, out: str) -> DataFrame:
+    """Allocation over rows that carry ``_units`` and their group's ``_total``, ``_n`` and ``_end``.
+
+    Only one row per group, the last line, is joined to what the other lines were given. The
+    key is wrapped for that sum, so it gets a shuffle of its own after the partial sums and
+    adaptive execution stays free to split a hot group in the join below.
+    """
+    part = F.when(
+        F.col("_total") > 0, F.col("_units").cast("double") / F.col("_total").cast("double")
+    ).otherwise(F.lit(1.0) / F.coalesce("_n", F.lit(1)))
+    last = F.col("_end").isNull() | F.struct(*order_cols).eqNullSafe(F.col("_end"))
+    kept = [c for c in rows.columns if c not in ("_units", "_total", "_n", "_end")]
+    priced = rows.select(
+        *kept, last.alias("_last"), cents(F.col(net).cast("double") * part).alias(out)
     )
-    last = place.eqNullSafe(F.col("_end"))
-    own = cents(F.col(net).cast("double") * part)
-    rows = rows.withColumns(
-        {"_last": last, "_own": F.when(last, F.lit(0).cast(MONEY)).otherwise(own)}
+    others = priced.filter("NOT _last")
+    given = others.groupBy(F.struct(key).alias("_group")).agg(F.sum(out).alias("_given"))
+    ends = priced.filter("_last").withColumn("_of", F.struct(key)).drop(out)
+    left = cents(F.col(net)) - F.coalesce("_given", F.lit(0).cast(MONEY))
+    closed = ends.join(given, F.col("_of") == F.col("_group"), "left").select(
+        *kept, left.cast(MONEY).alias(out)
     )
-    rows = attach(rows, [key], _given=F.sum("_own"))
-    left = (cents(F.col(net)) - F.col("_given")).cast(MONEY)
-    price = F.when(F.col("_last"), left).otherwise(F.col("_own"))
-    return rows.withColumn(out, price).drop("_total", "_n", "_end", "_last", "_own", "_given")
+    return others.drop("_last").unionByName(closed)
 
 
 def running_split(
     lines: DataFrame, net: str, share: str, order_cols: list[str], key: str = "order_id",
-    out: str = "price", hot_rows: int = HOT_ROWS,
+    out: str = "price",
 ) -> DataFrame:
     """Split ``net`` over the lines of a group to the cent.
 
     Every line but the last gets its rounded share (an equal one if the shares add up to
-    nothing); the last line in ``order_cols`` gets what is left.
+    nothing); the last line in ``order_cols`` gets what is left. A NULL key is a group.
     """
-    return by_group(
-        split_hot(lines, [key], hot_rows),
-        lambda rows, attach: split_to_cents(rows, attach, net, share, order_cols, key, out),
-    )
+    rows = lines.withColumn("_units", share_units(F.col(share)))
+    totals = group_totals(rows, order_cols, key).withColumnRenamed(key, "_key")
+    rows = rows.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return split_to_cents(rows, net, order_cols, key, out)

@@ -408,11 +408,12 @@ WITH lines AS (SELECT o.id AS order_id, i.id AS item_id, {{share}} AS share, {_N
  CASE WHEN i.id IS NULL THEN concat('Freight - ', o.order_ref)
   ELSE {_label_sql("i.description", "m3]")} END AS item_name
  FROM t_orders o LEFT JOIN t_items i ON i.order_id = o.id {{extra}} WHERE o.status <> 'Paid'),
-totals AS (SELECT *, sum(share) OVER (PARTITION BY order_id) AS total,
+whole AS (SELECT *, CAST(floor(share * 1e9 + 0.5e0) AS BIGINT) AS units FROM lines),
+totals AS (SELECT *, CAST(sum(units) OVER (PARTITION BY order_id) AS DOUBLE) AS total,
  count(*) OVER (PARTITION BY order_id) AS n,
- row_number() OVER (PARTITION BY order_id ORDER BY item_id DESC) AS from_end FROM lines),
+ row_number() OVER (PARTITION BY order_id ORDER BY item_id DESC) AS from_end FROM whole),
 priced AS (SELECT *, CASE WHEN from_end > 1 THEN CAST(
- R2(net * (CASE WHEN total > 0 THEN share / total ELSE 1e0 / n END)) AS DECIMAL(18,2)) ELSE 0 END AS own
+ R2(net * (CASE WHEN total > 0 THEN CAST(units AS DOUBLE) / total ELSE 1e0 / n END)) AS DECIMAL(18,2)) ELSE 0 END AS own
  FROM totals)
 SELECT order_id, item_id, item_name, CAST(CASE WHEN from_end > 1 THEN own
  ELSE CAST(R2(net) AS DECIMAL(18,2)) - sum(own) OVER (PARTITION BY order_id) END AS DOUBLE) AS price

@@ -449,8 +449,9 @@ def _(spark, d):
 
 @query("e6_running_split", """
 WITH lines AS (
- SELECT i.order_id, i.id, CAST(o.invoice_amount AS DOUBLE) AS net, i.weight AS share,
-  sum(i.weight) OVER w AS total, count(*) OVER w AS n,
+ SELECT i.order_id, i.id, CAST(o.invoice_amount AS DOUBLE) AS net,
+  CAST(CAST(floor(i.weight * 1e9 + 0.5e0) AS BIGINT) AS DOUBLE) AS share,
+  CAST(sum(CAST(floor(i.weight * 1e9 + 0.5e0) AS BIGINT)) OVER w AS DOUBLE) AS total, count(*) OVER w AS n,
   row_number() OVER (PARTITION BY i.order_id ORDER BY i.id DESC) AS from_end
  FROM t_items i JOIN t_orders o ON o.id = i.order_id WINDOW w AS (PARTITION BY i.order_id)),
 priced AS (SELECT *, CASE WHEN from_end > 1 THEN CAST(

@@ -40,16 +40,23 @@ def test_join_unique(spark):
         assert same(skew.join_unique(left, right, ["k"], how, 50), left.join(right, ["k"], how))
 
 
-@pytest.mark.parametrize("hot_rows", [3])
-def test_invoice_paths_agree_on_all_orders(spark, sf, hot_rows):
-    orders, items, settings = X.orders(spark, sf), X.items(spark, sf), X.settings(spark)
-    base = pricing.invoice_lines(orders, items, settings).cache()
-    assert same(base, pricing.invoice_lines(orders, items, settings, hot_rows))
-    equal = pricing.invoice_lines_equal(orders, items)
-    assert same(equal, pricing.invoice_lines_equal(orders, items, hot_rows))
-    quoted = items.filter("quantity % 2 = 0").select(F.col("id").alias("item_id"), F.col("weight").alias("price"))
-    mixed = pricing.invoice_lines_quoted(orders, items, quoted, settings)
-    assert same(mixed, pricing.invoice_lines_quoted(orders, items, quoted, settings, hot_rows))
+@pytest.mark.parametrize("share", ["cbm", "quote"])
+def test_invoice_split_is_exact_for_a_hot_order(spark, sf, share):
+    """One order holds a third of all items; partition counts do not move a cent."""
+    orders, settings = X.orders(spark, sf), X.settings(spark)
+    open_order = orders.filter("status <> 'Paid'").agg(F.min("id")).first()[0]
+    items = X.items(spark, sf).withColumn(
+        "order_id", F.when(F.col("id") % 3 == 0, F.lit(open_order)).otherwise(F.col("order_id")))
+    quoted = items.select(F.col("id").alias("item_id"), F.col("weight").alias("price"))
+
+    def split(parts):
+        some = items.repartition(parts)
+        made = pricing.invoice_lines(orders, some, settings) if share == "cbm" else \
+            pricing.invoice_lines_quoted(orders, some, quoted, settings)
+        return made.cache()
+
+    base = split(3)
+    assert same(base, split(11))
     net = pricing._order_heads(orders, settings)
     sums = base.groupBy("order_id").agg(F.sum("price").alias("s"))
     assert net.join(sums, "order_id").filter(F.abs(F.col("net") - F.col("s")) > 0.004).isEmpty()
