@@ -8,6 +8,7 @@ from cargoframe.functions.measures import cbm_unit, cube_side, discount_amount
 from cargoframe.functions.text import reference
 from cargoframe.operators import audit, lifecycle, pricing, quality, throttle, unions
 from cargoframe.operators.skew import shared_folder
+from cargoframe.plans.registry import STRAY_SQL, stray_orders
 from cargoframe.plans.registry import FX, plain, query
 from cargoframe.plans.views import e164_sql, mark_sql, step_sql
 from cargoframe.sources import fixtures as X
@@ -325,12 +326,11 @@ def _(spark, d):
 
 
 @query("i16_close_registrations", f"""
-SELECT id, CASE WHEN email IN (SELECT email FROM v_customers WHERE status = 'active')
- OR {e164_sql('phone')} IN (SELECT {e164_sql('phone')} FROM v_customers WHERE status = 'active')
+SELECT id, CASE WHEN email IN (SELECT email FROM v_customers)
+ OR {e164_sql('phone')} IN (SELECT {e164_sql('phone')} FROM v_customers)
  THEN 'Created' ELSE status END AS status FROM t_registrations""")
 def _(spark, d):
-    people = X.customers(spark, d).filter("status = 'active'")
-    return lifecycle.close_registrations(X.registrations(spark, d), people).select("id", "status")
+    return lifecycle.close_registrations(X.registrations(spark, d), X.customers(spark, d)).select("id", "status")
 
 
 # J. pricing -----------------------------------------------------------------------------
@@ -541,12 +541,12 @@ WITH tokens AS (SELECT id, unnest(regexp_extract_all(details, '(?:CUS|BOX)[0-9]+
 texts AS (SELECT id, unnest(regexp_split_to_array(details, '(?:CUS|BOX)[0-9]+')) AS txt,
   generate_subscripts(regexp_split_to_array(details, '(?:CUS|BOX)[0-9]+'), 1) AS pos FROM v_logs),
 named AS (SELECT t.id, t.pos, coalesce(c.shipping_mark, b.container_ref, t.token) AS label FROM tokens t
- LEFT JOIN t_customers c ON concat('CUS', CAST(c.id AS VARCHAR)) = t.token AND c.status = 'active'
+ LEFT JOIN t_customers c ON concat('CUS', CAST(c.id AS VARCHAR)) = t.token
  LEFT JOIN v_containers b ON concat('BOX', CAST(b.id AS VARCHAR)) = t.token)
 SELECT x.id, string_agg(concat(x.txt, coalesce(n.label, '')), '' ORDER BY x.pos) AS details
 FROM texts x LEFT JOIN named n ON n.id = x.id AND n.pos = x.pos GROUP BY x.id""")
 def _(spark, d):
-    people = X.customers(spark, d).filter("status = 'active'").withColumn(
+    people = X.customers(spark, d).withColumn(
         "id", F.concat(F.lit("CUS"), F.col("id").cast("string")))
     things = X.containers(spark, d).select(
         F.concat(F.lit("BOX"), F.col("id").cast("string")).alias("id"),
@@ -704,11 +704,10 @@ def _(spark, d):
 
 
 @query("l6_referential_check", """
-SELECT id, customer_id FROM t_orders
-WHERE customer_id NOT IN (SELECT id FROM t_customers WHERE status = 'active')""")
+SELECT id, customer_id FROM """ + STRAY_SQL + " stray WHERE customer_id NOT IN (SELECT id FROM t_customers)")
 def _(spark, d):
-    people = X.customers(spark, d).filter("status = 'active'")
-    return quality.referential_check(X.orders(spark, d), people, "customer_id").select("id", "customer_id")
+    orders = stray_orders(X.orders(spark, d))
+    return quality.referential_check(orders, X.customers(spark, d), "customer_id").select("id", "customer_id")
 
 
 # M. feeds (batch forms) -----------------------------------------------------------------

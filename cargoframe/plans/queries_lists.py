@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cargoframe.functions.text import reference
 from cargoframe.operators import filters, links, listing, unions, windows
 from cargoframe.plans import screens
+from cargoframe.plans.registry import STRAY_SQL, stray_orders
 from cargoframe.plans.registry import AS_OF, FROM, TO, plain, query
 from cargoframe.sources import fixtures as X, loads, tables
 
@@ -311,11 +312,10 @@ def _(spark, d):
 
 @query("c2_orders_with_customer", """
 SELECT o.id, coalesce(c.name, 'stored') AS customer_name
-FROM t_orders o LEFT JOIN (SELECT * FROM t_customers WHERE status = 'active') c ON c.id = o.customer_id""")
+FROM """ + STRAY_SQL + " o LEFT JOIN t_customers c ON c.id = o.customer_id")
 def _(spark, d):
-    orders = X.orders(spark, d).withColumn("customer_name", F.lit("stored"))
-    people = X.customers(spark, d).filter("status = 'active'")
-    return links.orders_with_customer(orders, people).select("id", "customer_name")
+    orders = stray_orders(X.orders(spark, d)).withColumn("customer_name", F.lit("stored"))
+    return links.orders_with_customer(orders, X.customers(spark, d)).select("id", "customer_name")
 
 
 @query("c3_items_with_eta", """
@@ -514,13 +514,13 @@ def _(spark, d):
 @query("f6_outstanding_payments", """
 SELECT o.id, o.order_ref, coalesce(c.name, 'Unknown') AS customer_name,
  CAST(o.invoice_amount AS DOUBLE) AS invoice_amount, TS(o.invoice_date) AS invoice_date, o.status
-FROM t_orders o LEFT JOIN (SELECT * FROM t_customers WHERE status = 'active') c ON c.id = o.customer_id
-WHERE o.status IN ('Pending', 'Partial') AND {RANGE}""".replace("{RANGE}", (
+FROM {STRAY} o LEFT JOIN t_customers c ON c.id = o.customer_id
+WHERE o.status IN ('Pending', 'Partial') AND {RANGE}""".replace("{STRAY}", STRAY_SQL).replace("{RANGE}", (
     "coalesce(o.invoice_date, o.created_at) >= TIMESTAMP '1998-01-01' "
     "AND coalesce(o.invoice_date, o.created_at) < TIMESTAMP '1999-01-01'")))
 def _(spark, d):
-    people = X.customers(spark, d).filter("status = 'active'")
-    return plain(listing.outstanding_payments(X.orders(spark, d), people, FROM, TO))
+    orders = stray_orders(X.orders(spark, d))
+    return plain(listing.outstanding_payments(orders, X.customers(spark, d), FROM, TO))
 
 
 @query("f7_latest_activity", """

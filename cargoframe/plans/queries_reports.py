@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cargoframe.operators import reports, windows
+from cargoframe.plans.registry import STRAY_SQL, stray_orders
 from cargoframe.plans.registry import AS_OF, FROM, TO, plain, query
 from cargoframe.sources import fixtures as X
 
@@ -52,9 +53,9 @@ LEFT JOIN (SELECT strftime(date_received, '%Y-%m') AS month, count(*) AS n FROM
  ON r.month = s.month"""
 _TOP = """
 SELECT customer_id, coalesce(c.name, 'Unknown') AS name, CAST(revenue AS DOUBLE) AS revenue, orders
-FROM (SELECT customer_id, sum(invoice_amount) AS revenue, count(*) AS orders FROM t_orders
+FROM (SELECT customer_id, sum(invoice_amount) AS revenue, count(*) AS orders FROM """ + STRAY_SQL + """ stray
  WHERE status = 'Paid' AND {RANGE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) t
-LEFT JOIN (SELECT * FROM t_customers WHERE status = 'active') c ON c.id = t.customer_id"""
+LEFT JOIN t_customers c ON c.id = t.customer_id"""
 
 
 @query("d3_monthly_revenue", _MONTHLY_REVENUE)
@@ -67,25 +68,25 @@ def _(spark, d):
     return plain(reports.monthly_shipments(X.items(spark, d), AS_OF))
 
 
-def _active(spark, d):
-    return X.customers(spark, d).filter("status = 'active'")
+def _stray(spark, d):
+    return stray_orders(X.orders(spark, d))
 
 
 @query("d5_top_customers", _TOP)
 def _(spark, d):
-    return plain(reports.top_customers(X.orders(spark, d), _active(spark, d), FROM, TO))
+    return plain(reports.top_customers(_stray(spark, d), X.customers(spark, d), FROM, TO))
 
 
 @query("d6_customer_analytics", f"""
 SELECT coalesce(c.id, o.customer_id) AS customer_id, coalesce(c.name, 'Unknown') AS name,
  coalesce(o.n, 0) AS total_orders, CAST(coalesce(o.paid, 0) AS DOUBLE) AS total_revenue,
  CAST(coalesce(o.due, 0) AS DOUBLE) AS outstanding_balance
-FROM (SELECT * FROM t_customers WHERE status = 'active') c FULL OUTER JOIN (
+FROM t_customers c FULL OUTER JOIN (
  SELECT customer_id, count(*) AS n, sum({_PAID}) AS paid,
   sum(CASE WHEN status IN ('Pending', 'Partial') THEN invoice_amount ELSE 0 END) AS due
- FROM t_orders WHERE {{RANGE}} GROUP BY customer_id) o ON o.customer_id = c.id""")
+ FROM {STRAY_SQL} stray WHERE {{RANGE}} GROUP BY customer_id) o ON o.customer_id = c.id""")
 def _(spark, d):
-    return plain(reports.customer_analytics(X.orders(spark, d), _active(spark, d), FROM, TO))
+    return plain(reports.customer_analytics(_stray(spark, d), X.customers(spark, d), FROM, TO))
 
 
 @query("d7_total_shipments", "SELECT count(*) AS total_shipments FROM t_items")
@@ -232,7 +233,7 @@ def _(spark, d):
 SELECT *, CAST(row_number() OVER (ORDER BY revenue DESC, customer_id) AS INTEGER) AS rank,
  R4(revenue / max(revenue) OVER () * 100) AS pct_of_leader FROM ({_TOP}) t""")
 def _(spark, d):
-    top = reports.top_customers(X.orders(spark, d), _active(spark, d), FROM, TO)
+    top = reports.top_customers(_stray(spark, d), X.customers(spark, d), FROM, TO)
     return plain(windows.ranked_customers(top), round_to=4)
 
 

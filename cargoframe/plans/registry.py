@@ -104,3 +104,13 @@ def plain(df: DataFrame, *columns: str, text: tuple[str, ...] = (), round_to: in
             column = column.cast("string")
         out.append(column.alias(name))
     return df.select(*out)
+
+
+#: Orders of which every seventh refers to a customer that does not exist.
+STRAY_SQL = """(SELECT * REPLACE (
+ CASE WHEN id % 7 = 0 THEN -customer_id ELSE customer_id END AS customer_id) FROM t_orders)"""
+
+
+def stray_orders(orders):
+    link = F.col("customer_id")
+    return orders.withColumn("customer_id", F.when(F.col("id") % 7 == 0, -link).otherwise(link))

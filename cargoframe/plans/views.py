@@ -117,7 +117,7 @@ SELECT concat('U', CAST(c_custkey AS VARCHAR)) AS id,
  CASE WHEN c_custkey % 50 <> 0 AND c_custkey % 20 <> 0 THEN c_custkey END AS customer_id,
  CASE WHEN c_custkey % 4 = 0 THEN c_name END AS customer_name,
  DATE '2000-01-01' + CAST(c_custkey % 365 AS INT) AS last_login
-FROM customer WHERE c_custkey % 3 <> 2""",
+FROM customer""",
     "v_warehouses": """
 SELECT n_nationkey AS id, n_name AS name, concat('Dock ', CAST(n_regionkey AS VARCHAR)) AS address,
  CASE n_nationkey % 4 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS is_active,

@@ -200,10 +200,10 @@ def special_rates(spark, sf_dir):
 
 
 def raw_users(spark, sf_dir):
-    """A login for two customers out of three; staff accounts among them."""
+    """A login for every customer; staff accounts among them."""
     key = F.col("c_custkey")
     role = F.when(key % 50 == 0, "super_admin").when(key % 20 == 0, "warehouse_staff")
-    return base(spark, sf_dir, "customer").filter(key % 3 != 2).select(
+    return base(spark, sf_dir, "customer").select(
         F.concat(F.lit("U"), _text("c_custkey")).alias("id"),
         F.concat(F.lit("uid-"), _text("c_custkey")).alias("login_uid"),
         F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias(
