@@ -156,6 +156,15 @@ def test_substring(docs, texts, odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_html_without_marked_part(spark):
+    """The tree alone decides: a branch that all pages of a host share goes, differing ones stay."""
+    html = "<html><body><div class='bar'>Same here</div><div class='text'>Own words %d</div></body></html>"
+    rows = [(i, f"http://h.org/{i}", html % i) for i in range(6)] + [(9, "http://few.org/", html % 9)]
+    found = {r.page_id: (r.text, r.n_removed) for r in html_extract.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**{i: (f"Own words {i}", 1) for i in range(6)}, 9: ("Same here\nOwn words 9", 0)}
+
+
 PAGE = ("<html><body><nav><a href=/>Home</a></nav><article><h1>T%d &amp; co</h1><p>Own  text\n%d<br>here.<p>More %d</p>"
         "<div class='comments'><p>Nice!</p></div></article><aside>Buy</aside><footer>Foot</footer></body></html>")
 BARE = "<body><div class=top>Same banner line</div><div class=body>Story number %d tells something new</div></body>"
