@@ -3,12 +3,14 @@
 Seeds are winnowed anchors: of every ``window`` consecutive words the least hash among its
 ``ANCHOR``-word grams (the rightmost of equals). The choice depends on the window's words alone,
 so equal windows have equal anchors at equal places, and a window that repeats elsewhere is
-found through its anchor. Documents are joined on anchors that at least two of them hold; each
-shared anchor is extended both ways to all windows that chose it; extended windows with a
-smaller holder mark their words. Runs of marked words are the maximal repeats.
+found through its anchor. Places are dealt by anchor into buckets; where an anchor meets itself,
+its place is extended both ways over the windows that chose it, and a window that a smaller
+document holds too marks its words. Runs of marked words are the maximal repeats.
 
-The windows are compared by 128-bit hashes. No pair of documents is formed: an anchor or window
-keeps only its smallest document, so a passage in a third of all rows costs one row per place.
+No pair of documents is formed. Inside a batch of documents a window stays with its smallest
+document only, the others are marked at once; so a passage in a third of all rows costs a bucket
+one place per batch. The number of buckets grows with the bytes of text (``BUCKET`` each). Windows
+are compared by their own 64-bit hash and that of their anchor.
 
 Null and empty texts have no word. Rows with the same id are one document for the comparison
 and get one result row each. Null ids count as smaller than any other and among themselves as
@@ -20,13 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.llm.words import Words, lists, mix, signed
-from cargoframe.sources.scratch import settle, ship
+from cargoframe.sources.scratch import ship
 
 ANCHOR = 6
 ROWS = 1000
+BUCKET = 1 << 22  # bytes of text
+BUCKETS = 1024  # at least
+_PLACES = "bucket long, anchor array<long>, text_hash array<long>, doc array<long>, first array<int>, n array<int>, hash array<long>"
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,54 +52,102 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return whole, place, dense
 
 
-def _seeds(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for low in range(0, whole_batch.num_rows, ROWS):
-                batch = whole_batch.slice(low, ROWS)
-                words = Words(batch.column("text"))
-                _, place, dense = _anchors(words, window)
-                place = np.unique(place)
-                row = words.row[place]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(pa.array(row)), batch.column("text_hash").take(pa.array(row)),
-                     signed(dense[place]), pa.array((place - words.first[row]).astype(np.int32))],
-                    ["doc", "text_hash", "anchor", "at"])
-    return run
+def _later(anchor: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Windows that a smaller document holds as well."""
+    order = np.lexsort((doc, gram, anchor))
+    anchor, gram, doc = anchor[order], gram[order], doc[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (gram[1:] != gram[:-1])
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    out = np.zeros(len(order), bool)
+    out[order] = doc > doc[head]
+    return out
+
 
+def _runs(first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of the runs of consecutive window starts with one owner."""
+    fresh = np.ones(len(first), bool)
+    fresh[1:] = (first[1:] != first[:-1] + 1) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(fresh)
+    return begin, np.diff(np.concatenate([begin, [len(first)]]))
 
-def _extend(window: int):
+
+def _places(bucket, counts, anchor, text_hash, doc, first, n, gram, grams) -> pa.RecordBatch:
+    """Rows of places, ``counts`` places and ``grams`` windows each."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket.astype(np.int64)), lists(signed(anchor), counts if len(anchor) else 0 * counts),
+         lists(pa.array(text_hash), counts), lists(pa.array(doc), counts), lists(pa.array(first.astype(np.int32)), counts),
+         lists(pa.array(n.astype(np.int32)), counts), lists(signed(gram), grams)],
+        ["bucket", "anchor", "text_hash", "doc", "first", "n", "hash"])
+
+
+def _seeds(window: int, buckets: int):
+    """Places per bucket; a row without anchors holds places that are marked already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
         for whole_batch in batches:
             for low in range(0, whole_batch.num_rows, ROWS):
                 batch = whole_batch.slice(low, ROWS)
+                docs, texts = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
+                # equal rows share their marks
+                batch = batch.take(pa.array(np.unique(np.stack([docs, texts]), axis=1, return_index=True)[1]))
+                docs, texts = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
                 words = Words(batch.column("text"))
-                whole, place, _ = _anchors(words, window)
-                shared = np.zeros(len(words.row) + 1, bool)
-                marks = batch.column("places")
-                count = np.diff(marks.offsets.to_numpy())
-                row = np.repeat(np.arange(batch.num_rows), count)
-                shared[words.first[row] + marks.flatten().to_numpy(zero_copy_only=False)] = True
-                chosen = shared[place]
-                left, right = words.grams(words.hashes(), window)[1], words.grams(words.hashes(1), window)[1]
-                at, row = whole[chosen], words.row[whole[chosen]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(pa.array(row)), batch.column("text_hash").take(pa.array(row)),
-                     signed(left[chosen]), signed(mix(right[chosen])),
-                     pa.array((at - words.first[row]).astype(np.int32))],
-                    ["doc", "text_hash", "w1", "w2", "at"])
+                whole, place, dense = _anchors(words, window)
+                if not len(whole):
+                    continue
+                anchor, gram = dense[place], words.grams(words.hashes(1), window)[1]
+                row = words.row[whole]
+                doc, first = docs[row], whole - words.first[row]
+                later = _later(anchor, gram, doc)
+                at = np.flatnonzero(later)
+                if len(at):
+                    begin, n = _runs(first[at], row[at])
+                    at = at[begin]
+                    yield _places(np.abs(texts[row[at[:1]]] % buckets), np.array([len(at)]), none, texts[row[at]], doc[at],
+                                  first[at], n, none, np.zeros(1, np.int64))
+                rest = np.flatnonzero(~later)
+                begin, n = _runs(first[rest], place[rest])
+                at = rest[begin]
+                bucket = (mix(anchor[at]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                at, begin, n, bucket = at[order], begin[order], n[order], bucket[order]
+                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                inside = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield _places(bucket[edge], np.diff(np.concatenate([edge, [len(at)]])), anchor[at], texts[row[at]], doc[at],
+                              first[at], n, gram[rest][inside], np.add.reduceat(n, edge))
     return run
 
 
+def _extend(places: pa.Table) -> pa.Table:
+    """Marked runs of one bucket: the windows around its anchors that a smaller document holds too."""
+    def flat(name: str, rows: pa.Table) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    open_ = pa.compute.greater(pa.compute.list_value_length(places.column("anchor")), 0)
+    known, rows = places.filter(pa.compute.invert(open_)), places.filter(open_)
+    anchor, text, doc, first, n = (flat(c, rows) for c in ("anchor", "text_hash", "doc", "first", "n"))
+    of = np.repeat(np.arange(len(n)), n)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.flatnonzero(_later(anchor[of], flat("hash", rows), doc[of]))
+    begin, size = _runs(start[at], of[at])
+    at = at[begin]
+    return pa.table({
+        "doc": np.concatenate([doc[of[at]], flat("doc", known)]),
+        "text_hash": np.concatenate([text[of[at]], flat("text_hash", known)]),
+        "first": np.concatenate([start[at], flat("first", known)]).astype(np.int32),
+        "n": np.concatenate([size, flat("n", known)]).astype(np.int32)})
+
+
 def _cover(words: Words, marks: pa.Array, window: int) -> np.ndarray:
     """Words that a marked window covers."""
     marks = marks.fill_null(pa.scalar([], marks.type)) if marks.null_count else marks
-    count = np.diff(marks.offsets.to_numpy())
-    row = np.repeat(np.arange(len(count)), count)
-    at = words.first[row] + marks.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+    runs = marks.flatten()
+    at = words.first[row] + runs.field("first").to_numpy(zero_copy_only=False)
     step = np.zeros(len(words.row) + 1, np.int64)
     np.add.at(step, at, 1)
-    np.add.at(step, at + window, -1)
+    np.add.at(step, at + runs.field("n").to_numpy(zero_copy_only=False) + (window - 1), -1)
     return np.cumsum(step)[:-1] > 0
 
 
@@ -147,17 +201,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc"),
         F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    once = source.select("doc", "text_hash", "text")
-    seeds = once.mapInArrow(_seeds(window), "doc long, text_hash long, anchor long, at int")
-    held = seeds.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = seeds.join(held.filter("low < high").select("anchor"), "anchor", "left_semi")
-    places = shared.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("places"))
-    windows = once.join(places, ["doc", "text_hash"]).mapInArrow(
-        _extend(window), "doc long, text_hash long, w1 long, w2 long, at int")
-    windows = settle(windows, "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    later = windows.join(first.filter("low < high").select("w1", "w2", "low"), ["w1", "w2"]).filter("doc > low")
-    marks = later.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("places"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    places = source.select("doc", "text_hash", "text").mapInArrow(_seeds(window, max(BUCKETS, size // BUCKET)), _PLACES)
+    runs = places.groupBy("bucket").applyInArrow(_extend, "doc long, text_hash long, first int, n int")
+    marks = runs.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("places"))
     marked = source.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text_hash", "text", "places")
     return marked.mapInArrow(
         _remove(window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, "
