@@ -10,7 +10,8 @@ document holds too marks its words. Runs of marked words are the maximal repeats
 No pair of documents is formed. Inside a batch of documents a window stays with its smallest
 document only, the others are marked at once; so a passage in a third of all rows costs a bucket
 one place per batch. The number of buckets grows with the bytes of text (``BUCKET`` each). Windows
-are compared by their own 64-bit hash and that of their anchor.
+are compared by bucket, 32 bits of their anchor's hash and 48 bits of their own. ``window`` is
+below 32,768 words.
 
 Null and empty texts have no word. Rows with the same id are one document for the comparison
 and get one result row each. Null ids count as smaller than any other and among themselves as
@@ -25,14 +26,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from cargoframe.llm.words import Words, lists, mix, signed
+from cargoframe.llm.words import Words, buffers, lists, mix
 from cargoframe.sources.scratch import ship
 
 ANCHOR = 6
 ROWS = 1000
 BUCKET = 1 << 22  # bytes of text
 BUCKETS = 1024  # at least
-_PLACES = "bucket long, anchor array<long>, text_hash array<long>, doc array<long>, first array<int>, n array<int>, hash array<long>"
+LONGEST = 32_000  # windows of one run
+_PLACES = ("bucket long, anchor array<int>, text_hash array<long>, doc array<long>, first array<int>, "
+           "n array<smallint>, low array<int>, high array<smallint>")
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +77,13 @@ def _runs(first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _places(bucket, counts, anchor, text_hash, doc, first, n, gram, grams) -> pa.RecordBatch:
     """Rows of places, ``counts`` places and ``grams`` windows each."""
+    anchor = (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    low, high = gram.astype(np.uint32).view(np.int32), (gram >> np.uint64(48)).astype(np.uint16).view(np.int16)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket.astype(np.int64)), lists(signed(anchor), counts if len(anchor) else 0 * counts),
+        [pa.array(bucket.astype(np.int64)), lists(pa.array(anchor), counts if len(anchor) else 0 * counts),
          lists(pa.array(text_hash), counts), lists(pa.array(doc), counts), lists(pa.array(first.astype(np.int32)), counts),
-         lists(pa.array(n.astype(np.int32)), counts), lists(signed(gram), grams)],
-        ["bucket", "anchor", "text_hash", "doc", "first", "n", "hash"])
+         lists(pa.array(n.astype(np.int16)), counts), lists(pa.array(low), grams), lists(pa.array(high), grams)],
+        ["bucket", "anchor", "text_hash", "doc", "first", "n", "low", "high"])
 
 
 def _seeds(window: int, buckets: int):
@@ -102,7 +107,7 @@ def _seeds(window: int, buckets: int):
                 later = _later(anchor, gram, doc)
                 at = np.flatnonzero(later)
                 if len(at):
-                    begin, n = _runs(first[at], row[at])
+                    begin, n = _runs(first[at], row[at] << 32 | first[at] // LONGEST)
                     at = at[begin]
                     yield _places(np.abs(texts[row[at[:1]]] % buckets), np.array([len(at)]), none, texts[row[at]], doc[at],
                                   first[at], n, none, np.zeros(1, np.int64))
@@ -113,7 +118,7 @@ def _seeds(window: int, buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 at, begin, n, bucket = at[order], begin[order], n[order], bucket[order]
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                inside = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                inside = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 yield _places(bucket[edge], np.diff(np.concatenate([edge, [len(at)]])), anchor[at], texts[row[at]], doc[at],
                               first[at], n, gram[rest][inside], np.add.reduceat(n, edge))
     return run
@@ -127,9 +132,10 @@ def _extend(places: pa.Table) -> pa.Table:
     open_ = pa.compute.greater(pa.compute.list_value_length(places.column("anchor")), 0)
     known, rows = places.filter(pa.compute.invert(open_)), places.filter(open_)
     anchor, text, doc, first, n = (flat(c, rows) for c in ("anchor", "text_hash", "doc", "first", "n"))
+    gram = flat("high", rows).astype(np.int64) << 32 | flat("low", rows).view(np.uint32)
     of = np.repeat(np.arange(len(n)), n)
     start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.flatnonzero(_later(anchor[of], flat("hash", rows), doc[of]))
+    at = np.flatnonzero(_later(anchor[of], gram, doc[of]))
     begin, size = _runs(start[at], of[at])
     at = at[begin]
     return pa.table({
@@ -151,12 +157,33 @@ def _cover(words: Words, marks: pa.Array, window: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        data, offsets = buffers(batch.column("text"))
+        null = batch.column("text").is_null().to_pylist()
+        size = np.diff(offsets)
+        packed = [None if gone else codec.compress(data[low:low + n].tobytes(), asbytes=True)
+                  for gone, low, n in zip(null, offsets, size)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "doc", "text_hash")), pa.array(packed, pa.binary()), pa.array(size)],
+            ["doc_id", "doc", "text_hash", "packed", "size"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([None if p is None else codec.decompress(p, n, asbytes=True) for p, n in zip(
+        batch.column("packed").to_pylist(), batch.column("size").to_pylist())], pa.large_binary())
+
+
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for low in range(0, whole_batch.num_rows, ROWS):
                 batch = whole_batch.slice(low, ROWS)
-                words = Words(batch.column("text"))
+                column = _unpacked(batch)
+                words = Words(column)
                 gone = _cover(words, batch.column("places"), window)
                 kept, digest, removed, spans = [], [], [], []
                 for i in range(batch.num_rows):
@@ -180,7 +207,7 @@ def _remove(window: int):
                     kept.append(text)
                 flat = np.concatenate([*spans, np.zeros((0, 2), np.int32)])
                 struct = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
-                null = batch.column("text").is_null()
+                null = column.is_null()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array(words.counts.astype(np.int64)),
                      pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
@@ -205,7 +232,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     places = source.select("doc", "text_hash", "text").mapInArrow(_seeds(window, max(BUCKETS, size // BUCKET)), _PLACES)
     runs = places.groupBy("bucket").applyInArrow(_extend, "doc long, text_hash long, first int, n int")
     marks = runs.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("places"))
-    marked = source.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text_hash", "text", "places")
+    packed = source.mapInArrow(_packed, "doc_id long, doc long, text_hash long, packed binary, size long")
+    marked = packed.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text_hash", "packed", "size", "places")
     return marked.mapInArrow(
         _remove(window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, "
                          "kept_text string, repeats array<struct<first:int,end:int>>")
