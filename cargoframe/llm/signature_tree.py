@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.llm.components import components
-from cargoframe.llm.words import Words, lists, mix, signed
+from cargoframe.llm.words import Words, lists, mix, packed_texts, signed, unpacked
 from cargoframe.sources.scratch import settle, ship
 
 ROWS = 1000
@@ -114,11 +114,12 @@ def _segments(band: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 def _signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of every segment that may prove a link."""
+    """Row and signature of every segment that may prove a link; one row speaks for its equals."""
     rows, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     mixed = mix(sets.values ^ np.uint64(0xA5A5A5A5))
     enters: dict[int, list[int]] = {}
-    for i in np.flatnonzero(sets.size):
+    once = np.unique(sets.key, return_index=True)[1]
+    for i in np.sort(once[sets.size[once] > 0]):
         size = int(sets.size[i])
         for band in range(_band(size), _band(max(size, size * den // num)) + 1):
             enters.setdefault(band, []).append(i)
@@ -174,7 +175,7 @@ def _nodes(k: int, num: int, den: int):
 def _whole_sets(k: int):
     def run(batches):
         for batch in _batches(batches):
-            sets = Sets(batch.column("text"), k)
+            sets = Sets(unpacked(batch), k)
             bits = np.zeros((batch.num_rows, LANES), np.uint64)
             spot = sets.values % np.uint64(64 * LANES)
             np.bitwise_or.at(bits, (sets.row, (spot >> np.uint64(6)).astype(np.int64)),
@@ -262,7 +263,8 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     held = settle(nodes.join(full.select("node", F.col("low").alias("head")), "node").distinct(), "nodes")
     wanted = held.select("key").distinct()
     first = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = (source.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    packed = source.mapInArrow(packed_texts, "doc_id long, packed binary, size long")
+    sets = (packed.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("packed", "size")
             .mapInArrow(_whole_sets(k), "key long, size long, shingles array<long>, "
                         + ", ".join(f"{b} long" for b in _BITS))
             .dropDuplicates(["key"]).join(wanted, "key", "left_semi"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from cargoframe.llm.words import Words, buffers, lists, mix
+from cargoframe.llm.words import Words, lists, mix, packed_texts, unpacked
 from cargoframe.sources.scratch import ship
 
 ANCHOR = 6
@@ -157,32 +157,12 @@ def _cover(words: Words, marks: pa.Array, window: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, for the shuffle."""
-    codec = pa.Codec("zstd")
-    for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        null = batch.column("text").is_null().to_pylist()
-        size = np.diff(offsets)
-        packed = [None if gone else codec.compress(data[low:low + n].tobytes(), asbytes=True)
-                  for gone, low, n in zip(null, offsets, size)]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "doc", "text_hash")), pa.array(packed, pa.binary()), pa.array(size)],
-            ["doc_id", "doc", "text_hash", "packed", "size"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> pa.Array:
-    codec = pa.Codec("zstd")
-    return pa.array([None if p is None else codec.decompress(p, n, asbytes=True) for p, n in zip(
-        batch.column("packed").to_pylist(), batch.column("size").to_pylist())], pa.large_binary())
-
-
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for low in range(0, whole_batch.num_rows, ROWS):
                 batch = whole_batch.slice(low, ROWS)
-                column = _unpacked(batch)
+                column = unpacked(batch)
                 words = Words(column)
                 gone = _cover(words, batch.column("places"), window)
                 kept, digest, removed, spans = [], [], [], []
@@ -232,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     places = source.select("doc", "text_hash", "text").mapInArrow(_seeds(window, max(BUCKETS, size // BUCKET)), _PLACES)
     runs = places.groupBy("bucket").applyInArrow(_extend, "doc long, text_hash long, first int, n int")
     marks = runs.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("places"))
-    packed = source.mapInArrow(_packed, "doc_id long, doc long, text_hash long, packed binary, size long")
+    packed = source.mapInArrow(packed_texts, "doc_id long, doc long, text_hash long, packed binary, size long")
     marked = packed.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text_hash", "packed", "size", "places")
     return marked.mapInArrow(
         _remove(window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, "

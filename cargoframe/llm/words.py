@@ -1,6 +1,7 @@
 """Word positions and hashes of whole Arrow batches with numpy, for use inside Spark tasks."""
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +101,23 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns, then ``text`` compressed for a shuffle: packed and size; null stays null."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        data, offsets = buffers(batch.column("text"))
+        null, sizes = batch.column("text").is_null().to_pylist(), np.diff(offsets)
+        packed = [None if gone else codec.compress(data[low:low + n].tobytes(), asbytes=True)
+                  for gone, low, n in zip(null, offsets, sizes)]
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(packed, pa.binary()), pa.array(sizes)], [*kept, "packed", "size"])
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of ``packed_texts``, as bytes."""
+    codec = pa.Codec("zstd")
+    return pa.array([None if p is None else codec.decompress(p, n, asbytes=True) for p, n in zip(
+        batch.column("packed").to_pylist(), batch.column("size").to_pylist())], pa.large_binary())
