@@ -7,8 +7,9 @@ Equal sets are one *class* (64-bit key of the set). The tree over the classes ha
 2. segments: within a band every set is dealt into segments by shingle hash, so many that linked
    sets agree in at least one whole segment (certain for small sets, up to a chance of ``MISS``
    for large ones); a node of this level holds the sets with an equal segment;
-3. inner nodes: a node with more than ``LEAF`` members (of sets above ``SPLIT_SIZE``, which agree in
-   dozens of segments if linked) is split by a second equal segment;
+3. inner nodes: a node with more than ``LEAF`` members is split by a second equal segment as to its
+   sets of ``SPLIT_SIZE`` and above, which agree in dozens of segments if linked; its smaller sets
+   stay, and beside them the larger ones of a size that may link with theirs;
 4. leaves inside a node, each with the OR of its members' token bitmaps and their size range.
 
 The traversal first compares every set with the first member of most of its nodes. Verified links give
@@ -245,11 +246,12 @@ def _pruned(pairs: DataFrame, leaf: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _open(member: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with the node's size ``n``."""
+    """Members of nodes that hold more than one component, with the node's size ``n`` and least set."""
     kinds = member.groupBy("node").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    return member.join(kinds.filter("low < high").select("node", "n"), "node").select(
-        "node", "key", "component", "size", "n")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.min("size").alias("least_size"))
+    return member.join(kinds.filter("low < high").select("node", "n", "least_size"), "node").select(
+        "node", "key", "component", "size", "n", "least_size")
 
 
 def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -284,10 +286,12 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     named = settle(named.join(sets.select("key", "size"), "key"), "named")
     level = _open(named)
     full = (F.col("n") > LEAF) & (F.col("size") >= SPLIT_SIZE)
+    # a set below SPLIT_SIZE is in no deeper node: those that may link with it stay beside it
+    beside = (F.col("least_size") < SPLIT_SIZE) & (num * F.col("size") <= den * (SPLIT_SIZE - 1))
     # of the nodes that two sets share, the first one full meets a later one
     deeper = level.filter(full).join(named.select("key", F.col("node").alias("other")), "key").filter("other > node")
     deeper = deeper.select(F.xxhash64("node", "other").alias("node"), "key", "component", "size").distinct()
-    done, level = level.filter(~full), _open(deeper)
+    done, level = level.filter(~full | beside), _open(deeper)
     member = done.unionByName(level).select(
         "node", "key", F.col("component").alias("least"), F.col("component").alias("most"), "size", "n")
     # a leaf takes sets of like size; the number of leaves follows from the node's

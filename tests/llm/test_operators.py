@@ -207,6 +207,31 @@ def test_near_duplicates(docs, texts, odd, none, k, num):
     assert {r.doc_id for r in kept.collect()} == set(root.values()) and kept.columns == docs.columns
 
 
+def test_near_copies_around_split_size(spark):
+    """Full nodes with sets on both sides of SPLIT_SIZE: many variants, alike through one text only."""
+    rng, rows, k, num = np.random.default_rng(3), [], 4, 85
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(135)]
+        rows.append(base)
+        for i in range(400):
+            w = base[:132] if i % 4 else list(base)
+            for j in rng.choice(np.arange(4, 128), 2, replace=False):
+                w[j] = f"g{group}c{i}x{j}"
+            rows.append(w)
+    sets = [frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) for w in rows]
+    assert sum(len(s) >= signature_tree.SPLIT_SIZE for s in sets) > 32 < sum(len(s) < signature_tree.SPLIT_SIZE for s in sets)
+    root = list(range(len(rows)))
+    for low in range(0, len(rows), 401):
+        for a in range(low, low + 401):
+            for b in range(a + 1, low + 401):
+                if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    least, most = sorted((root[a], root[b]))
+                    root[low:low + 401] = [least if r == most else r for r in root[low:low + 401]]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in signature_tree.near_duplicates(frame, k, num, 100).collect()}
+    assert [got[i] for i in range(len(rows))] == root
+
+
 def test_near_copies_across_heads(spark):
     """A chain whose ends are not alike is still one component."""
     base = [f"w{i}" for i in range(200)]
