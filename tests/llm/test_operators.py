@@ -318,3 +318,25 @@ def test_decontamination_recall(spark, sf):
         rows.append((item.item_id, " ".join([f"a{i}" for i in range(40)] + w + [f"b{i}" for i in range(40)])))
     found = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
     assert found.filter("doc_id = item_id").count() >= 0.9 * len(rows)
+
+
+def test_decontamination_recall_per_length(spark):
+    """Items of every length with a fifth of their words edited: spread evenly or at random, replaced or mixed."""
+    rng, items, rows, short = np.random.default_rng(8), [], [], []
+    for n in range(5, 41):
+        for case in range(100):
+            item = n * 100 + case
+            w = [f"i{item}w{j}" for j in range(n)]
+            items.append((item, " ".join(w)))
+            edits = n // 5
+            spread = [(j + 1) * (n - edits) // (edits + 1) + j for j in range(edits)]
+            for j in spread if case % 2 else rng.permutation(n)[:edits]:
+                w[j] = [f"zz{j}", "", f"{w[j]} yy{j}"][0 if case % 4 < 2 else int(rng.integers(3))]
+            rows.append((item, " ".join([f"a{i}" for i in range(20)] + w + [f"b{i}" for i in range(20)])))
+    found = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string").repartition(8),
+                                     spark.createDataFrame(items, "item_id long, text string").repartition(8))
+    got = Counter(r.doc_id // 100 for r in found.filter("doc_id = item_id").collect())
+    for n in range(5, 41):
+        width, repeats = decontaminate._plan(n, 0.8)
+        short += [(n, width, repeats, got[n])] if got[n] < 99 else []
+    assert not short and sum(got.values()) >= 0.998 * len(rows)
