@@ -2,7 +2,7 @@
 
 A line is normalised (ASCII lower case, words joined by one blank) and hashed. It is common
 when more than ``MIN_DOCUMENTS`` documents of the host and more than ``MAX_SHARE`` of them hold
-it; equal texts count as one document, so copies do not make their own lines common. Common
+it (``MAX_SHORT_SHARE`` if it has fewer than ``SHORT_LINE`` words); equal texts count as one document, so copies do not make their own lines common. Common
 lines are removed, and a document that keeps less than ``MIN_LEFT`` of its words is rejected.
 
 Null and empty texts have no word and fail the base rule. A null host is a host of its own.
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from cargoframe.llm.words import Words, lists, mix, signed
 from cargoframe.sources.scratch import settle, ship
 
-MIN_DOCUMENTS, MAX_SHARE, MIN_LEFT = 10, 0.1, 0.5
+MIN_DOCUMENTS, MAX_SHARE, MIN_LEFT = 10, 0.01, 0.5
+#: Lines of fewer words may recur by chance and have a share of their own.
+SHORT_LINE, MAX_SHORT_SHARE = 4, 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -108,10 +110,11 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
         "row", "host", "row_hash", "l.line", "l.words")
     sizes = digest.groupBy("host").agg(F.count_distinct("row_hash").alias("documents"))
     common = (
-        lines.groupBy("host", "line").agg(F.count_distinct("row_hash").alias("holders"))
+        lines.groupBy("host", "line").agg(F.count_distinct("row_hash").alias("holders"), F.max("words").alias("words"))
         .filter(F.col("holders") > MIN_DOCUMENTS)
         .join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-        .filter(F.col("holders") > MAX_SHARE * F.col("documents"))
+        .filter(F.col("holders") > F.when(F.col("words") < SHORT_LINE, MAX_SHORT_SHARE).otherwise(MAX_SHARE)
+                * F.col("documents"))
         .select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
     )
     removed = (

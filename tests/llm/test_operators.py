@@ -296,6 +296,14 @@ def test_common_lines(spark):
     assert got[1].n_common_words == 64 and not got[2].kept
 
 
+def test_common_lines_of_a_large_host(spark):
+    """A line on a twentieth of many documents is common, a short one is not."""
+    rows = [(i, ("read our terms and cookie settings here\n" if i % 20 == 0 else "so it goes\n" if i % 20 == 1 else "")
+             + " ".join(f"u{i}v{j}" for j in range(60)), "h") for i in range(400)]
+    got = line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.n_common_words for r in got} == {i: 0 if i % 20 else 7 for i in range(400)}
+
+
 def test_decontamination(spark, docs, texts, odd, none, sf):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(t)))
