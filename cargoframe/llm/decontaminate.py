@@ -215,6 +215,18 @@ def _verify(similarity: float):
     return run
 
 
+def drop_found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without a benchmark item. Rows that share an id are one document; rows without
+    an id are judged by their texts."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
+    unnamed = docs.filter("doc_id IS NULL").select(
+        F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    gone = find_items(docs.filter("doc_id IS NOT NULL"), benchmark, similarity).select(
+        F.col("doc_id").alias("_id"), F.lit(None).cast("long").alias("_row"))
+    gone = gone.union(find_items(unnamed, benchmark, similarity).select(F.lit(None).cast("long"), "doc_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_row")), "left_anti")
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Benchmark items inside documents: doc_id, item_id, distance (edits between words),
     item_words, end_word (word after the best part), similarity. One row per pair."""

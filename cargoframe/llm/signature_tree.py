@@ -159,8 +159,8 @@ def _classes(k: int):
         for batch in _batches(batches):
             sets = Sets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets.size.astype(np.int64)), signed(sets.key)],
-                ["doc_id", "n_shingles", "key"])
+                [batch.column("doc_id"), batch.column("row"), pa.array(sets.size.astype(np.int64)), signed(sets.key)],
+                ["doc_id", "row", "n_shingles", "key"])
     return run
 
 
@@ -254,19 +254,24 @@ def _open(member: DataFrame) -> DataFrame:
         "node", "key", "component", "size", "n", "least_size")
 
 
+def _row():
+    """Hash of the id and the text of a row, which rows without an id have too."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n_shingles, key of every row; and linked pairs (u, v) of keys that
+    """(members, links): doc_id, row (hash of id and text), n_shingles, key of every row; and linked pairs (u, v) of keys that
     connect what the join connects: den * |intersection| >= num * |union|."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    members = settle(source.mapInArrow(_classes(k), "doc_id long, n_shingles long, key long"), "classes")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row"))
+    members = settle(source.mapInArrow(_classes(k), "doc_id long, row long, n_shingles long, key long"), "classes")
     nodes = source.select("text").mapInArrow(_nodes(k, num, den), "node long, key long")
     full = nodes.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     held = settle(nodes.join(full.select("node", F.col("low").alias("head")), "node").distinct(), "nodes")
     wanted = held.select("key").distinct()
-    first = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    packed = source.mapInArrow(packed_texts, "doc_id long, packed binary, size long")
-    sets = (packed.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("packed", "size")
+    first = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    packed = source.select("row", "text").mapInArrow(packed_texts, "row long, packed binary, size long")
+    sets = (packed.join(first.select("row").distinct(), "row", "left_semi").select("packed", "size")
             .mapInArrow(_whole_sets(k), "key long, size long, shingles array<long>, "
                         + ", ".join(f"{b} long" for b in _BITS))
             .dropDuplicates(["key"]).join(wanted, "key", "left_semi"))
@@ -313,23 +318,32 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     return members, settle(links.union(more), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+def _judged(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``near_duplicates`` with row and least_row, the least row of a component's null ids."""
     members, links = link_classes(docs, k, num, den)
     groups = components(links).withColumnRenamed("node", "key")
     joined = members.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
     filled = joined.filter("n_shingles > 0")
-    least = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = filled.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    least = filled.groupBy("component").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("least_row"))
+    linked = filled.join(least, "component").select("doc_id", "n_shingles", "component_id", "row", "least_row")
     return linked.union(joined.filter("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("least_row")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    return _judged(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents with one of each near-duplicate group left: the one with the least doc_id.
 
-    Rows that share an id are one document. Documents without a shingle all stay.
+    Rows that share an id are one document, without an id those that share the text; of a group
+    without any id the text with the least hash stays. Documents without a shingle all stay.
     """
-    judged = near_duplicates(docs, k, num, den)
-    gone = judged.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _judged(docs, k, num, den).filter("n_shingles > 0").filter(
+        "doc_id <> component_id OR (doc_id IS NULL AND (component_id IS NOT NULL OR row <> least_row))").select(
+        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("row")).alias("_row")).distinct()
+    own = F.when(F.col("doc_id").isNull(), _row())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & own.eqNullSafe(F.col("_row")), "left_anti")

@@ -348,3 +348,17 @@ def test_decontamination_recall_per_length(spark):
         width, repeats = decontaminate._plan(n, 0.8)
         short += [(n, width, repeats, got[n])] if got[n] < 99 else []
     assert not short and sum(got.values()) >= 0.998 * len(rows)
+
+
+def test_rows_without_id(spark):
+    """Copies and benchmark items leave without an id too; other rows without an id stay."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["end"])
+    rows = [(1, " ".join(base)), (None, near), (None, "own words of a row that has no id at all"),
+            *[(None, " ".join(f"n{i}" for i in range(m))) for m in (60, 59)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component_id or 0 for r in signature_tree.near_duplicates(docs).collect()) == [0, 0, 0, 1, 1]
+    kept = signature_tree.keep_one(docs).collect()
+    assert len(kept) == 3 and near not in {r.text for r in kept} and {r.doc_id for r in kept} == {1, None}
+    benchmark = spark.createDataFrame([(7, " ".join(base[10:40]))], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.drop_found(docs, benchmark).collect()) == sorted(t for _, t in rows[2:])
