@@ -18,4 +18,4 @@ def test_stages(spark, sf):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [*[f"op{i}" for i in range(1, 11)], "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*[f"op{i}" for i in range(1, 14)], "pipeline"]
