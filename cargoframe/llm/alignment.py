@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargoframe.llm.words import mix
@@ -37,7 +38,7 @@ from cargoframe.sources.scratch import settle, ship
 #: Shards of the hash, keys to a bucket, pilots tried at once, slots to a block, vectors summed by one group.
 SHARDS, BUCKET, TRIES, BLOCK, FAN = 64, 4, 64, 1 << 14, 16
 #: Characters encoded together, and chunks that a Python worker remembers.
-SLICE, REMEMBERED = 4_000_000, 600_000
+SLICE, REMEMBERED = 1_000_000, 400_000
 #: Pairs that may be broadcast; vocabularies that allow more are refused.
 MOST_PAIRS = 4_000_000
 
@@ -230,16 +231,12 @@ _TOKENS_ARROW = pa.schema([
     ("pairs", pa.binary())])
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most about SLICE characters."""
-    low, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > SLICE:
-            yield low, i
-            low, size = i, 0
-        size += len(text or "") + 1
-    if low < len(texts):
-        yield low, len(texts)
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most about SLICE bytes."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64) + 1
+    run = np.cumsum(sizes) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    return zip(edges[:-1], edges[1:])
 
 
 def _encode(a_path: str, b_path: str, keep_groups: bool):
@@ -249,10 +246,10 @@ def _encode(a_path: str, b_path: str, keep_groups: bool):
         encoder = _encoder(a_path, b_path)
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in _slices(texts):
+            for low, high in _slices(batch.column(1)):
                 rows, a_all, b_all = [], [], []
-                for doc, (a, b, groups, n) in zip(docs[low:high], encoder.batch(texts[low:high])):
+                docs, texts = (batch.column(i).slice(low, high - low).to_pylist() for i in (0, 1))
+                for doc, (a, b, groups, n) in zip(docs, encoder.batch(texts)):
                     digest = hashlib.sha256(groups.encode()).hexdigest() if len(a) else ""
                     rows.append((doc, len(a), len(b), n, groups if keep_groups else None, digest,
                                  a.tobytes(), b.tobytes(), None))
