@@ -1,9 +1,8 @@
 """Set-based status, loading, payment and intake jobs.
 
 A job takes the current tables and a frame of requests and returns the new table with
-what was accepted, what was rejected and why, and the history rows to append. A batch
-holds at most one effective request per record: the newest; older ones are rejected as
-superseded. Requests carry ``request_id`` (unique) and ``requested_at``.
+what was accepted, what was rejected and why, and the history rows to append. Requests for
+one record take effect one after the other, by ``requested_at`` and ``request_id`` (unique).
 """
 
 from typing import NamedTuple
@@ -14,7 +13,7 @@ from cargoframe.functions.statuses import mapped, sale_amounts, step_index
 from cargoframe.functions.text import (
     actor_email, blank_to_null, phone_key, shipping_address, shipping_mark,
 )
-from cargoframe.operators.skew import HOT_ROWS, join_unique
+from cargoframe.operators.skew import HOT_ROWS, durable, join_unique, running_before
 from cargoframe.operators.windows import assign_refs
 from cargoframe.schema import (
     CLEARS_MISSING, ITEM_STATUS_FOR_CONTAINER, MONEY, READY, SHIPPED, UNPAID,
@@ -29,25 +28,8 @@ class Change(NamedTuple):
     history: DataFrame
 
 
-def _newest(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(effective, superseded) requests.
-
-    The rank filter also runs before the shuffle, so many requests for one record send one
-    row per task, and the result is already partitioned for the join to its table.
-    """
-    latest = Window.partitionBy(key).orderBy(F.desc("requested_at"), F.desc("request_id"))
-    ranked = requests.withColumn("_rank", F.row_number().over(latest))
-    effective = ranked.filter("_rank = 1").drop("_rank")
-    ids = effective.select("request_id")
-    return effective, requests.join(ids, "request_id", "left_anti")
-
-
-def _newest_per_container(requests: DataFrame) -> DataFrame:
-    """Effective container requests, partitioned by their own id: the join to the items then
-    shuffles both sides, and adaptive execution can split a container that is very full."""
-    order = F.struct("requested_at", "request_id")
-    winners = requests.groupBy("container_id").agg(F.max(order).alias("w"))
-    return requests.join(winners.select("w.request_id"), "request_id", "left_semi")
+#: The order in which requests for one record take effect.
+IN_TURN = [("requested_at", "asc"), ("request_id", "asc")]
 
 
 def history_rows(changes: DataFrame, record_type: str = "Item") -> DataFrame:
@@ -74,48 +56,74 @@ def _rejections(*parts: tuple[DataFrame, Column | str]) -> DataFrame:
     return result
 
 
-def apply_item_status(items: DataFrame, requests: DataFrame) -> Change:
-    """Requests: request_id, item_id, new_status, role, actor, requested_at, notes."""
-    current, superseded = _newest(requests, "item_id")
-    side = current.select(
-        F.col("item_id").alias("id"), "request_id", "new_status", "role", "actor",
-        "requested_at", F.col("notes").alias("request_notes"),
-    )
-    joined = items.join(side, "id", "left")
-    asked = F.col("request_id").isNotNull()
-    no_container = (F.col("new_status") == SHIPPED) & F.col("container_id").isNull()
-    backward = (F.col("role") == "warehouse_staff") & (
-        step_index(F.col("new_status")) < step_index(F.col("status"))
+def _state(status: Column, requests: DataFrame, *turn: Column) -> Column:
+    """A status that compares by its step, then by the turn in which it was set."""
+    turn = turn or tuple(F.lit(None).cast(requests.schema[c].dataType) for c, _ in IN_TURN)
+    return F.struct(step_index(status).alias("step"), turn[0].alias("at"), turn[1].alias("by"), status.alias("status"))
+
+
+def judge_item_status(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every request with the item it names, the status it meets and ``reason`` (NULL: accepted).
+
+    Only an accepted request changes the status: of an admin always, of staff if the step is not
+    below the one it meets, to shipped only with a container. So the status before a request is
+    the greatest step since the last valid admin request, or since the stored status.
+    """
+    side = items.select(
+        F.col("id").alias("item_id"), F.lit(True).alias("_known"), F.col("status").alias("_stored"),
+        F.col("container_id").isNull().alias("_loose"), "item_ref", "customer_id", "order_id",
+        "tracking_number", "description",
     )
-    reason = F.when(asked & backward, "status can only move forward").when(
-        asked & no_container, "no container"
+    asked = requests.select(
+        "request_id", "item_id", "new_status", "role", "actor", "requested_at",
+        F.col("notes").alias("request_notes"),
+    ).join(side, "item_id", "left")
+    no_container = (F.col("new_status") == SHIPPED) & F.col("_loose")
+    valid = F.col("_known") & ~F.coalesce(no_container, F.lit(False))
+    staff = F.coalesce(F.col("role") == "warehouse_staff", F.lit(False))
+    turn = [F.col(c) for c, _ in IN_TURN]
+    met = running_before(
+        asked, ["item_id"], IN_TURN, F.when(valid, _state(F.col("new_status"), requests, *turn)),
+        valid & ~staff, _state(F.col("_stored"), requests), "_met",
     )
-    joined = joined.withColumn("_reason", reason)
-    done = asked & F.col("_reason").isNull()
-    cleared = done & F.col("new_status").isin(*CLEARS_MISSING)
-    table = joined.withColumns(
+    backward = staff & (step_index(F.col("new_status")) < F.col("_met.step"))
+    reason = F.when(F.col("_known").isNull(), "unknown item").when(
+        backward, "status can only move forward"
+    ).when(no_container, "no container")
+    return met.withColumns({"previous_status": F.col("_met.status"), "reason": reason}).drop(
+        "_known", "_stored", "_loose", "_met")
+
+
+def apply_judged_status(items: DataFrame, judged: DataFrame) -> Change:
+    accepted = judged.filter("reason IS NULL").withColumn("id", F.col("item_id"))
+    last = F.max(F.struct("requested_at", "request_id", "new_status")).alias("_last")
+    ends = accepted.groupBy("id").agg(
+        last, F.bool_or(F.col("new_status").isin(*CLEARS_MISSING)).alias("_cleared"))
+    table = items.join(ends, "id", "left").withColumns(
         {
-            "status": F.when(done, F.col("new_status")).otherwise(F.col("status")),
-            "is_missing": F.when(cleared, False).otherwise(F.col("is_missing")),
+            "status": F.coalesce("_last.new_status", "status"),
+            "is_missing": F.when(F.col("_cleared"), False).otherwise(F.col("is_missing")),
         }
     ).select(items.columns)
-    accepted = joined.filter(done).select(
+    accepted = accepted.select(
         "request_id", "id", "item_ref", "customer_id", "order_id", "tracking_number",
-        "description", F.col("status").alias("previous_status"), "new_status", "role", "actor",
-        "requested_at", "request_notes",
-    )
-    unknown = current.join(items.select(F.col("id").alias("item_id")), "item_id", "left_anti")
-    refused = joined.filter("_reason IS NOT NULL").withColumn("item_id", F.col("id"))
-    rejected = _rejections(
-        (refused, F.col("_reason")), (unknown, "unknown item"), (superseded, "superseded")
+        "description", "previous_status", "new_status", "role", "actor", "requested_at",
+        "request_notes",
     )
+    rejected = _rejections((judged.filter("reason IS NOT NULL"), F.col("reason")))
     return Change(table, accepted, rejected, history_rows(accepted))
 
 
+def apply_item_status(items: DataFrame, requests: DataFrame) -> Change:
+    """Requests: request_id, item_id, new_status, role, actor, requested_at, notes."""
+    return apply_judged_status(items, judge_item_status(items, requests))
+
+
 class Cascade(NamedTuple):
     containers: DataFrame
     items: DataFrame
     history: DataFrame | None
+    rejected: DataFrame
 
 
 def cascade_container_status(
@@ -123,37 +131,46 @@ def cascade_container_status(
 ) -> Cascade:
     """Requests: request_id, container_id, new_status, arrival_date, requested_at.
 
-    Items follow the container (shipped -> shipped, arrived -> sorting); Loading leaves them.
+    A container ends in the status of its last request and keeps the last arrival date given.
+    Items follow every request in turn (shipped -> shipped, arrived -> sorting); Loading leaves
+    them where the request before has put them.
     """
     known = containers.select(F.col("id").alias("container_id"))
-    current = _newest_per_container(requests.join(known, "container_id", "left_semi"))
-    side = current.select(
-        F.col("container_id").alias("id"), F.col("new_status").alias("_status"),
-        F.col("arrival_date").alias("_arrival"),
-    )
-    boxes = containers.join(side, "id", "left").withColumns(
+    asked = requests.join(known, "container_id", "left_semi").withColumn(
+        "_target", mapped(F.col("new_status"), ITEM_STATUS_FOR_CONTAINER))
+    turn = [F.col(c) for c, _ in IN_TURN]
+
+    def newest(value: str) -> Column:
+        """The last value that is set."""
+        return F.max(F.when(F.col(value).isNotNull(), F.struct(*turn, F.col(value).alias("v"))))["v"]
+
+    ends = asked.groupBy("container_id").agg(
+        newest("new_status").alias("_status"), newest("arrival_date").alias("_arrival"),
+        newest("_target").alias("_target"))
+    boxes = containers.join(ends.withColumnRenamed("container_id", "id"), "id", "left").withColumns(
         {
             "status": F.coalesce("_status", "status"),
             "arrival_date": F.coalesce("_arrival", "arrival_date"),
         }
     ).select(containers.columns)
-
-    target = mapped(F.col("new_status"), ITEM_STATUS_FOR_CONTAINER)
-    moves = current.select("container_id", target.alias("_target"), "requested_at").filter(
-        "_target IS NOT NULL"
-    )
-    joined = items.join(moves, "container_id", "left")
-    table = joined.withColumn("status", F.coalesce("_target", "status")).select(items.columns)
+    moved = items.join(ends.select("container_id", "_target"), "container_id", "left")
+    table = moved.withColumn("status", F.coalesce("_target", "status")).select(items.columns)
     history = None
     if log_history:
-        moved = joined.filter("_target IS NOT NULL").select(
-            "id", "item_ref", F.col("status").alias("previous_status"),
+        moves = asked.filter("_target IS NOT NULL").select("container_id", "_target", *turn)
+        moves = running_before(
+            moves, ["container_id"], IN_TURN, F.col("_target"), F.lit(True),
+            F.lit(None).cast("string"), "_previous")
+        steps = items.join(moves, "container_id").select(
+            "id", "item_ref", F.coalesce("_previous", "status").alias("previous_status"),
             F.col("_target").alias("new_status"), F.lit(None).cast("string").alias("actor"),
             F.lit("super_admin").alias("role"), "requested_at",
             F.lit("container status").alias("request_notes"),
         )
-        history = history_rows(moved)
-    return Cascade(boxes, table, history)
+        history = history_rows(steps)
+    strangers = requests.join(known, "container_id", "left_anti").select(
+        "request_id", F.col("container_id").cast("string"), F.lit("unknown container").alias("reason"))
+    return Cascade(boxes, table, history, strangers)
 
 
 def sync_container_items(containers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,6 +231,12 @@ def _flag(df: DataFrame, ids: DataFrame, key: str, name: str = "_flag") -> DataF
     return df.join(marks, key, "left")
 
 
+def unknown_requests(requests: DataFrame, table: DataFrame, key: str, reason: str) -> DataFrame:
+    """Requests whose ``key`` names no row of the table, with the reason; the jobs leave them out."""
+    known = table.select(F.col("id").alias(key))
+    return requests.join(known, key, "left_anti").withColumn("reason", F.lit(reason))
+
+
 def unload_items(items: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests: item_id. The items leave whatever container they are in."""
     flagged = _flag(items, requests.withColumn("id", F.col("item_id")), "id")
@@ -222,31 +245,39 @@ def unload_items(items: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def mark_sorting(items: DataFrame, actions: DataFrame) -> Change:
-    """Actions: request_id, item_id, action (found or missing), role, actor, requested_at."""
-    current, superseded = _newest(actions, "item_id")
-    side = current.select(
-        F.col("item_id").alias("id"), "request_id", "action", "role", "actor", "requested_at"
-    )
-    joined = items.join(side, "id", "left")
-    found, missing = F.col("action") == "found", F.col("action") == "missing"
+    """Actions: request_id, item_id, action (found or missing), role, actor, requested_at.
+
+    Every valid action sets or clears the missing flag in its turn; from the first find on an
+    item is ready for pickup.
+    """
+    turn = F.struct(*[c for c, _ in IN_TURN])
+    found, valid = F.col("action") == "found", F.col("action").isin("found", "missing")
+    ends = actions.filter(valid).groupBy(F.col("item_id").alias("id")).agg(
+        F.min(F.when(found, turn)).alias("_found"),
+        F.max(F.struct(*[c for c, _ in IN_TURN], "action"))["action"].alias("_last"))
+    joined = items.join(ends, "id", "left")
     table = joined.withColumns(
         {
-            "status": F.when(found, READY).otherwise(F.col("status")),
-            "is_missing": F.when(found, False).when(missing, True).otherwise(F.col("is_missing")),
+            "status": F.when(F.col("_found").isNotNull(), READY).otherwise(F.col("status")),
+            "is_missing": F.when(F.col("_last").isNotNull(), F.col("_last") == "missing")
+            .otherwise(F.col("is_missing")),
         }
     ).select(items.columns)
-    accepted = joined.filter(found | missing).select(
-        "request_id", "id", "item_ref", "customer_id", "order_id", "tracking_number",
-        "description", F.col("status").alias("previous_status"),
-        F.when(found, READY).otherwise(F.col("status")).alias("new_status"), "action", "role",
-        "actor", "requested_at", F.lit("Item found during sorting").alias("request_notes"),
+    side = joined.select(
+        F.col("id").alias("item_id"), F.col("status").alias("_stored"), "_found", "item_ref",
+        "customer_id", "order_id", "tracking_number", "description")
+    judged = actions.join(side.withColumn("_known", F.lit(True)), "item_id", "left")
+    before = F.when(F.col("_found") < turn, READY).otherwise(F.col("_stored"))
+    accepted = judged.filter(F.col("_known") & valid).select(
+        "request_id", F.col("item_id").alias("id"), "item_ref", "customer_id", "order_id",
+        "tracking_number", "description", before.alias("previous_status"),
+        F.when(found, READY).otherwise(before).alias("new_status"), "action", "role", "actor",
+        "requested_at", F.lit("Item found during sorting").alias("request_notes"),  # fixed value
     )
-    unknown = current.join(items.select(F.col("id").alias("item_id")), "item_id", "left_anti")
-    invalid = joined.filter(~found & ~missing).withColumn("item_id", F.col("id"))
-    rejected = _rejections(
-        (unknown, "unknown item"), (invalid, "unknown action"), (superseded, "superseded")
-    )
-    return Change(table, accepted, rejected, history_rows(accepted.filter("action = 'found'")))
+    reason = F.when(F.col("_known").isNull(), "unknown item").otherwise("unknown action")
+    refused = judged.filter(F.col("_known").isNull() | ~F.coalesce(valid, F.lit(False)))
+    return Change(table, accepted, _rejections((refused, reason)),
+                  history_rows(accepted.filter("action = 'found'")))
 
 
 def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame) -> dict[str, DataFrame]:
@@ -376,8 +407,7 @@ def create_orders(
     invoice_date, notes, requested_at. An item claimed twice goes to the later request.
     """
     fresh = assign_refs(
-        requests, orders.select(F.col("order_ref").alias("ref")), "ORD-", 5,
-        [F.col("requested_at"), F.col("request_id")],
+        requests, orders.select(F.col("order_ref").alias("ref")), "ORD-", 5, IN_TURN,
     )
     new = fresh.select(
         F.col("request_id").alias("id"), F.col("ref").alias("order_ref"), "customer_id",
@@ -395,6 +425,12 @@ def create_orders(
     return new, linked.select(items.columns)
 
 
+def unknown_claims(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, item_id, reason) of items that order requests name but that do not exist."""
+    claims = requests.select("request_id", F.explode("item_ids").alias("item_id")).distinct()
+    return unknown_requests(claims, items, "item_id", "unknown item")
+
+
 def regenerate_marks(
     customers: DataFrame, prefix: str, site: str, overrides: DataFrame | None = None
 ) -> DataFrame:
@@ -417,27 +453,48 @@ def regenerate_marks(
 def intake_customers(customers: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected rows with reasons) of a batch of new customers.
 
-    A row is refused if a customer, or an earlier row of the batch, has the same number in
-    any spelling or the same e-mail. Keys are reduced to one row each before any join.
+    Rows are taken by id. A row is refused if a customer, or an accepted earlier row of the
+    batch, has the same number in any spelling or the same e-mail; a refused row blocks nobody.
+    The accepted set is a fixpoint: in each round the rows that are first for both of their keys
+    are accepted, and rows that share a key with them leave. There are as many rounds as the
+    longest chain of rows that decide one after the other, two rows a round.
     """
-    verdict = batch
-    for name, key in (("phone", phone_key(F.col("phone"))), ("email", F.lower(F.trim("email")))):
-        known = customers.select(blank_to_null(key).alias("_key")).filter("_key IS NOT NULL").distinct()
-        first = batch.select("id", blank_to_null(key).alias("_key")).groupBy("_key").agg(
-            F.min("id").alias("id")
-        )
-        fresh = first.filter("_key IS NOT NULL").join(known, "_key", "left_anti")
-        blank = batch.filter(blank_to_null(key).isNull()).select("id")
-        passed = fresh.select("id").unionByName(blank).withColumn(f"_{name}", F.lit(True))
-        verdict = verdict.join(passed, "id", "left")
-    reasons = F.filter(
-        F.array(
-            F.when(F.col("_phone").isNull(), "duplicate phone"),
-            F.when(F.col("_email").isNull(), "duplicate email"),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    verdict = verdict.withColumn("reasons", reasons)
+    keys = {"phone": phone_key(F.col("phone")), "email": F.lower(F.trim("email"))}
+    rows = batch.select("id", *[blank_to_null(k).alias(f"_{n}") for n, k in keys.items()])
+    known = {}
+    for name, key in keys.items():
+        known[name] = customers.select(blank_to_null(key).alias(f"_{name}")).filter(
+            F.col(f"_{name}").isNotNull()).distinct()
+    open_rows = rows
+    for name in keys:
+        open_rows = open_rows.join(known[name], f"_{name}", "left_anti")
+    open_rows, accepted = durable(open_rows), None
+    while not open_rows.isEmpty():
+        leading = open_rows
+        for name in keys:
+            firsts = open_rows.filter(F.col(f"_{name}").isNotNull()).groupBy(f"_{name}").agg(
+                F.min("id").alias(f"_first_{name}"))
+            leading = leading.join(firsts, f"_{name}", "left").filter(
+                F.col(f"_{name}").isNull() | (F.col("id") == F.col(f"_first_{name}")))
+        leading = durable(leading.select("id", *[f"_{n}" for n in keys]))
+        accepted = leading if accepted is None else accepted.unionByName(leading)
+        open_rows = open_rows.join(leading.select("id"), "id", "left_anti")
+        for name in keys:
+            open_rows = open_rows.join(leading.select(f"_{name}"), f"_{name}", "left_anti")
+        open_rows = durable(open_rows)
+    accepted = rows.limit(0) if accepted is None else accepted
+    verdict = rows
+    for name in keys:
+        taken = accepted.filter(F.col(f"_{name}").isNotNull()).select(f"_{name}", F.col("id").alias(f"_by_{name}"))
+        owners = known[name].withColumn(f"_known_{name}", F.lit(True))
+        verdict = verdict.join(taken, f"_{name}", "left").join(owners, f"_{name}", "left")
+
+    def clash(name: str) -> Column:
+        earlier = F.coalesce(F.col(f"_by_{name}") < F.col("id"), F.lit(False))
+        return F.when(F.col(f"_known_{name}").isNotNull() | earlier, f"duplicate {name}")
+
+    reasons = F.filter(F.array(*[clash(n) for n in keys]), lambda r: r.isNotNull())
+    verdict = batch.join(verdict.select("id", reasons.alias("reasons")), "id")
     good = F.size("reasons") == 0
     return (
         verdict.filter(good).select(batch.columns),
@@ -485,6 +542,16 @@ def patch_rows(target: DataFrame, patches: DataFrame, key: str = "id") -> DataFr
     return joined.select(*[F.col(c) if c == key else patched(c) for c in target.columns])
 
 
+def unknown_patches(target: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
+    """Patches of rows or fields that do not exist, with the reason."""
+    known = target.select(key, F.lit(True).alias("_known"))
+    fields = [c for c in target.columns if c != key]
+    reason = F.when(F.col("_known").isNull(), "unknown row").when(
+        ~F.coalesce(F.col("field").isin(*fields), F.lit(False)), "unknown field")
+    return patches.join(known, key, "left").withColumn("reason", reason).filter(
+        "reason IS NOT NULL").drop("_known")
+
+
 def close_registrations(registrations: DataFrame, customers: DataFrame) -> DataFrame:
     """Registrations whose e-mail or number now belongs to a customer become Created."""
     met = None

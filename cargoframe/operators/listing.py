@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.operators.filters import report_range
-from cargoframe.operators.skew import number_rows
+from cargoframe.operators.skew import Order, order_by, rows_between
 from cargoframe.schema import UNPAID
 
 # The order in which each table is listed.
@@ -20,18 +20,21 @@ CANONICAL_ORDER = {
     "status_history": ("changed_at", "desc"),
     "activity_logs": ("timestamp", "desc"),
 }
-# Beyond this many rows a page is found by row number instead of by a top-k.
-DEEP_PAGE = 100_000
+# The longest page of a list, by table and otherwise.
+LONGEST_PAGE, LONGEST_OTHER = {"customers": 1000}, 500
 
 
-def canonical_order(table: str) -> list:
-    column, direction = CANONICAL_ORDER[table]
-    first = F.desc_nulls_last(column) if direction == "desc" else F.asc_nulls_last(column)
-    return [first, F.asc("id")]
+def canonical_order(table: str) -> Order:
+    return [CANONICAL_ORDER[table], ("id", "asc")]
 
 
 def list_sorted(df: DataFrame, table: str) -> DataFrame:
-    return df.orderBy(*canonical_order(table))
+    return df.orderBy(*order_by(canonical_order(table)))
+
+
+def page_size(table: str, asked: int | None = None) -> int:
+    """Rows of a page of this table: 50 unless asked otherwise, at most the table's longest page."""
+    return min(asked, LONGEST_PAGE.get(table, LONGEST_OTHER)) if asked and asked > 0 else 50
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
@@ -47,17 +50,15 @@ def page_info(df: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
     )
 
 
-def paginate(
-    df: DataFrame, page: int, limit: int, order_cols: list, max_limit: int = 500
-) -> DataFrame:
-    """One page of rows; the order must be total, so that pages partition the list."""
-    page = max(1, page)
-    limit = min(limit, max_limit) if limit > 0 else 50
-    skip = (page - 1) * limit
-    if skip + limit <= DEEP_PAGE:
-        return df.orderBy(*order_cols).offset(skip).limit(limit)
-    numbered = number_rows(df, order_cols, "_row")
-    return numbered.filter((F.col("_row") > skip) & (F.col("_row") <= skip + limit)).drop("_row")
+def paginate(df: DataFrame, page: int, limit: int, order: Order) -> DataFrame:
+    """One page of ``limit`` rows; the order must be total, so that pages partition the list.
+
+    A page at any depth is found by the row counts of ranges, and only the ranges that hold it
+    are sorted.
+    """
+    if limit < 1:
+        raise ValueError("a page holds at least one row; see page_size")
+    return rows_between(df, order, (max(1, page) - 1) * limit, limit)
 
 
 def page_after(df: DataFrame, table: str, last_value, last_id, limit: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ When no key is hot, adaptive execution drops the hot branch after the count.
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
@@ -60,56 +60,174 @@ def join_unique(
     return cold.unionByName(rows.join(hot, keys, "left_semi").join(few, keys, how))
 
 
-def _positions(df: DataFrame, sort_columns: list, parts: int) -> DataFrame:
-    """Range-sorted rows with their partition and position, pinned by a checkpoint."""
-    ranged = df.repartitionByRange(parts, *sort_columns).sortWithinPartitions(*sort_columns)
-    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return durable(
-        ranged.select("*", F.spark_partition_id().alias("_part"), index.alias("_at"))
-    )
+# Ordered work without a sort of the whole frame -----------------------------------------
+
+#: Keys sampled for each range boundary.
+SAMPLED = 64
+#: A total order: (column, "asc" or "desc"), NULLs last.
+Order = list[tuple[str, str]]
+
+
+def order_by(order: Order) -> list[Column]:
+    return [F.desc_nulls_last(c) if way == "desc" else F.asc_nulls_last(c) for c, way in order]
 
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def number_rows(df: DataFrame, order_cols: list, out: str = "row_no") -> DataFrame:
-    """Dense 1..n over the whole frame without a single-task window.
+def boundaries(df: DataFrame, order: Order) -> list[Row]:
+    """Keys that cut the frame into about equal ranges, one fewer than there are shuffle partitions.
 
-    The order must be total. Only one row per range partition meets in one task.
+    They come from the keys of smallest hash, a sample of bounded size that does not depend
+    on how the rows are partitioned.
     """
-    placed = _positions(df, order_cols, _parts(df))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    return placed.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_at") + 1).alias(out)
-    )
-
-
-def number_in_groups(
-    df: DataFrame, keys: list[str], order_cols: list, out: str = "row_no",
-    hot_rows: int = HOT_ROWS,
+    ranges, keys = _parts(df), [c for c, _ in order]
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLED * ranges)
+    found = sample.orderBy(*order_by(order)).collect()  # at most SAMPLED * ranges keys
+    step = max(1, -(-len(found) // ranges))
+    return list(dict.fromkeys(found[step::step]))
+
+
+def _reached(bound: Column, order: Order) -> Column:
+    """The row lies at the bound or behind it."""
+    reached = F.lit(True)
+    for n, (name, way) in reversed(list(enumerate(order))):
+        x, y = F.col(name), bound[f"k{n}"]
+        behind = F.when(y.isNull(), False).when(x.isNull(), True).otherwise(x < y if way == "desc" else x > y)
+        reached = behind | (x.eqNullSafe(y) & reached)
+    return reached
+
+
+def with_range(df: DataFrame, order: Order, bounds: list[Row]) -> DataFrame:
+    """Adds ``_range``, the number of boundaries at or before the row, by halving.
+
+    All rows of a range come before those of the next, so a frame is ordered by its ranges
+    and inside them; the column is an expression over the row and survives lost tasks.
+    """
+    if not bounds:
+        return df.withColumn("_range", F.lit(0))
+    kinds = [df.schema[c].dataType for c, _ in order]
+    table = F.array(*[
+        F.struct(*[F.lit(v).cast(kind).alias(f"k{n}") for n, (v, kind) in enumerate(zip(b, kinds))]) for b in bounds])
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        is_open = acc["low"] < acc["high"]
+        right = is_open & _reached(F.get(table, middle), order)
+        return F.struct(F.when(right, middle + 1).otherwise(acc["low"]).alias("low"),
+                        F.when(is_open & ~right, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return df.withColumn("_range", F.aggregate(steps, start, halve, lambda acc: acc["low"]))
+
+
+def range_counts(ranged: DataFrame) -> dict[int, int]:
+    """Rows of every range: at most one entry per shuffle partition."""
+    return {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def number_rows(df: DataFrame, order: Order, out: str = "row_no") -> DataFrame:
+    """Dense 1..n over the whole frame without a single-task window; the order must be total."""
+    ranged = with_range(df, order, boundaries(df, order))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order_by(order))
+    return ranged.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(starts), "_range").select(
+        *df.columns, (F.col("_start") + F.col("_at")).alias(out))
+
+
+def rows_between(df: DataFrame, order: Order, skip: int, n: int) -> DataFrame:
+    """Rows skip + 1 .. skip + n of the order: only ranges that hold some of them are sorted."""
+    bounds = boundaries(df, order)
+    ranged = with_range(df, order, bounds)
+    first, before, seen = None, 0, 0
+    last = -1
+    for number, size in sorted(range_counts(ranged).items()):
+        if seen + size > skip and seen < skip + n:
+            if first is None:
+                first, before = number, seen
+            last = number
+        seen += size
+    if first is None:
+        return df.limit(0)
+    held = ranged.filter(F.col("_range").between(first, last)).drop("_range")
+    return held.orderBy(*order_by(order)).offset(skip - before).limit(n)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_{k}"])
+    return on
+
+
+def _cut_groups(df: DataFrame, bounds: list[Row], keys: list[str]) -> DataFrame:
+    """Rows of the groups that a boundary may cut; the others lie in one range each."""
+    cut = list(dict.fromkeys(tuple(b[k] for k in keys) for b in bounds))  # at most one per boundary
+    schema = T.StructType([T.StructField(f"_{k}", df.schema[k].dataType) for k in keys])
+    held = F.broadcast(df.sparkSession.createDataFrame(cut, schema))
+    return df.join(held, _same(df, held, keys), "left_semi")
+
+
+def _with_starts(ranged: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins what a piece (range, group) starts with; at most two pieces per boundary are cut."""
+    side = F.broadcast(starts.withColumnsRenamed({k: f"_{k}" for k in ["_range", *keys]}))
+    return ranged.join(side, _same(ranged, side, ["_range", *keys]), "left").drop(*[f"_{k}" for k in ["_range", *keys]])
+
+
+def number_in_groups(df: DataFrame, keys: list[str], order: Order, out: str = "row_no") -> DataFrame:
+    """Dense 1..n inside each group. A group of any size is cut at the range boundaries and
+    numbered piece by piece; each piece starts behind the rows of the pieces before it."""
+    full = [*[(k, "asc") for k in keys], *order]
+    bounds = boundaries(df, full)
+    ranged = with_range(df, full, bounds)
+    sizes = _cut_groups(ranged, bounds, keys).groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order_by(order))
+    numbered = ranged.withColumn("_at", F.row_number().over(inside))
+    return _with_starts(numbered, starts, keys).select(
+        *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_at")).cast("bigint").alias(out))
+
+
+def running_before(
+    df: DataFrame, keys: list[str], order: Order, value: Column, opens: Column, initial: Column, out: str,
 ) -> DataFrame:
-    """Dense 1..n inside each group; hot groups are cut into ranges instead of one task."""
-    cold, hot = split_hot(df, keys, hot_rows)
-    window = Window.partitionBy(*keys).orderBy(*order_cols)
-    numbered = cold.select("*", F.row_number().over(window).cast("bigint").alias(out))
-
-    placed = _positions(hot, [*keys, *order_cols], _parts(df))
-    pieces = placed.groupBy("_part", *keys).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size")
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = pieces.select(
-        "_part", *keys, "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    # at most one row per hot key plus one per range partition
-    placed = placed.join(F.broadcast(starts), ["_part", *keys]).select(
-        *df.columns, (F.col("_start") + F.col("_at") - F.col("_first") + 1).alias(out)
-    )
-    return numbered.unionByName(placed)
+    """Adds the greatest ``value`` among the rows before this one in its group, counted from the
+    last of them that ``opens`` a segment (itself included), or from ``initial`` before the first.
+
+    NULL values do not count. A group of any size is cut at the range boundaries: windows run
+    over pieces, and each piece takes over the state with which the ones before it end.
+    """
+    full = [*[(k, "asc") for k in keys], *order]
+    bounds = boundaries(df, full)
+    ranged = with_range(df, full, bounds).withColumns(
+        {"_value": value, "_opens": F.coalesce(opens, F.lit(False)).cast("int"), "_initial": initial})
+    along = Window.partitionBy("_range", *keys).orderBy(*order_by(order))
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_range", *keys, "_segment").orderBy(*order_by(order)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    pieces = ranged.withColumn("_segment", F.sum("_opens").over(so_far)).withColumn(
+        "_run", F.max("_value").over(within)).withColumns(
+        {"_before": F.lag("_run").over(along), "_past": F.coalesce(F.lag("_segment").over(along), F.lit(0))})
+
+    ends = _cut_groups(ranged, bounds, keys)
+    ends = ends.withColumn("_segment", F.sum("_opens").over(so_far)).groupBy("_range", *keys).agg(
+        F.max("_segment").alias("_opened"), F.max(F.struct("_segment", "_value")).alias("_end"))
+    # the end state of a piece is the greatest value of its last segment
+    order_of_pieces = Window.partitionBy(*keys).orderBy("_range")
+    counted = order_of_pieces.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    era = F.sum((F.col("_opened") > 0).cast("int")).over(counted)
+    in_era = Window.partitionBy(*keys, "_era").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = ends.withColumn("_era", era).withColumn("_state", F.max(F.col("_end")["_value"]).over(in_era)).select(
+        "_range", *keys, F.lag("_state").over(order_of_pieces).alias("_carry"),
+        F.coalesce(F.lag("_era").over(order_of_pieces), F.lit(0)).alias("_carry_era"))
+    joined = _with_starts(pieces, states, keys)
+    # nothing has opened yet in this piece: what the pieces before it end with counts as well
+    none_here = F.col("_past") == 0
+    carried = F.when(F.coalesce("_carry_era", F.lit(0)) == 0, F.greatest("_carry", "_initial")).otherwise(F.col("_carry"))
+    state = F.when(none_here, F.greatest(F.coalesce(carried, F.col("_initial")), F.col("_before"))).otherwise(F.col("_before"))
+    return joined.select(*df.columns, state.alias(out))

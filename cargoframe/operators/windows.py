@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cargoframe.functions.measures import cents
 from cargoframe.functions.text import reference
-from cargoframe.operators.skew import HOT_ROWS, number_in_groups, number_rows
+from cargoframe.operators.skew import Order, number_in_groups, number_rows
 from cargoframe.schema import MONEY
 
 
@@ -28,24 +28,21 @@ def dedupe_tracking(items: DataFrame, within: tuple[str, ...] = ()) -> DataFrame
 
 
 def assign_refs(
-    new_rows: DataFrame, existing: DataFrame, prefix: str, width: int, order_cols: list,
-    ref: str = "ref",
+    new_rows: DataFrame, existing: DataFrame, prefix: str, width: int, order: Order, ref: str = "ref",
 ) -> DataFrame:
     """Continue the sequence after the highest existing reference with this prefix."""
     tail = F.regexp_extract(F.col(ref), r"(\d+)$", 1).try_cast("bigint")
     last = existing.filter(F.col(ref).startswith(prefix)).agg(
         F.coalesce(F.max(tail), F.lit(0)).alias("_last")
     )
-    numbered = number_rows(new_rows, order_cols, "_no").crossJoin(F.broadcast(last))
+    numbered = number_rows(new_rows, order, "_no").crossJoin(F.broadcast(last))
     return numbered.withColumn(
         ref, reference(prefix, F.col("_last") + F.col("_no"), width)
     ).drop("_no", "_last")
 
 
-def invoice_line_no(
-    lines: DataFrame, order_cols: list, key: str = "order_id", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    return number_in_groups(lines, [key], order_cols, "line_no", hot_rows)
+def invoice_line_no(lines: DataFrame, order: Order, key: str = "order_id") -> DataFrame:
+    return number_in_groups(lines, [key], order, "line_no")
 
 
 def ranked_customers(top_customers: DataFrame, value: str = "revenue") -> DataFrame:

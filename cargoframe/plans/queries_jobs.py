@@ -16,17 +16,22 @@ from cargoframe.streaming import feeds
 
 # I. lifecycle ---------------------------------------------------------------------------
 
-_NEWEST = """
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY requested_at DESC, request_id DESC)
- AS rn FROM {source}), newest AS (SELECT * FROM ranked WHERE rn = 1)"""
+_REASON = f"""CASE WHEN a.role = 'warehouse_staff' AND {step_sql('a.new_status')} < {step_sql('w.status')}
+  THEN 'status can only move forward'
+  WHEN a.new_status = 'Shipped to Ghana' AND a.container_id IS NULL THEN 'no container' END"""
 _STATUS = f"""
-WITH {_NEWEST.format(source='t_status_requests')},
-judged AS (SELECT r.*, i.status AS previous_status, i.customer_id, i.order_id, i.id AS known,
- CASE WHEN i.id IS NULL THEN 'unknown item'
-  WHEN r.role = 'warehouse_staff' AND {step_sql('r.new_status')} < i.step_no
-   THEN 'status can only move forward'
-  WHEN r.new_status = 'Shipped to Ghana' AND i.container_id IS NULL THEN 'no container' END AS reason
- FROM newest r LEFT JOIN t_items i ON i.id = r.item_id)"""
+WITH RECURSIVE asked AS (SELECT r.*, i.id AS known, i.status AS stored, i.container_id, i.customer_id, i.order_id,
+ i.is_missing, row_number() OVER (PARTITION BY item_id ORDER BY requested_at, request_id) AS rn
+ FROM t_status_requests r LEFT JOIN t_items i ON i.id = r.item_id),
+walk AS (SELECT item_id, 0 AS rn, stored AS status, '' AS previous_status, CAST(NULL AS VARCHAR) AS reason,
+  is_missing, '' AS request_id FROM asked WHERE rn = 1 AND known IS NOT NULL
+ UNION ALL SELECT a.item_id, CAST(a.rn AS INT), CASE WHEN {_REASON} IS NULL THEN a.new_status ELSE w.status END,
+  w.status, {_REASON}, w.is_missing AND NOT ({_REASON} IS NULL AND a.new_status IN
+   ('Arrived in Ghana', 'Sorting', 'Ready for Pickup', 'Completed')), a.request_id
+ FROM walk w JOIN asked a ON a.item_id = w.item_id AND a.rn = w.rn + 1),
+judged AS (SELECT a.*, w.previous_status, CASE WHEN a.known IS NULL THEN 'unknown item' ELSE w.reason END AS reason
+ FROM asked a LEFT JOIN walk w ON w.item_id = a.item_id AND w.rn = a.rn),
+ends AS (SELECT item_id, max(rn) AS rn FROM walk GROUP BY 1)"""
 
 
 def _status_change(spark, d):
@@ -34,10 +39,9 @@ def _status_change(spark, d):
 
 
 _STATUS_TABLE = f"""{_STATUS}
-SELECT i.id, coalesce(j.new_status, i.status) AS status,
- CASE WHEN j.new_status IN ('Arrived in Ghana', 'Sorting', 'Ready for Pickup', 'Completed') THEN FALSE
-  ELSE i.is_missing END AS is_missing
-FROM t_items i LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j ON j.item_id = i.id"""
+SELECT i.id, coalesce(w.status, i.status) AS status, coalesce(w.is_missing, i.is_missing) AS is_missing
+FROM t_items i LEFT JOIN (SELECT walk.* FROM walk JOIN ends ON ends.item_id = walk.item_id AND ends.rn = walk.rn) w
+ ON w.item_id = i.id"""
 
 
 @query("i1_apply_item_status", _STATUS_TABLE)
@@ -45,30 +49,60 @@ def _(spark, d):
     return _status_change(spark, d).table.select("id", "status", "is_missing")
 
 
-@query("i1_rejected_requests", f"""{_STATUS}
-SELECT request_id, item_id, reason FROM judged WHERE reason IS NOT NULL
-UNION ALL SELECT request_id, item_id, 'superseded' FROM ranked WHERE rn > 1""")
+@query("i1_rejected_requests", f"{_STATUS} SELECT request_id, item_id, reason FROM judged WHERE reason IS NOT NULL")
 def _(spark, d):
     return _status_change(spark, d).rejected
 
 
-@query("i2_cascade_container_status", """
-SELECT i.id, coalesce(CASE r.new_status WHEN 'Shipped to Ghana' THEN 'Shipped to Ghana'
- WHEN 'Arrived in Ghana' THEN 'Sorting' END, i.status) AS status
-FROM t_items i LEFT JOIN t_box_requests r ON r.container_id = i.container_id""")
+@query("i1_status_history", f"""{_STATUS}
+SELECT request_id, item_id AS record_id, previous_status, new_status FROM judged WHERE reason IS NULL""")
 def _(spark, d):
-    result = lifecycle.cascade_container_status(
-        X.containers(spark, d), X.items(spark, d), X.box_requests(spark, d))
-    return result.items.select("id", "status")
+    return _status_change(spark, d).accepted.select(
+        "request_id", F.col("id").alias("record_id"), "previous_status", "new_status")
 
 
-@query("i2_cascaded_containers", """
-SELECT c.id, coalesce(r.new_status, c.status) AS status, TS(r.arrival_date) AS arrival_date
-FROM v_containers c LEFT JOIN t_box_requests r ON r.container_id = c.id""")
+_BOXES = """
+WITH asked AS (SELECT r.*, CASE new_status WHEN 'Shipped to Ghana' THEN 'Shipped to Ghana'
+  WHEN 'Arrived in Ghana' THEN 'Sorting' END AS target FROM t_box_requests r
+ WHERE container_id IN (SELECT id FROM v_containers)),
+ends AS (SELECT container_id, arg_max(new_status, requested_at) AS status,
+ arg_max(arrival_date, requested_at) FILTER (WHERE arrival_date IS NOT NULL) AS arrival_date,
+ arg_max(target, requested_at) FILTER (WHERE target IS NOT NULL) AS target FROM asked GROUP BY 1)"""
+
+
+def _boxes(spark, d, log_history=False):
+    return lifecycle.cascade_container_status(
+        X.containers(spark, d), X.items(spark, d), X.box_requests(spark, d), log_history)
+
+
+@query("i2_cascade_container_status", f"""{_BOXES}
+SELECT i.id, coalesce(e.target, i.status) AS status FROM t_items i LEFT JOIN ends e ON e.container_id = i.container_id""")
+def _(spark, d):
+    return _boxes(spark, d).items.select("id", "status")
+
+
+@query("i2_cascaded_containers", f"""{_BOXES}
+SELECT c.id, coalesce(e.status, c.status) AS status, TS(e.arrival_date) AS arrival_date
+FROM v_containers c LEFT JOIN ends e ON e.container_id = c.id""")
+def _(spark, d):
+    return plain(_boxes(spark, d).containers, "id", "status", "arrival_date")
+
+
+@query("i2_cascade_history", f"""{_BOXES},
+steps AS (SELECT container_id, target, requested_at,
+ lag(target) OVER (PARTITION BY container_id ORDER BY requested_at, request_id) AS before
+ FROM asked WHERE target IS NOT NULL)
+SELECT i.id AS record_id, coalesce(s.before, i.status) AS previous_status, s.target AS new_status,
+ TS(s.requested_at) AS changed_at FROM t_items i JOIN steps s ON s.container_id = i.container_id""")
 def _(spark, d):
-    result = lifecycle.cascade_container_status(
-        X.containers(spark, d), X.items(spark, d), X.box_requests(spark, d))
-    return plain(result.containers, "id", "status", "arrival_date")
+    return plain(_boxes(spark, d, True).history, "record_id", "previous_status", "new_status", "changed_at")
+
+
+@query("i2_rejected_requests", """
+SELECT request_id, CAST(container_id AS VARCHAR) AS container_id, 'unknown container' AS reason
+FROM t_box_requests r WHERE NOT EXISTS (SELECT 1 FROM v_containers c WHERE c.id = r.container_id)""")
+def _(spark, d):
+    return _boxes(spark, d).rejected
 
 
 _TARGET = """CASE c.status WHEN 'Shipped to Ghana' THEN 'Shipped to Ghana'
@@ -92,10 +126,12 @@ def _(spark, d):
 
 
 _LOADS = """
-WITH valid AS (SELECT l.* FROM t_loads l WHERE container_id IN (SELECT id FROM v_containers)),
+WITH items_once AS MATERIALIZED (SELECT id, container_id FROM t_items),
+loads_once AS MATERIALIZED (SELECT * FROM t_loads),
+valid AS MATERIALIZED (SELECT l.* FROM loads_once l WHERE EXISTS (SELECT 1 FROM v_containers c WHERE c.id = l.container_id)),
 firsts AS (SELECT item_id, arg_min(container_id, (requested_at, request_id)) AS asked FROM valid GROUP BY 1),
-placed AS (SELECT i.id, coalesce(i.container_id, f.asked) AS container_id, f.asked
- FROM t_items i LEFT JOIN firsts f ON f.item_id = i.id)"""
+placed AS MATERIALIZED (SELECT i.id, coalesce(i.container_id, f.asked) AS container_id, f.asked
+ FROM items_once i LEFT JOIN firsts f ON f.item_id = i.id)"""
 
 
 def _loading(spark, d):
@@ -113,15 +149,16 @@ def _(spark, d):
 SELECT v.request_id, v.item_id, CASE WHEN p.id IS NULL THEN 'unknown item' ELSE 'in another container' END
  AS reason FROM valid v LEFT JOIN placed p ON p.id = v.item_id
 WHERE p.id IS NULL OR p.container_id <> v.container_id
-UNION ALL SELECT request_id, item_id, 'unknown container' FROM t_loads
-WHERE container_id NOT IN (SELECT id FROM v_containers)""")
+UNION ALL SELECT request_id, item_id, 'unknown container' FROM loads_once l
+WHERE NOT EXISTS (SELECT 1 FROM v_containers c WHERE c.id = l.container_id)""")
 def _(spark, d):
     return _loading(spark, d).rejected
 
 
 @query("g2_load_rejections", f"""{_LOADS}
-SELECT request_id, item_id FROM t_loads WHERE request_id NOT IN (
- SELECT v.request_id FROM valid v JOIN placed p ON p.id = v.item_id AND p.container_id = v.container_id)""")
+SELECT request_id, item_id FROM loads_once l WHERE NOT EXISTS (
+ SELECT 1 FROM valid v JOIN placed p ON p.id = v.item_id AND p.container_id = v.container_id
+ WHERE v.request_id = l.request_id)""")
 def _(spark, d):
     accepted = _loading(spark, d).accepted
     return unions.load_rejections(X.load_requests(spark, d), accepted).select("request_id", "item_id")
@@ -135,14 +172,42 @@ def _(spark, d):
     return plain(df, "id", "container_id", text=("container_id",))
 
 
-@query("i6_mark_sorting", f"""
-WITH {_NEWEST.format(source='t_actions')}
-SELECT i.id, CASE WHEN a.action = 'found' THEN 'Ready for Pickup' ELSE i.status END AS status,
- CASE a.action WHEN 'found' THEN FALSE WHEN 'missing' THEN TRUE ELSE i.is_missing END AS is_missing
-FROM t_items i LEFT JOIN newest a ON a.item_id = i.id""")
+@query("i5_rejected_requests", """
+SELECT request_id, item_id, 'unknown item' AS reason FROM t_loads l
+WHERE NOT EXISTS (SELECT 1 FROM t_items i WHERE i.id = l.item_id)""")
+def _(spark, d):
+    asked = X.load_requests(spark, d).select("request_id", "item_id")
+    return lifecycle.unknown_requests(asked, X.items(spark, d), "item_id", "unknown item").select(
+        "request_id", "item_id", "reason")
+
+
+def _sorted(spark, d):
+    return lifecycle.mark_sorting(X.items(spark, d), X.sorting_actions(spark, d))
+
+
+@query("i6_mark_sorting", """
+WITH ends AS (SELECT item_id, bool_or(action = 'found') AS found, arg_max(action, (requested_at, request_id)) AS last
+ FROM t_actions WHERE action IN ('found', 'missing') GROUP BY 1)
+SELECT i.id, CASE WHEN a.found THEN 'Ready for Pickup' ELSE i.status END AS status,
+ CASE a.last WHEN 'found' THEN FALSE WHEN 'missing' THEN TRUE ELSE i.is_missing END AS is_missing
+FROM t_items i LEFT JOIN ends a ON a.item_id = i.id""")
+def _(spark, d):
+    return _sorted(spark, d).table.select("id", "status", "is_missing")
+
+
+@query("i6_sorting_history", """
+WITH finds AS (SELECT a.*, row_number() OVER (PARTITION BY item_id ORDER BY requested_at, request_id) AS rn
+ FROM t_actions a WHERE action = 'found')
+SELECT i.id AS record_id, CASE WHEN rn = 1 THEN i.status ELSE 'Ready for Pickup' END AS previous_status,
+ 'Ready for Pickup' AS new_status, TS(f.requested_at) AS changed_at FROM finds f JOIN t_items i ON i.id = f.item_id""")
+def _(spark, d):
+    return plain(_sorted(spark, d).history, "record_id", "previous_status", "new_status", "changed_at")
+
+
+@query("i6_rejected_actions", """
+SELECT request_id, item_id, 'unknown action' AS reason FROM t_actions WHERE action = 'lost'""")
 def _(spark, d):
-    result = lifecycle.mark_sorting(X.items(spark, d), X.sorting_actions(spark, d))
-    return result.table.select("id", "status", "is_missing")
+    return _sorted(spark, d).rejected
 
 
 @query("i7_delete_cascade", """
@@ -172,6 +237,17 @@ def _(spark, d):
     return plain(df, "id", "status", "amount_paid", "balance_due")
 
 
+@query("i8_rejected_payments", """
+SELECT -order_id AS order_id, CAST(amount_paid AS DOUBLE) AS amount, 'unknown order' AS reason
+FROM v_payments WHERE order_id % 10 = 1""")
+def _(spark, d):
+    key = F.col("order_id")
+    stray = X.payments(spark, d).select(
+        F.when(key % 10 == 1, -key).otherwise(key).alias("order_id"), F.col("amount_paid").alias("amount"))
+    return plain(lifecycle.unknown_requests(stray, X.orders(spark, d), "order_id", "unknown order"),
+                 "order_id", "amount", "reason")
+
+
 _SYNC = """
 WITH joined AS (SELECT o.*, s.total_amount, s.sale_paid, s.sale_balance,
  o.sale_id IS NOT NULL AND o.status IN ('Pending', 'Partial') AS wanted
@@ -250,6 +326,14 @@ def _(spark, d):
     return _created(spark, d)[1].select("id", "order_id")
 
 
+@query("i11_rejected_claims", """
+SELECT request_id, item_id, 'unknown item' AS reason FROM t_status_requests r
+WHERE NOT EXISTS (SELECT 1 FROM t_items i WHERE i.id = r.item_id)""")
+def _(spark, d):
+    claims = X.status_requests(spark, d).select("request_id", F.array("item_id").alias("item_ids"))
+    return lifecycle.unknown_claims(X.items(spark, d), claims).select("request_id", "item_id", "reason")
+
+
 @query("i12_regenerate_marks", f"""
 SELECT id, name, '' AS old_mark, CASE WHEN id % 10 = 0 THEN concat('VIP-', CAST(id AS VARCHAR))
  ELSE {mark_sql('name', 'phone', 'NEW-')} END AS new_mark, '' AS old_address,
@@ -262,34 +346,47 @@ def _(spark, d):
     return lifecycle.regenerate_marks(people, "NEW-", "Dock 4", vip)
 
 
-_INTAKE = f"""
-WITH known AS (SELECT {e164_sql('phone')} AS phone_key, email FROM t_customers WHERE id % 2 = 0),
-batch AS (SELECT id, {e164_sql('phone')} AS phone_key, email FROM (
- SELECT id, phone, email FROM t_customers
- UNION ALL SELECT id + 5000000, phone, 'other@example.com' FROM t_customers WHERE id % 5 = 0) u),
-judged AS (SELECT id,
- phone_key IN (SELECT phone_key FROM known)
-  OR id <> min(id) OVER (PARTITION BY phone_key) AS bad_phone,
- email IN (SELECT email FROM known) OR id <> min(id) OVER (PARTITION BY email) AS bad_email
- FROM batch)"""
+# Chains of rows in which each shares its number or its e-mail with the one before, eight at most;
+# every eleventh has the e-mail of a customer, and every fifth customer is sent in again.
+_INTAKE = """
+WITH RECURSIVE batch AS (SELECT id, id % 11 = 0 AS known,
+ id % 2 = 1 AS same_phone, id % 2 = 0 AND id % 8 <> 0 AND id % 11 <> 0 AND (id - 1) % 11 <> 0 AS same_email
+ FROM t_customers),
+walk AS (SELECT b.id, NOT b.known AS taken, FALSE AS bad_phone FROM batch b
+  LEFT JOIN batch p ON p.id = b.id - 1 WHERE p.id IS NULL OR NOT (b.same_phone OR b.same_email)
+ UNION ALL SELECT b.id, NOT b.known AND NOT w.taken, b.same_phone AND w.taken
+ FROM walk w JOIN batch b ON b.id = w.id + 1 AND (b.same_phone OR b.same_email)),
+judged AS (SELECT b.id + 1000000 AS id, w.taken, w.bad_phone, b.known OR (NOT w.taken AND NOT w.bad_phone) AS bad_email
+ FROM walk w JOIN batch b ON b.id = w.id
+ UNION ALL SELECT id + 2000000, FALSE, TRUE, FALSE FROM t_customers WHERE id % 5 = 0)"""
 
 
 def _intake(spark, d):
     people = X.customers(spark, d).select("id", "phone", "email")
+    key = F.col("id")
+
+    def half(n):
+        return F.floor(n / 2).cast("string")
+
+    paired = F.concat(F.lit("pair"), half(key + 1), F.lit("@example.com"))
+    alone = F.concat(F.lit("solo"), key.cast("string"), F.lit("@example.com"))
+    fresh = people.select(
+        (key + 1000000).alias("id"), F.concat(F.lit("055"), F.lpad(half(key), 7, "0")).alias("phone"),
+        F.when(key % 11 == 0, F.upper("email")).when(key % 8 == 0, alone).otherwise(paired).alias("email"))
     again = people.filter("id % 5 = 0").select(
-        (F.col("id") + 5000000).alias("id"), "phone", F.lit("other@example.com").alias("email"))
-    return lifecycle.intake_customers(people.filter("id % 2 = 0"), people.unionByName(again))
+        (key + 2000000).alias("id"), "phone",
+        F.concat(F.lit("again"), key.cast("string"), F.lit("@example.com")).alias("email"))
+    return lifecycle.intake_customers(people, fresh.unionByName(again))
 
 
-@query("i13_intake_customers", f"{_INTAKE} SELECT id FROM judged WHERE NOT bad_phone AND NOT bad_email")
+@query("i13_intake_customers", f"{_INTAKE} SELECT id FROM judged WHERE taken")
 def _(spark, d):
     return _intake(spark, d)[0].select("id")
 
 
 @query("i13_intake_rejections", f"""{_INTAKE}
 SELECT id, CASE WHEN bad_phone AND bad_email THEN 'duplicate phone; duplicate email'
- WHEN bad_phone THEN 'duplicate phone' ELSE 'duplicate email' END AS reasons
-FROM judged WHERE bad_phone OR bad_email""")
+ WHEN bad_phone THEN 'duplicate phone' ELSE 'duplicate email' END AS reasons FROM judged WHERE NOT taken""")
 def _(spark, d):
     return plain(_intake(spark, d)[1], "id", "reasons")
 
@@ -325,6 +422,19 @@ def _(spark, d):
     return plain(lifecycle.patch_rows(boxes, patches))
 
 
+@query("i15_rejected_patches", """
+SELECT -id - 1 AS id, 'name' AS field, 'unknown row' AS reason FROM v_containers WHERE id % 3 = 0
+UNION ALL SELECT id, 'colour', 'unknown field' FROM v_containers WHERE id % 4 = 0""")
+def _(spark, d):
+    boxes = X.containers(spark, d).select("id", "name", "eta", "status")
+    key = F.col("id")
+    patches = boxes.filter(key % 3 == 0).select((-key - 1).alias("id"), F.lit("name").alias("field")).unionByName(
+        boxes.filter(key % 4 == 0).select("id", F.lit("colour").alias("field"))).unionByName(
+        boxes.select("id", F.lit("status").alias("field")))
+    return lifecycle.unknown_patches(boxes, patches.withColumns({"value": F.lit("x"), "seq": F.lit(1)})).select(
+        "id", "field", "reason")
+
+
 @query("i16_close_registrations", f"""
 SELECT id, CASE WHEN email IN (SELECT email FROM v_customers)
  OR {e164_sql('phone')} IN (SELECT {e164_sql('phone')} FROM v_customers)

@@ -436,7 +436,7 @@ CROSS JOIN (SELECT max(id) AS n FROM t_customers) m""")
 def _(spark, d):
     known = X.customers(spark, d).select(reference("ORD-", F.col("id"), 5).alias("ref"))
     new = X.orders(spark, d).select("id", "created_at")
-    return windows.assign_refs(new, known, "ORD-", 5, [F.col("created_at"), F.col("id")]).select("id", "ref")
+    return windows.assign_refs(new, known, "ORD-", 5, [("created_at", "asc"), ("id", "asc")]).select("id", "ref")
 
 
 @query("e3_invoice_line_no", """
@@ -444,7 +444,7 @@ SELECT order_id, id, row_number() OVER (PARTITION BY order_id ORDER BY id) AS li
 FROM t_items WHERE order_id IS NOT NULL""")
 def _(spark, d):
     lines = X.items(spark, d).filter("order_id IS NOT NULL").select("order_id", "id")
-    return windows.invoice_line_no(lines, [F.col("id")])
+    return windows.invoice_line_no(lines, [("id", "asc")])
 
 
 @query("e6_running_split", """

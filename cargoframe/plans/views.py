@@ -193,6 +193,15 @@ SELECT concat('R', id) AS request_id, id AS item_id,
  date_received + INTERVAL 100 DAY AS requested_at
 FROM t_items i WHERE quantity % 5 <> 0
 UNION ALL
+SELECT concat('P', id), id, (SELECT step FROM t_steps s WHERE s.step_no = (i.step_no + 1) % 6), 'warehouse_staff',
+ CASE WHEN quantity % 3 = 0 THEN 'desk' ELSE 'ops@example.com' END, date_received + INTERVAL 75 DAY
+FROM t_items i WHERE quantity % 4 <> 0
+UNION ALL
+SELECT concat('S', id), id, (SELECT step FROM t_steps s WHERE s.step_no = (i.step_no + quantity + 3) % 6),
+ CASE WHEN quantity % 2 = 0 THEN 'warehouse_staff' ELSE 'super_admin' END,
+ CASE WHEN quantity % 3 = 0 THEN 'desk' ELSE 'ops@example.com' END, date_received + INTERVAL 125 DAY
+FROM t_items i WHERE quantity % 3 = 1
+UNION ALL
 SELECT concat('Q', id), id, 'Completed', 'super_admin', 'ops@example.com',
  date_received + INTERVAL 50 DAY
 FROM t_items WHERE quantity % 7 = 0
@@ -221,8 +230,15 @@ FROM t_items WHERE quantity % 7 = 0""",
 SELECT concat('C', CAST(id AS VARCHAR)) AS request_id, id AS container_id,
  CASE id % 3 WHEN 0 THEN 'Shipped to Ghana' WHEN 1 THEN 'Arrived in Ghana' ELSE 'Loading' END
   AS new_status,
- CASE WHEN id % 2 = 0 THEN DATE '2001-07-01' + CAST(id % 30 AS INT) END AS arrival_date
-FROM v_containers WHERE id % 4 <> 3""",
+ CASE WHEN id % 2 = 0 THEN DATE '2001-07-01' + CAST(id % 30 AS INT) END AS arrival_date,
+ DATE '2001-07-02' AS requested_at
+FROM v_containers WHERE id % 4 <> 3
+UNION ALL SELECT concat('D', CAST(id AS VARCHAR)), id, 'Loading', NULL, DATE '2001-07-03'
+FROM v_containers WHERE id % 5 < 2
+UNION ALL SELECT concat('B', CAST(id AS VARCHAR)), id, 'Shipped to Ghana', DATE '2001-07-01' + CAST(id % 30 AS INT),
+ DATE '2001-07-01' FROM v_containers WHERE id % 3 = 1
+UNION ALL SELECT concat('X', CAST(id AS VARCHAR)), -id - 1, 'Loading', NULL, DATE '2001-07-02'
+FROM v_containers WHERE id % 7 = 0""",
     "t_sold": """
 SELECT *, CASE WHEN id % 2 = 0 THEN concat('S', CAST(id AS VARCHAR)) END AS sale_id,
  CASE WHEN id % 4 = 0 THEN CAST(50 AS DECIMAL(18,2)) END AS amount_paid,

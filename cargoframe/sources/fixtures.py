@@ -359,7 +359,7 @@ def _later(days: int):
 
 
 def status_requests(spark, sf_dir):
-    """Status requests with older ones behind them and some for items that do not exist."""
+    """Status requests, up to four in turn per item, and some for items that do not exist."""
     source = items(spark, sf_dir).select("id", "status", "quantity", "date_received")
     names = F.array(*[F.lit(s) for s in S.ITEM_STATUSES])
     q = F.col("quantity")
@@ -375,8 +375,12 @@ def status_requests(spark, sf_dir):
     role = F.when(q % 2 == 0, "warehouse_staff").otherwise("super_admin")
     actor = F.when(q % 3 == 0, "desk").otherwise("ops@example.com")
     done = (F.lit(S.COMPLETED), F.lit("super_admin"), F.lit("ops@example.com"))
+    following = F.get(names, (step_index(F.col("status")) + 1) % 6)
+    opposite = F.get(names, (step_index(F.col("status")) + q + 3) % 6)
     return _one_pass(
         source,
+        (q % 4 != 0, case("P", F.col("id"), following, F.lit("warehouse_staff"), actor, 75)),
+        (q % 3 == 1, case("S", F.col("id"), opposite, role, actor, 125)),
         (q % 5 != 0, case("R", F.col("id"), wanted, role, actor, 100)),
         (q % 7 == 0, case("Q", F.col("id"), *done, 50)),
         (q % 11 == 0, case("X", F.concat("id", F.lit("?")), *done, 0)),
@@ -423,17 +427,27 @@ def sorting_actions(spark, sf_dir):
 
 
 def box_requests(spark, sf_dir):
+    """Up to two requests in turn per container, some for containers that do not exist."""
     key = F.col("id")
     status = (
         F.when(key % 3 == 0, "Shipped to Ghana").when(key % 3 == 1, "Arrived in Ghana")
         .otherwise("Loading")
     )
     arrival = F.date_add(F.lit("2001-07-01").cast("date"), (key % 30).cast("int"))
-    return containers(spark, sf_dir).filter(key % 4 != 3).select(
-        F.concat(F.lit("C"), _text("id")).alias("request_id"), key.alias("container_id"),
-        status.alias("new_status"),
-        F.when(key % 2 == 0, arrival.cast("timestamp_ntz")).alias("arrival_date"),
-        F.lit("2001-07-02").cast("timestamp_ntz").alias("requested_at"),
+
+    def asked(letter, condition, box, new_status, arrival_date, day):
+        return containers(spark, sf_dir).filter(condition).select(
+            F.concat(F.lit(letter), _text("id")).alias("request_id"), box.alias("container_id"),
+            new_status.alias("new_status"), arrival_date.alias("arrival_date"),
+            F.lit(day).cast("timestamp_ntz").alias("requested_at"))
+
+    dated = F.when(key % 2 == 0, arrival.cast("timestamp_ntz"))
+    none = F.lit(None).cast("timestamp_ntz")
+    return (
+        asked("C", key % 4 != 3, key, status, dated, "2001-07-02")
+        .unionByName(asked("D", key % 5 < 2, key, F.lit("Loading"), none, "2001-07-03"))
+        .unionByName(asked("B", key % 3 == 1, key, F.lit("Shipped to Ghana"), arrival.cast("timestamp_ntz"), "2001-07-01"))
+        .unionByName(asked("X", key % 7 == 0, -key - 1, status, dated, "2001-07-02"))
     )
 
 

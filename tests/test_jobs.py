@@ -1,6 +1,7 @@
 """Lifecycle jobs, audit and table writes on hand-made frames."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,12 +39,47 @@ def test_item_status_guards(spark):
         ("a", "Ready for Pickup", False), ("b", "Sorting", True), ("c", ITEM_STATUSES[0], False),
         ("d", "Shipped to Ghana", False), ("e", ITEM_STATUSES[0], True)]
     assert rows(change.rejected, "request_id", "reason") == [
-        ("r2", "status can only move forward"), ("r3", "no container"), ("r6", "unknown item"),
-        ("r7", "superseded")]
+        ("r2", "status can only move forward"), ("r3", "no container"), ("r6", "unknown item")]
     assert rows(change.history, "record_id", "previous_status", "changed_by") == [
-        ("a", "Sorting", "ops@example.com"), ("d", ITEM_STATUSES[0], None), ("e", "Sorting", "ops@example.com")]
+        ("a", "Completed", "ops@example.com"), ("a", "Sorting", "ops@example.com"), ("d", ITEM_STATUSES[0], None),
+        ("e", "Sorting", "ops@example.com")]
     log = loads.load_status_history(spark.createDataFrame([("h", "a")], "id string, record_id string"))
-    assert audit.history_log(log, change.history).count() == 4
+    assert audit.history_log(log, change.history).count() == 5
+
+
+def sequential(items, requests):
+    """Requests one after the other, as a plain loop: (status by item, flags, accepted, rejected)."""
+    status = {i: (s, box, missing) for i, s, box, missing, _ in items}
+    accepted, rejected = [], []
+    for n, item, new, role, _, _, _ in sorted(requests, key=lambda r: (r[5], r[0])):
+        if item not in status:
+            rejected.append((n, "unknown item"))
+            continue
+        old, box, missing = status[item]
+        if role == "warehouse_staff" and ITEM_STATUSES.index(new) < ITEM_STATUSES.index(old):
+            rejected.append((n, "status can only move forward"))
+        elif new == "Shipped to Ghana" and box is None:
+            rejected.append((n, "no container"))
+        else:
+            accepted.append((n, old, new))
+            status[item] = new, box, missing and new not in ITEM_STATUSES[2:]
+    return status, sorted(accepted), sorted(rejected)
+
+
+def test_item_status_in_turn_with_a_hot_item(spark):
+    random.seed(11)
+    items = [(f"i{n}", random.choice(ITEM_STATUSES), random.choice(["k", None]), True, None) for n in range(30)]
+    asked = []
+    for n in range(1500):
+        item = "i0" if random.random() < 0.4 else f"i{random.randrange(33)}"
+        role = "super_admin" if random.random() < 0.15 else random.choice(["warehouse_staff", "warehouse_staff", None])
+        asked.append((f"r{n:05d}", item, random.choice(ITEM_STATUSES), role, "x", NOW + dt.timedelta(minutes=random.randrange(400)), None))
+    change = L.apply_item_status(make_items(spark, *items), spark.createDataFrame(asked, REQUEST))
+    status, accepted, rejected = sequential(items, asked)
+    assert rows(change.table, "id", "status", "is_missing") == sorted((i, s, m) for i, (s, _, m) in status.items())
+    assert rows(change.accepted, "request_id", "previous_status", "new_status") == accepted
+    assert rows(change.rejected, "request_id", "reason") == rejected
+    assert change.history.count() == len(accepted)
 
 
 def make_containers(spark, *data):
@@ -69,6 +105,25 @@ def test_cascade_is_idempotent(spark):
     assert rows(counts, "container_id", "updated") == [("k", 1), ("m", 0)]
 
 
+def test_cascade_follows_every_request_in_turn(spark):
+    boxes = make_containers(spark, ("k", "Loading", None))
+    items = make_items(spark, ("a", ITEM_STATUSES[0], "k", True, None))
+    day = dt.timedelta(days=1)
+    asked = spark.createDataFrame(
+        [("1", "k", "Shipped to Ghana", NOW, NOW), ("2", "k", "Loading", None, NOW + day), ("3", "zz", "Loading", None, NOW)],
+        "request_id string, container_id string, new_status string, arrival_date timestamp_ntz, requested_at timestamp_ntz")
+    done = L.cascade_container_status(boxes, items, asked, log_history=True)
+    assert rows(done.containers, "id", "status", "arrival_date") == [("k", "Loading", NOW)]
+    assert rows(done.items, "id", "status") == [("a", "Shipped to Ghana")]
+    assert rows(done.history, "previous_status", "new_status") == [(ITEM_STATUSES[0], "Shipped to Ghana")]
+    assert rows(done.rejected, "request_id", "reason") == [("3", "unknown container")]
+    more = asked.unionByName(spark.createDataFrame([("4", "k", "Arrived in Ghana", None, NOW + 2 * day)], asked.schema))
+    done = L.cascade_container_status(boxes, items, more, log_history=True)
+    assert rows(done.containers, "status", "arrival_date") == [("Arrived in Ghana", NOW)]
+    assert rows(done.history, "previous_status", "new_status") == [
+        (ITEM_STATUSES[0], "Shipped to Ghana"), ("Shipped to Ghana", "Sorting")]
+
+
 def test_loading_first_request_wins(spark):
     boxes = make_containers(spark, ("k", "Loading", None), ("m", "Loading", None))
     items = make_items(spark, ("a", "Sorting", None, False, None), ("b", "Sorting", "k", False, None))
@@ -98,6 +153,22 @@ def test_sorting_actions(spark):
     assert rows(change.history, "record_id", "notes") == [("a", "Item found during sorting")]
 
 
+def test_sorting_actions_in_turn(spark):
+    items = make_items(spark, ("a", "Arrived in Ghana", "k", False, None), ("b", "Sorting", "k", True, None))
+    steps = [("1", "a", "missing"), ("2", "a", "found"), ("3", "a", "lost"), ("4", "a", "found"), ("5", "a", "missing"),
+             ("6", "b", "missing"), ("7", "zz", "found")]
+    actions = spark.createDataFrame(
+        [(n, i, a, "super_admin", "x@y.z", NOW + dt.timedelta(hours=int(n))) for n, i, a in steps],
+        "request_id string, item_id string, action string, role string, actor string, requested_at timestamp_ntz")
+    change = L.mark_sorting(items, actions)
+    assert rows(change.table, "id", "status", "is_missing") == [("a", "Ready for Pickup", True), ("b", "Sorting", True)]
+    assert rows(change.accepted, "request_id", "previous_status", "new_status") == [
+        ("1", "Arrived in Ghana", "Arrived in Ghana"), ("2", "Arrived in Ghana", "Ready for Pickup"),
+        ("4", "Ready for Pickup", "Ready for Pickup"), ("5", "Ready for Pickup", "Ready for Pickup"), ("6", "Sorting", "Sorting")]
+    assert rows(change.rejected, "request_id", "reason") == [("3", "unknown action"), ("7", "unknown item")]
+    assert rows(change.history, "previous_status") == [("Arrived in Ghana",), ("Ready for Pickup",)]
+
+
 def test_deletes(spark):
     items = make_items(spark, ("a", "Sorting", "k", True, "o"), ("b", "Sorting", "m", False, "p"))
     boxes = loads.load_containers(spark.createDataFrame([("k", ["a", "q"]), ("m", ["b"])], "id string, item_ids array<string>"))
@@ -150,6 +221,39 @@ def test_intake_refuses_other_spellings_of_a_number(spark):
     assert rows(bad, "id", "reasons") == [(10, ["duplicate phone"]), (11, ["duplicate email"]), (13, ["duplicate phone"])]
 
 
+def test_a_refused_row_blocks_nobody(spark):
+    random.seed(5)
+    people = loads.load_customers(spark.createDataFrame([("c", "0240000001", "in@x.y")], "id string, phone string, email string"))
+    batch = [(n, f"02400{random.randrange(60):05d}" if random.random() < 0.9 else None,
+              f"u{random.randrange(60)}@x.y" if random.random() < 0.9 else " ") for n in range(150)]
+    batch += [(200, "+233240000001", "u200@x.y"), (201, "0249999999", "U200@x.y ")]
+    phones, mails, taken, refused = {"240000001"}, {"in@x.y"}, [], []
+    for n, phone, mail in batch:
+        key, mail = (phone or "")[-9:], mail.strip().lower()
+        why = ["duplicate phone"] * bool(key and key in phones) + ["duplicate email"] * bool(mail and mail in mails)
+        if why:
+            refused.append((n, why))
+        else:
+            taken.append((n,))
+            phones.add(key), mails.add(mail)
+    good, bad = L.intake_customers(people, spark.createDataFrame(batch, "id long, phone string, email string"))
+    assert rows(good, "id") == sorted(taken, key=str) and rows(bad, "id", "reasons") == sorted(refused, key=str)
+    assert (201,) in taken  # 200 was refused, so its e-mail is still free
+
+
+def test_rejections_of_bulk_jobs(spark):
+    items = make_items(spark, ("a", "Sorting", None, False, None))
+    asked = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "request_id string, item_id string")
+    assert rows(L.unknown_requests(asked, items, "item_id", "unknown item"), "request_id") == [("2",), ("3",)]
+    orders = spark.createDataFrame([("1", ["a", "b", "b"]), ("2", None)], "request_id string, item_ids array<string>")
+    assert rows(L.unknown_claims(items, orders), "request_id", "item_id") == [("1", "b")]
+    patches = spark.createDataFrame(
+        [("a", "status", "x", 1), ("b", "status", "x", 1), ("a", "size", "x", 1), ("a", None, "x", 1)],
+        "id string, field string, value string, seq int")
+    assert rows(L.unknown_patches(items, patches), "id", "field", "reason") == [
+        ("a", None, "unknown field"), ("a", "size", "unknown field"), ("b", "status", "unknown row")]
+
+
 def test_patches_clear_and_keep(spark):
     target = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, name string, n int")
     patches = spark.createDataFrame([(1, "name", None, 2), (1, "name", "x", 1), (2, "n", "7", 1)],
@@ -170,7 +274,7 @@ def test_rates_and_settings(spark):
 def test_refs_continue_after_highest(spark):
     old = spark.createDataFrame([("ORD-00007",), ("ORD-99999",), ("SUP-5",)], "ref string")
     new = spark.range(1, 41).withColumn("k", F.lit(1))
-    got = windows.assign_refs(new, old, "ORD-", 5, [F.col("id")])
+    got = windows.assign_refs(new, old, "ORD-", 5, [("id", "asc")])
     assert [r[1] for r in got.orderBy("id").select("id", "ref").take(2)] == ["ORD-100000", "ORD-100001"]
     assert got.select("ref").distinct().count() == 40
 

@@ -1,6 +1,7 @@
 """Column rules on hand-made values."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,12 +235,24 @@ def test_pages_partition_the_list(spark):
     assert [r["id"] for r in after.collect()] == pages[1]
 
 
-def test_deep_pages_equal_shallow_pages(spark, monkeypatch):
-    df = spark.range(500).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+def test_pages_at_any_depth(spark):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int"))
+    df = spark.range(3000).withColumn("created_at", F.when(F.col("id") % 7 != 0, day).cast("timestamp_ntz"))
     order = listing.canonical_order("customers")
-    shallow = rows(listing.paginate(df, 7, 20, order), "id")
-    monkeypatch.setattr(listing, "DEEP_PAGE", 0)
-    assert rows(listing.paginate(df, 7, 20, order), "id") == shallow
+    listed = [r["id"] for r in listing.list_sorted(df, "customers").collect()]
+    for page, limit in ((1, 20), (7, 20), (43, 70), (3, 1000), (4, 1000), (2, 1600)):
+        got = [r["id"] for r in listing.paginate(df, page, limit, order).collect()]
+        assert got == listed[(page - 1) * limit:page * limit]
+    assert [listing.page_size("customers", 600), listing.page_size("items", 600), listing.page_size("items")] == [600, 500, 50]
+
+
+def test_numbering_leaves_no_files_behind(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    count = lambda: sum(len(files) for _, _, files in os.walk(folder))
+    before = count()
+    windows.invoice_line_no(spark.range(100).withColumn("order_id", F.lit(1)), [("id", "desc")]).collect()
+    listing.paginate(spark.range(100), 5, 10, [("id", "asc")]).collect()
+    assert count() == before
 
 
 ITEM = ("id string, order_id string, item_ref string, description string, tracking_number string, "

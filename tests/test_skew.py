@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cargoframe.operators import pricing, skew, throttle, windows
 from cargoframe.sources import fixtures as X
@@ -24,12 +24,35 @@ def test_hot_keys_are_found(spark):
 
 def test_numbering_across_ranges(spark):
     df = spark.range(5000).select(F.expr("pmod(id * 7919, 5000)").alias("v"))
-    got = skew.number_rows(df, [F.col("v")])
+    got = skew.number_rows(df, [("v", "asc")])
     assert got.filter("row_no <> v + 1").isEmpty() and got.count() == 5000
     grouped = df.withColumn("g", F.when(F.col("v") < 2000, 0).otherwise(F.col("v") % 50))
-    cold = skew.number_in_groups(grouped, ["g"], [F.col("v")])
-    assert same(cold, skew.number_in_groups(grouped, ["g"], [F.col("v")], hot_rows=500))
-    assert same(cold, skew.number_in_groups(grouped, ["g"], [F.col("v")], hot_rows=1))
+    grouped = grouped.withColumn("g", F.when(F.col("g") != 7, F.col("g")))  # one group is NULL
+    for way in ("asc", "desc"):
+        plain = Window.partitionBy("g").orderBy(skew.order_by([("v", way)])[0])
+        want = grouped.withColumn("row_no", F.row_number().over(plain).cast("bigint"))
+        got = skew.number_in_groups(grouped, ["g"], [("v", way)])
+        assert same(got, want)
+    windows = [line for line in plan(got).split("\n") if "Window [" in line and "row_number" in line]
+    assert windows and all("_range" in line for line in windows)  # no window gathers a whole group
+
+
+def test_state_before_each_row(spark):
+    """Segmented running maxima against a plain loop; one group holds a third of the rows."""
+    random.seed(4)
+    data = [(0 if random.random() < 0.35 else random.randrange(1, 40), n, random.randrange(100),
+             random.random() < 0.002 * (1 + n % 3), random.random() < 0.2) for n in range(3000)]
+    df = spark.createDataFrame(data, "g int, at int, v int, opens boolean, skip boolean")
+    value = F.when(~F.col("skip") | F.col("opens"), F.col("v"))
+    got = {r["at"]: r["before"] for r in skew.running_before(
+        df, ["g"], [("at", "asc")], value, F.col("opens"), F.lit(50), "before").collect()}
+    state = {}
+    for g, at, v, opens, skip in data:
+        assert got[at] == state.get(g, 50)
+        if opens:
+            state[g] = v
+        elif not skip:
+            state[g] = max(state.get(g, 50), v)
 
 
 def test_join_unique(spark):
