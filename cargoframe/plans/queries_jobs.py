@@ -854,27 +854,38 @@ def _fed(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(f"{root}/in"), root
 
 
+@query("m1_status_change_stream", """
+WITH moves AS (SELECT *, lag(new_status) OVER (PARTITION BY record_id ORDER BY changed_at, id) AS before FROM v_history),
+news AS (SELECT *, row_number() OVER (PARTITION BY record_id, new_status ORDER BY changed_at, id) AS rn
+ FROM moves WHERE before IS NOT NULL AND before <> new_status)
+SELECT concat('item-', CAST(record_id AS VARCHAR)) AS record_id, new_status, TS(changed_at) AS changed_at,
+ concat('e', CAST(id AS VARCHAR)) AS event_id, FALSE AS late
+FROM news WHERE rn = 1 AND changed_at < (SELECT max(changed_at) - INTERVAL 1 DAY FROM v_history)""")
+def _(spark, d):
+    text = X.history(spark, d).select(
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit("item-"), F.col("record_id").cast("string")).alias("record_id"), "new_status", "changed_at")
+    events, root = _fed(spark, text, "alerts")
+    query = (feeds.status_change_feed(events).writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return plain(spark.read.schema(feeds.alert_schema(text)).parquet(f"{root}/out"))
+
+
 @query("m3_transition_stream", _STATUS_TABLE)
 def _(spark, d):
     requests, root = _fed(spark, X.status_requests(spark, d), "transitions")
-    X.items(spark, d).select("id", "item_ref", "customer_id", "order_id", "container_id", "status",
-                             "is_missing", "tracking_number", "description").write.parquet(f"{root}/items")
-    feeds.transition_stream(
-        requests, f"{root}/items", f"{root}/delta", f"{root}/history", f"{root}/checkpoint"
-    ).awaitTermination()
-    base = spark.read.parquet(f"{root}/items")
-    deltas = feeds.read_deltas(spark, f"{root}/delta", feeds.item_delta_schema(base))
-    return feeds.current_rows(base, deltas, feeds.ITEM_DELTA).select("id", "status", "is_missing")
+    store = feeds.item_store(X.items(spark, d).select(
+        "id", "item_ref", "customer_id", "order_id", "container_id", "status",
+        "is_missing", "tracking_number", "description"), f"{root}/items")
+    feeds.transition_stream(requests, store.root, f"{root}/history", f"{root}/checkpoint").awaitTermination()
+    return store.rows().select("id", "status", "is_missing")
 
 
 @query("m4_payment_stream", _SYNCED)
 def _(spark, d):
     timed = _snapshots(spark, d).withColumn("at", F.lit("2001-08-01").cast("timestamp"))
     snapshots, root = _fed(spark, timed.unionByName(timed), "payments")
-    X.sold_orders(spark, d).write.parquet(f"{root}/orders")
-    feeds.payment_stream(
-        snapshots, f"{root}/orders", f"{root}/delta", f"{root}/checkpoint"
-    ).awaitTermination()
-    base = spark.read.parquet(f"{root}/orders")
-    deltas = feeds.read_deltas(spark, f"{root}/delta", feeds.order_delta_schema(base))
-    return feeds.current_rows(base, deltas, feeds.ORDER_DELTA).select("id", "status")
+    store = feeds.order_store(X.sold_orders(spark, d), f"{root}/orders")
+    feeds.payment_stream(snapshots, store.root, f"{root}/late", f"{root}/checkpoint").awaitTermination()
+    return store.rows().select("id", "status")

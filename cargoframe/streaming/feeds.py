@@ -1,8 +1,7 @@
 """Status alerts, rate limits, transitions and payments as batch jobs and as streams.
 
-A stream equals its batch form on the same input in event order. Changes are written as
-one delta folder per micro-batch, never as a rewrite of the whole table, and a retried
-micro-batch replaces its own folder.
+A stream equals its batch form on the same input in event order. Changes go to a keyed store
+(``store``), which reads only the buckets that a micro-batch names and applies each batch once.
 """
 
 import json
@@ -12,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql import types as T
 
-from cargoframe.operators.lifecycle import apply_item_status, sync_payment_status
+from cargoframe.operators.lifecycle import apply_judged_status, judge_item_status, sync_payment_status
 from cargoframe.operators.skew import HOT_ROWS, join_unique
+from cargoframe.streaming.store import KeyedStore
 
-LATENESS = "1 day"
+LATENESS_DAYS = 1
+LATENESS = f"{LATENESS_DAYS} day"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -55,65 +56,109 @@ def newest_alerts(alerts: DataFrame, n: int = 25) -> DataFrame:
     return alerts.orderBy(F.desc("changed_at"), F.desc("event_id")).limit(n)
 
 
-ALERT = T.StructType(
-    [
-        T.StructField("record_id", T.LongType()),
+def alert_schema(events: DataFrame) -> T.StructType:
+    """Alerts and late rows of a stream whose ids may have any type; ``late`` marks the latter."""
+    return T.StructType([
+        T.StructField("record_id", events.schema["record_id"].dataType),
         T.StructField("new_status", T.StringType()),
         T.StructField("changed_at", T.TimestampType()),
-        T.StructField("event_id", T.LongType()),
-    ]
-)
+        T.StructField("event_id", events.schema["id"].dataType),
+        T.StructField("late", T.BooleanType()),
+    ])
 
 
 class StatusAlerts(StatefulProcessor):
-    """Keeps the last status and the statuses already announced of one record.
+    """Status events of one record in event order.
 
-    Both live in one value, read and written once per record and micro-batch; there are
-    as many announced statuses as life-cycle steps at most.
+    Events wait in state until the watermark, one day behind the newest event, has passed
+    them; a timer then takes them in order. Events behind the watermark are late: they are given
+    back as such and change nothing. Input is read chunk by chunk, and what waits is at most
+    the events of the record in the last day. The last status and the announced ones
+    are one value; there are as many announced statuses as life-cycle steps at most.
     """
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, id_type: T.DataType):
+        self.id_type = id_type
 
     def init(self, handle):
+        self.handle = handle
         kept = T.StructType(
             [T.StructField("last", T.StringType()), T.StructField("seen", T.StringType())]
         )
-        self.kept = handle.getValueState("kept", kept, self.ttl_ms)
+        self.kept = handle.getValueState("kept", kept)
+        event = T.StructType([T.StructField("us", T.LongType()), T.StructField("id", self.id_type),
+                              T.StructField("status", T.StringType())])
+        self.waiting = handle.getListState("waiting", event)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["changed_at", "id"])
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = self.waiting.exists()
+        earliest = None
+        for chunk in rows:
+            us = chunk["changed_at"].astype("datetime64[us]").astype("int64")
+            late = us < passed * 1000
+            if late.any():
+                yield self._out(key, [(s, u, i, True) for s, u, i in zip(
+                    chunk["new_status"][late], us[late], chunk["id"][late])])
+            events = [(int(u), i, s) for u, i, s in zip(us[~late], chunk["id"][~late].tolist(), chunk["new_status"][~late])]
+            if events:
+                self.waiting.appendList(events)
+                first = min(e[0] for e in events)
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            due = earliest // 1000 + 1
+            timers = sorted(self.handle.listTimers()) if waiting else []
+            if not timers or due < timers[0]:
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(e) for e in self.waiting.get())
+        ready, rest = [e for e in held if e[0] < passed], [e for e in held if e[0] >= passed]
         last, seen = self.kept.get() if self.kept.exists() else (None, "[]")
-        seen = json.loads(seen)
-        out = []
-        for status, at, event in zip(batch["new_status"], batch["changed_at"], batch["id"]):
+        seen, out = json.loads(seen), []
+        for us, event, status in ready:
             if last is not None and status != last and status not in seen:
                 seen.append(status)
-                out.append((key[0], status, at, event))
+                out.append((status, us, event, False))
             last = status
-        self.kept.update((last, json.dumps(seen)))
-        yield pd.DataFrame(out, columns=ALERT.names)
+        if ready:
+            self.kept.update((last, json.dumps(seen)))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        yield self._out(key, out)
+
+    def _out(self, key, found):
+        # plain objects: Arrow-backed text columns come as chunks, which state output refuses
+        frame = pd.DataFrame(found, columns=["new_status", "us", "event_id", "late"], dtype=object)
+        frame["changed_at"] = pd.to_datetime(frame.pop("us").astype("int64"), unit="us")
+        frame["record_id"] = pd.Series([key[0]] * len(frame), dtype=object)
+        return frame[["record_id", "new_status", "changed_at", "event_id", "late"]]
 
     def close(self):
         pass
 
 
-def status_change_feed(events: DataFrame, ttl_days: int | None = None) -> DataFrame:
-    """Streaming form of ``status_changes``; rows per trigger are bounded by the source.
+def status_change_feed(events: DataFrame) -> DataFrame:
+    """Streaming form of ``status_changes`` over (id, record_id, new_status, changed_at), ids of any type.
 
-    With ``ttl_days`` a record that is silent for so long is forgotten. Spark then keeps
-    triggering to expire state, so use it with a processing-time trigger, not availableNow.
+    An alert comes out once the watermark has passed its event; rows behind the watermark come
+    out with ``late`` set, so that they can be counted. Bound the input of a trigger at the
+    source (``maxFilesPerTrigger``).
     """
     enable_state(events.sparkSession)
-    ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
-    timely = events.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-    return (
-        timely.select("record_id", "new_status", "changed_at", "id")
-        .groupBy("record_id")
-        .transformWithStateInPandas(
-            StatusAlerts(ttl_ms), ALERT, "Append", "None" if ttl_ms is None else "ProcessingTime"
-        )
-    )
+    marked = events.select(
+        "record_id", "new_status", F.col("changed_at").cast("timestamp").alias("changed_at"), "id"
+    ).withWatermark("changed_at", LATENESS)
+    # a copy of the time without the mark: Spark would drop late rows itself, uncounted after a restart
+    timely = marked.withColumn("changed_at", F.timestamp_micros(F.unix_micros("changed_at")))
+    return timely.groupBy("record_id").transformWithStateInPandas(
+        StatusAlerts(events.schema["id"].dataType), alert_schema(events), "Append", "EventTime")
 
 
 LABEL = T.StructType(
@@ -166,81 +211,50 @@ def rate_limit_feed(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     )
 
 
-# Deltas of the item and order tables --------------------------------------------------
-
-
-def current_rows(base: DataFrame, deltas: DataFrame | None, columns: list[str]) -> DataFrame:
-    """Base rows with the newest delta (id, batch, columns...) of each id applied."""
-    if deltas is None:
-        return base
-    newest = deltas.groupBy("id").agg(F.max(F.struct("batch", *columns)).alias("_d"))
-    joined = base.join(newest, "id", "left")
-    given = F.col("_d").isNotNull()
-    return joined.withColumns(
-        {c: F.when(given, F.col(f"_d.{c}")).otherwise(F.col(c)) for c in columns}
-    ).select(base.columns)
-
-
-def _folder(root: str, batch: int) -> str:
-    return f"{root}/batch={batch}"
-
+# Changes of the item and order tables -------------------------------------------------
 
-def _earlier(spark: SparkSession, root: str, schema: T.StructType, batch: int) -> DataFrame:
-    """Deltas of earlier micro-batches."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(root).filter(F.col("batch") < batch)
+ITEM_CHANGES = ["status", "is_missing"]
+ORDER_CHANGES = ["status", "snapshot_at"]
 
 
-def read_deltas(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(root)
+def item_store(items: DataFrame, root: str, **options) -> KeyedStore:
+    return KeyedStore.create(items, root, ITEM_CHANGES, **options)
 
 
-def _delta_schema(table: DataFrame, columns: list[str]) -> T.StructType:
-    fields = [table.schema["id"], *[table.schema[c] for c in columns]]
-    return T.StructType([*fields, T.StructField("batch", T.LongType())])
+def order_store(orders: DataFrame, root: str, **options) -> KeyedStore:
+    """Orders bucketed by sale, with the time of the snapshot that was applied last."""
+    timed = orders.withColumn("snapshot_at", F.lit(None).cast("timestamp"))
+    return KeyedStore.create(timed, root, ORDER_CHANGES, key="sale_id", **options)
 
 
-ITEM_DELTA = ["status", "is_missing"]
-ORDER_DELTA = ["status"]
-
-
-def item_delta_schema(items: DataFrame) -> T.StructType:
-    return _delta_schema(items, ITEM_DELTA)
-
-
-def order_delta_schema(orders: DataFrame) -> T.StructType:
-    return _delta_schema(orders, ORDER_DELTA)
+def _folder(root: str, batch: int) -> str:
+    return f"{root}/batch={batch}"
 
 
 def transition_stream(
-    requests: DataFrame, items_path: str, delta_root: str, history_root: str, checkpoint: str,
+    requests: DataFrame, store_root: str, history_root: str, checkpoint: str,
     rejected_root: str | None = None,
 ) -> StreamingQuery:
-    """Apply a stream of item status requests; history and deltas are appended per batch.
+    """Apply a stream of item status requests to an item store; history is appended per batch.
 
-    Only the requested items are read from the base (a semi-join), and only their new
-    status is written.
+    Requests take effect in turn inside a micro-batch and from batch to batch, so requests that
+    arrive in order give what ``apply_item_status`` gives on all of them.
     """
     def apply(batch: DataFrame, number: int):
-        session = batch.sparkSession
+        store = KeyedStore(batch.sparkSession, store_root)
+        version, state = store.state()
+        if store.is_done(state, checkpoint, number):
+            return
         batch = batch.persist()
-        base = session.read.parquet(items_path)
-        schema = item_delta_schema(base)
-        ids = batch.select(F.col("item_id").alias("id"))
-        past = _earlier(session, delta_root, schema, number).join(ids, "id", "left_semi")
-        now = current_rows(base.join(ids, "id", "left_semi"), past, ITEM_DELTA)
-        change = apply_item_status(now, batch)
-        changed = change.table.join(change.accepted.select("id"), "id", "left_semi")
-        changed.select("id", *ITEM_DELTA).write.mode("overwrite").parquet(
-            _folder(delta_root, number)
-        )
+        now = store.rows(state, store.buckets_of(batch.select(F.col("item_id").alias("id"))))
+        judged = judge_item_status(now, batch).persist()
+        change = apply_judged_status(now, judged)
         change.history.write.mode("overwrite").parquet(_folder(history_root, number))
         if rejected_root is not None:
             change.rejected.write.mode("overwrite").parquet(_folder(rejected_root, number))
+        changed = change.table.join(change.accepted.select("id"), "id", "left_semi")
+        store.commit(version, state, changed, checkpoint, number)
+        judged.unpersist()
         batch.unpersist()
 
     return (
@@ -252,47 +266,46 @@ def transition_stream(
 
 
 def payment_stream(
-    snapshots: DataFrame, orders_path: str, delta_root: str, checkpoint: str
+    snapshots: DataFrame, store_root: str, late_root: str, checkpoint: str
 ) -> StreamingQuery:
     """Apply a stream of payment snapshots (sale_id, total_amount, sale_paid, sale_balance, at).
 
-    Repeated snapshots are dropped within the watermark, later ones are counted as late;
-    the newest snapshot of a sale in a micro-batch counts.
+    Rows more than a day older than the newest row of the batches before are late: they are
+    written to ``late_root`` and not applied. Of the others the newest snapshot of a sale counts,
+    if it is newer than the one applied before, so repeated snapshots change nothing.
     """
-    once = snapshots.withWatermark("at", LATENESS).dropDuplicatesWithinWatermark(
-        ["sale_id", "at"]
-    )
-
     def apply(batch: DataFrame, number: int):
-        session = batch.sparkSession
+        store = KeyedStore(batch.sparkSession, store_root)
+        version, state = store.state()
+        if store.is_done(state, checkpoint, number):
+            return
         batch = batch.persist()
+        at = F.unix_micros("at")
+        newest_before = state["kept"].get("newest")
+        is_late = F.lit(False) if newest_before is None else F.coalesce(
+            at < F.lit(newest_before - LATENESS_DAYS * 86_400_000_000), F.lit(False))
+        batch.filter(is_late).write.mode("overwrite").parquet(_folder(late_root, number))
+        timely = batch.filter(~is_late)
         values = ["total_amount", "sale_paid", "sale_balance"]
-        newest = batch.groupBy("sale_id").agg(F.max(F.struct("at", *values)).alias("_s"))
-        newest = newest.select("sale_id", *[f"_s.{v}" for v in values])
-        base = session.read.parquet(orders_path)
-        touched = base.join(newest.select("sale_id"), "sale_id", "left_semi").select(base.columns)
-        past = _earlier(session, delta_root, order_delta_schema(base), number)
-        now = current_rows(touched, past, ORDER_DELTA)
-        table, _ = sync_payment_status(now, newest)
-        before = now.select("id", F.col("status").alias("_old"))
-        changed = table.join(before, "id").filter(F.col("status") != F.col("_old"))
-        changed.select("id", *ORDER_DELTA).write.mode("overwrite").parquet(
-            _folder(delta_root, number)
-        )
+        newest = timely.groupBy("sale_id").agg(F.max(F.struct("at", *values)).alias("_s"))
+        newest = newest.select("sale_id", F.col("_s.at").alias("_at"), *[f"_s.{v}" for v in values])
+        now = store.rows(state, store.buckets_of(timely)).join(newest.select("sale_id", "_at"), "sale_id").filter(
+            F.col("snapshot_at").isNull() | (F.col("_at") > F.col("snapshot_at")))
+        table, _ = sync_payment_status(now, newest.drop("_at"))
+        changed = table.withColumn("snapshot_at", F.col("_at"))
+        seen = batch.agg(F.max(at)).first()[0]
+        known = [t for t in (newest_before, seen) if t is not None]
+        store.commit(version, state, changed, checkpoint, number, {"newest": max(known, default=None)})
         batch.unpersist()
 
     return (
-        once.writeStream.foreachBatch(apply)
+        snapshots.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came later than the watermark."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def late_rows(spark: SparkSession, late_root: str, schema: T.StructType) -> DataFrame:
+    """All rows that came too late, over every batch and restart."""
+    return spark.read.schema(schema).parquet(late_root)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cargoframe.operators import audit, lifecycle as L, windows
@@ -251,7 +252,7 @@ def test_rejections_of_bulk_jobs(spark):
         [("a", "status", "x", 1), ("b", "status", "x", 1), ("a", "size", "x", 1), ("a", None, "x", 1)],
         "id string, field string, value string, seq int")
     assert rows(L.unknown_patches(items, patches), "id", "field", "reason") == [
-        ("a", None, "unknown field"), ("a", "size", "unknown field"), ("b", "status", "unknown row")]
+        ("a", "size", "unknown field"), ("a", None, "unknown field"), ("b", "status", "unknown row")]
 
 
 def test_patches_clear_and_keep(spark):
@@ -323,6 +324,37 @@ def test_versioned_writes(spark, tmp_path):
     assert rows(tables.read_version(spark, root, 1)) == [(1, "a"), (2, "b")]
 
 
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    root, ddl = str(tmp_path / "t"), "id int, name string"
+    tables.write_rows(spark, root, spark.createDataFrame([(1, "a")], ddl))
+    read = tables.read_version(spark, root)
+    assert tables.write_rows(spark, root, spark.createDataFrame([(2, "b")], ddl)) == 2
+    with pytest.raises(tables.Conflict):  # built on version 1, which is no longer the newest
+        tables.publish(tables.upsert_rows(read, spark.createDataFrame([(3, "c")], ddl)), root, 2)
+    assert rows(tables.read_version(spark, root)) == [(1, "a"), (2, "b")]
+    turns = []
+
+    def step(now):
+        if not turns:  # another writer is faster the first time
+            turns.append(tables.publish(tables.upsert_rows(now, spark.createDataFrame([(4, "d")], ddl)), root, 3))
+        return tables.upsert_rows(now, spark.createDataFrame([(3, "c")], ddl))
+
+    assert tables.change(spark, root, step) == 4
+    assert rows(tables.read_version(spark, root), "id") == [(1,), (2,), (3,), (4,)]
+
+
+def test_repeated_keys_give_one_row(spark, tmp_path):
+    root, ddl = str(tmp_path / "t"), "id int, name string, seq int"
+    tables.write_rows(spark, root, spark.createDataFrame([(1, "a", 0)], ddl))
+    twice = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (1, None, 3), (2, "x", 1), (2, "x", 1)], ddl)
+    tables.write_rows(spark, root, twice, order=[F.col("seq")])
+    assert rows(tables.read_version(spark, root)) == [(1, "a", 3), (2, "x", 1)]
+    with pytest.raises(Exception, match="several different rows of key 1"):
+        tables.write_rows(spark, root, twice)
+    tables.write_rows(spark, root, twice.filter("id = 2"))
+    assert rows(tables.read_version(spark, root)) == [(1, "a", 3), (2, "x", 1)]
+
+
 def test_scan_with_schema(spark, tmp_path):
     path = str(tmp_path / "w.json")
     spark.createDataFrame([("w", "Dock", True)], "id string, name string, is_active boolean").write.json(path)
