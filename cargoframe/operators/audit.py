@@ -119,31 +119,36 @@ def default_templates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "new_status string, headline string, body string")
 
 
+#: Wording of what the templates lack; %s stand for name, order and status, or for the status.
+CHAT = "Hi %s! Order %s has a new status: %s."
+HEADLINE, BODY = "News about your parcel: %s", "The status of your parcel has changed to %s."
+
+
 def notification_outbox(
-    accepted_changes: DataFrame, customers: DataFrame, templates: DataFrame
+    accepted_changes: DataFrame, customers: DataFrame, orders: DataFrame, templates: DataFrame,
+    chat_text: str = CHAT, headline: str = HEADLINE, body: str = BODY,
 ) -> DataFrame:
-    """One message per accepted status change of a customer who can be reached by e-mail.
+    """One row per accepted status change of a customer who can be reached.
 
-    The chat text is made for items that are on an order. Nothing is sent.
+    Customers with an e-mail address get headline and body; those whose item is on an order
+    get a chat text that names the order, with or without an address. Nothing is sent.
     """
-    people = customers.filter(blank_to_null(F.col("email")).isNotNull()).select(
-        F.col("id").alias("customer_id"), "name", "email", "phone"
-    )
+    people = customers.select(
+        F.col("id").alias("customer_id"), "name", blank_to_null(F.col("email")).alias("email"), "phone")
+    known = orders.select(F.col("id").alias("order_id"), F.col("order_ref").alias("_order_ref"))
     status = F.col("new_status")
-    joined = accepted_changes.join(people, "customer_id").join(templates, "new_status", "left")
-    chat = F.format_string(
-        "Hello %s, your package %s is now *%s*.", F.col("name"), F.col("item_ref"), status
-    )
+    joined = accepted_changes.join(people, "customer_id").join(known, "order_id", "left").join(
+        templates, "new_status", "left")
+    mailed, ordered = F.col("email").isNotNull(), F.col("_order_ref").isNotNull()
+    chat = F.format_string(chat_text, F.col("name"), F.col("_order_ref"), status)
+    joined = joined.filter(mailed | ordered)
     return joined.select(
         "request_id", F.col("id").alias("item_id"), "customer_id", "email",
         F.split_part("name", F.lit(" "), F.lit(1)).alias("first_name"),
-        F.coalesce("headline", F.concat(F.lit("Package Status: "), status)).alias("headline"),
-        F.coalesce(
-            "body",
-            F.concat(F.lit("Your package status has been updated to: "), status, F.lit(".")),
-        ).alias("body"),
-        F.when(F.col("order_id").isNotNull(), chat).alias("chat_text"),
-        F.when(F.col("order_id").isNotNull(), phone_chat(F.col("phone"))).alias("chat_phone"),
+        F.when(mailed, F.coalesce("headline", F.format_string(headline, status))).alias("headline"),
+        F.when(mailed, F.coalesce("body", F.format_string(body, status))).alias("body"),
+        F.when(ordered, chat).alias("chat_text"),
+        F.when(ordered, phone_chat(F.col("phone"))).alias("chat_phone"),
     )
 
 

@@ -76,13 +76,15 @@ def period_filter(
     df: DataFrame, column: str, period: str, as_of=None, date_from=None, date_to=None
 ) -> DataFrame:
     """all, today, week, month, year (ending at ``as_of``) or custom (inclusive days)."""
-    if period in ("", "all"):
-        return df
+    return df.filter(in_period(F.col(column), period, as_of, date_from, date_to))
+
+
+def in_period(column: Column, period: str, as_of=None, date_from=None, date_to=None) -> Column:
+    if period in ("", "all") or (period == "custom" and date_from is None and date_to is None):
+        return F.lit(True)
     if period == "custom":
-        if date_from is None and date_to is None:
-            return df
-        return df.filter(between_days(F.col(column), date_from, date_to))
-    return df.filter((F.col(column) >= since(period, as_of)) & (F.col(column) <= moment(as_of)))
+        return between_days(column, date_from, date_to)
+    return (column >= since(period, as_of)) & (column <= moment(as_of))
 
 
 def report_date() -> Column:

@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from cargoframe.functions.measures import cbm_total, charge_basis
 from cargoframe.operators.filters import report_range
-from cargoframe.operators.skew import Order, order_by, rows_between
+from cargoframe.operators.skew import Order, number_rows, order_by, rows_between
 from cargoframe.schema import UNPAID
 
 # The order in which each table is listed.
@@ -32,6 +33,20 @@ def list_sorted(df: DataFrame, table: str) -> DataFrame:
     return df.orderBy(*order_by(canonical_order(table)))
 
 
+def positions(df: DataFrame, table: str) -> DataFrame:
+    """(id, position) of every row in the order in which its table is listed."""
+    column, _ = CANONICAL_ORDER[table]
+    return number_rows(df.select("id", column), canonical_order(table), "position").select("id", "position")
+
+
+def charged_as(items: DataFrame) -> DataFrame:
+    """What a list shows as the size of an item: its volume, else its weight, else nothing."""
+    basis = charge_basis()
+    return items.select(
+        "id", basis.alias("basis"),
+        F.when(basis == "volume", cbm_total()).when(basis == "weight", F.col("weight")).alias("amount"))
+
+
 def page_size(table: str, asked: int | None = None) -> int:
     """Rows of a page of this table: 50 unless asked otherwise, at most the table's longest page."""
     return min(asked, LONGEST_PAGE.get(table, LONGEST_OTHER)) if asked and asked > 0 else 50

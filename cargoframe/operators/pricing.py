@@ -6,6 +6,7 @@ from cargoframe.functions.measures import (
     cbm_total, cbm_unit, cents, fx_rate, net_amount, pieces, round_half_up, to_local,
 )
 from cargoframe.functions.text import first_line_label, line_label
+from cargoframe.functions.times import due_date
 from cargoframe.operators.links import rate_card
 from cargoframe.operators.windows import group_totals, share_units, split_to_cents, units_total
 from cargoframe.schema import MONEY
@@ -227,3 +228,10 @@ def order_net_view(orders: DataFrame, settings: DataFrame) -> DataFrame:
         net.alias("net_usd"), (net * rate).alias("net_local"),
         F.greatest(F.lit(0.0), base * rate - paid).alias("balance_local"),
     )
+
+
+def sale_dates(orders: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """Issue and due date of the sale that is opened for an order; without an invoice date it is
+    issued on the day of ``as_of``."""
+    issued = F.coalesce(F.col("invoice_date").cast("date"), F.lit(as_of).cast("date"))
+    return orders.select("id", issued.alias("issue_date"), due_date(issued, days).alias("due_date"))

@@ -11,13 +11,21 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cargoframe.operators.skew import HOT_ROWS, durable, split_hot
+from cargoframe.operators.skew import HOT_ROWS, durable, running_before, split_hot
 
 CELLS_PER_WINDOW = 64
 
 
+def micros(events: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 on the clock of the column; a time without zone has no clock shifts."""
+    if isinstance(events.schema[name].dataType, T.TimestampNTZType):
+        start = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", start, F.col(name))
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def _walk(times: np.ndarray, limit: int, length: int) -> np.ndarray:
     """Allowed flags of time-ordered microseconds of one key."""
     allowed = np.zeros(len(times), dtype=bool)
@@ -50,8 +58,10 @@ def _successors(times: DataFrame, length: int) -> DataFrame:
     ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = both.withColumn("_in", F.min("event").over(later)).filter("event IS NULL")
     firsts = both.groupBy("key", "cell").agg(F.min("event").alias("_first"))
-    beyond = Window.partitionBy("key").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
-    following = firsts.select("key", "cell", F.min("_first").over(beyond).alias("_beyond"))
+    # from the last cell backwards: the first event of the next cell that holds one
+    following = running_before(
+        firsts, ["key"], [("cell", "desc")], F.col("_first"), F.col("_first").isNotNull(),
+        F.lit(None).cast("bigint"), "_beyond").select("key", "cell", "_beyond")
     return inside.join(following, ["key", "cell"]).select(
         "key", (F.col("t") - length).alias("us"), F.coalesce("_in", "_beyond").alias("next")
     )
@@ -109,8 +119,7 @@ def rate_limit_labels(
 ) -> DataFrame:
     """Events (id, key, at) with ``allowed``; ids are unique, keys set, ties in time go by id."""
     length = seconds * 1_000_000
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    timed = events.select("id", "key", "at", micros.alias("_us"))
+    timed = events.select("id", "key", "at", micros(events, "at").alias("_us"))
     cold, hot = split_hot(timed, ["key"], hot_rows)
     labelled = _cold(cold.select("id", "key", "at", "_us"), limit, length)
     if not hot.isEmpty():

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cargoframe.functions.text import reference
-from cargoframe.operators import filters, links, listing, unions, windows
+from cargoframe.operators import filters, links, listing, pricing, unions, windows
 from cargoframe.plans import screens
 from cargoframe.plans.registry import STRAY_SQL, stray_orders
 from cargoframe.plans.registry import AS_OF, FROM, TO, plain, query
@@ -231,12 +231,10 @@ UNION ALL SELECT 'custom', count(*) FROM t_items
  WHERE date_received >= TIMESTAMP '1998-01-01' AND date_received < TIMESTAMP '1999-01-01'
 UNION ALL SELECT 'all', count(*) FROM t_items""")
 def _(spark, d):
-    items, result = X.items(spark, d), None
-    for period in ("today", "week", "month", "year", "custom", "all"):
-        df = filters.period_filter(items, "date_received", period, AS_OF, FROM, TO)
-        df = df.agg(F.lit(period).alias("period"), F.count(F.lit(1)).alias("n"))
-        result = df if result is None else result.unionByName(df)
-    return result
+    periods = ("today", "week", "month", "year", "custom", "all")
+    tests = [filters.in_period(F.col("date_received"), p, AS_OF, FROM, TO) for p in periods]
+    counts = X.items(spark, d).agg(*[F.count_if(t).alias(p) for p, t in zip(periods, tests)])
+    return counts.unpivot([], list(periods), "period", "n")
 
 
 @query("b9_report_range", "SELECT id, status FROM t_orders WHERE {RANGE}")
@@ -474,6 +472,46 @@ def _(spark, d):
     return plain(listing.list_sorted(X.customers(spark, d), "customers"), "id", "created_at")
 
 
+# every table in its canonical order, with the time column of the fixtures (none: NULL)
+_LISTED = {
+    "items": ("t_items", "date_received DESC"), "customers": ("t_customers", "created_at DESC"),
+    "orders": ("t_orders", "created_at DESC"), "containers": ("v_containers", "CAST(NULL AS DATE) DESC"),
+    "suppliers": ("v_suppliers", "CAST(NULL AS DATE) DESC"), "users": ("t_users", "last_login DESC"),
+    "registrations": ("t_registrations", "submitted_at DESC"), "warehouses": ("t_warehouses", "created_at"),
+    "record_history": ("v_history", "changed_at"), "status_history": ("v_history", "changed_at DESC"),
+    "activity_logs": ("v_logs", "timestamp DESC"),
+}
+
+
+@query("f1_positions", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY {order} NULLS LAST, id) "
+    f"AS position FROM {view}" for name, (view, order) in _LISTED.items()))
+def _(spark, d):
+    made = {"record_history": X.history, "status_history": X.history, "activity_logs": X.logs}
+    result = None
+    for name in _LISTED:
+        listed = listing.positions(made.get(name, getattr(X, name, None))(spark, d), name)
+        listed = listed.select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("id"), "position")
+        result = listed if result is None else result.unionByName(listed)
+    return result
+
+
+@query("h14_charge_basis", """
+SELECT id, basis, CASE basis WHEN 'volume' THEN R6(cbm_total) WHEN 'weight' THEN R6(weight) END AS amount
+FROM (SELECT *, CASE WHEN (shipping_type = 'sea' OR shipping_type IS NULL) AND cbm_unit <> 0 THEN 'volume'
+ WHEN coalesce(weight, 0) <> 0 THEN 'weight' END AS basis FROM t_items) i""")
+def _(spark, d):
+    return plain(listing.charged_as(X.items(spark, d)), "id", "basis", "amount")
+
+
+@query("h15_sale_dates", """
+SELECT id, TS(issued) AS issue_date, TS(due) AS due_date
+FROM (SELECT id, issued, issued + INTERVAL 30 DAY AS due FROM (
+ SELECT id, CAST(coalesce(CAST(invoice_date AS DATE), DATE '2001-08-01') AS TIMESTAMP) AS issued FROM t_orders) o) d""")
+def _(spark, d):
+    return plain(pricing.sale_dates(X.orders(spark, d), AS_OF))
+
+
 @query("f2_paginate", """
 SELECT id, TS(date_received) AS date_received, (SELECT count(*) FROM t_items) AS total,
  CAST((SELECT ceil(count(*) / 40e0) FROM t_items) AS BIGINT) AS total_pages,

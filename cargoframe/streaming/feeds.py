@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cargoframe.operators.lifecycle import apply_judged_status, judge_item_status, sync_payment_status
 from cargoframe.operators.skew import HOT_ROWS, join_unique
+from cargoframe.operators.throttle import micros
 from cargoframe.streaming.store import KeyedStore
 
 LATENESS_DAYS = 1
@@ -161,18 +162,20 @@ def status_change_feed(events: DataFrame) -> DataFrame:
         StatusAlerts(events.schema["id"].dataType), alert_schema(events), "Append", "EventTime")
 
 
-LABEL = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("key", T.LongType()),
-        T.StructField("at", T.TimestampType()),
-        T.StructField("allowed", T.BooleanType()),
-    ]
-)
+def label_schema(events: DataFrame) -> T.StructType:
+    kinds = {c: events.schema[c].dataType for c in ("id", "key")}
+    return T.StructType([
+        T.StructField("id", kinds["id"]), T.StructField("key", kinds["key"]),
+        T.StructField("us", T.LongType()), T.StructField("allowed", T.BooleanType()),
+    ])
 
 
 class RateLimit(StatefulProcessor):
-    """Keeps the end of the open window of one key and the events it has taken."""
+    """Keeps the end of the open window of one key and the events it has taken.
+
+    Of a micro-batch only the times and ids of a key are held, to bring them in order; the
+    source bounds how many there are.
+    """
 
     def __init__(self, limit: int, seconds: int):
         self.limit = limit
@@ -186,28 +189,31 @@ class RateLimit(StatefulProcessor):
         self.open = handle.getValueState("open", pair)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        micros = batch["at"].astype("datetime64[us]").astype("int64")
+        events = sorted((us, i) for chunk in rows for us, i in zip(chunk["us"].tolist(), chunk["id"].tolist()))
         ends, taken = self.open.get() if self.open.exists() else (None, 0)
-        allowed = []
-        for us in micros:
-            if ends is None or us > ends:
-                ends, taken = us + self.length, 0
-            allowed.append(taken < self.limit)
-            taken += allowed[-1]
+        for low in range(0, len(events), 10_000):
+            part, allowed = events[low:low + 10_000], []
+            for us, _ in part:
+                if ends is None or us > ends:
+                    ends, taken = us + self.length, 0
+                allowed.append(taken < self.limit)
+                taken += allowed[-1]
+            yield pd.DataFrame({
+                "id": pd.Series([i for _, i in part], dtype=object), "key": pd.Series([key[0]] * len(part), dtype=object),
+                "us": [us for us, _ in part], "allowed": allowed})
         self.open.update((int(ends), int(taken)))
-        yield batch.assign(allowed=allowed)[LABEL.names]
 
     def close(self):
         pass
 
 
 def rate_limit_feed(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Streaming form of ``rate_limit_labels`` over (id, key, at) with bigint id and key."""
+    """Streaming form of ``rate_limit_labels`` over (id, key, at), ids and keys of any type: id, key,
+    us (microseconds of ``at``) and allowed. Bound the input of a trigger at the source."""
     enable_state(events.sparkSession)
-    rows = events.select("id", "key", F.col("at").cast("timestamp").alias("at"))
+    rows = events.select("id", "key", micros(events, "at").alias("us"))
     return rows.groupBy("key").transformWithStateInPandas(
-        RateLimit(limit, seconds), LABEL, "Append", "None"
+        RateLimit(limit, seconds), label_schema(events), "Append", "None"
     )
 
 

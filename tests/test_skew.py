@@ -146,3 +146,38 @@ def test_report_aggregates_before_joining(spark, sf):
     physical = plan(queries()["d6_customer_analytics"](spark, sf)).split("== Physical Plan ==")[1]
     join = physical.index("Join")
     assert "partial_count" not in physical[:join] and "partial_count" in physical[join:]
+
+
+def test_no_window_gathers_a_rate_limited_key(spark):
+    events = spark.range(400).select("id", F.lit(1).alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("at"))
+    timed = events.select("key", F.unix_micros("at").alias("us"))
+    found = plan(throttle._successors(timed, 3_600_000_000))
+    windows = [line for line in found.split("\n") if "Window [" in line]
+    assert windows and all("cell" in line or "_range" in line for line in windows)
+
+
+def test_a_full_container_can_be_split(spark, sf):
+    """Above the join of containers and items stands an exchange, so nothing needs its partitioning."""
+    from cargoframe.operators import links
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = links.container_manifest(X.containers(spark, sf), X.items(spark, sf), X.customers(spark, sf))
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(n for n, line in enumerate(lines) if "SortMergeJoin [container_id" in line)
+    above = [line for line in lines[:at] if "Exchange" in line or "Aggregate" in line]
+    assert above and "Exchange" in above[-1] and not any("Aggregate" in line for line in above)
+
+
+def test_windows_keep_their_length_over_a_clock_shift(spark):
+    """25 hours lie between the two events on the clock of the column, whatever the session's zone does."""
+    rows_ = spark.sql("SELECT 1L AS id, 'k' AS key, TIMESTAMP_NTZ'2024-03-09 12:00:00' AS at "
+                      "UNION ALL SELECT 2L, 'k', TIMESTAMP_NTZ'2024-03-10 12:30:00'")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = rows(throttle.rate_limit_labels(rows_, 1, 86_400), "id", "allowed")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(1, True), (2, True)]
