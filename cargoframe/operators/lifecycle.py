@@ -84,7 +84,7 @@ def judge_item_status(items: DataFrame, requests: DataFrame) -> DataFrame:
     turn = [F.col(c) for c, _ in IN_TURN]
     met = running_before(
         asked, ["item_id"], IN_TURN, F.when(valid, _state(F.col("new_status"), requests, *turn)),
-        valid & ~staff, _state(F.col("_stored"), requests), "_met",
+        valid & ~staff, _state(F.col("_stored"), requests), "_met", requests,
     )
     backward = staff & (step_index(F.col("new_status")) < F.col("_met.step"))
     reason = F.when(F.col("_known").isNull(), "unknown item").when(

@@ -62,8 +62,8 @@ def join_unique(
 
 # Ordered work without a sort of the whole frame -----------------------------------------
 
-#: Keys sampled for each range boundary.
-SAMPLED = 64
+#: Keys sampled for each range boundary, and the most ranges.
+SAMPLED, RANGES = 64, 1024
 #: A total order: (column, "asc" or "desc"), NULLs last.
 Order = list[tuple[str, str]]
 
@@ -77,50 +77,48 @@ def _parts(df: DataFrame) -> int:
 
 
 def boundaries(df: DataFrame, order: Order) -> list[Row]:
-    """Keys that cut the frame into about equal ranges, one fewer than there are shuffle partitions.
+    """Keys that cut the frame into about equal ranges, as many as there are shuffle partitions
+    (``RANGES`` at most, which bounds the expression that finds a row's range).
 
     They come from the keys of smallest hash, a sample of bounded size that does not depend
     on how the rows are partitioned.
     """
-    ranges, keys = _parts(df), [c for c, _ in order]
+    ranges, keys = min(_parts(df), RANGES), [c for c, _ in order]
     sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLED * ranges)
     found = sample.orderBy(*order_by(order)).collect()  # at most SAMPLED * ranges keys
     step = max(1, -(-len(found) // ranges))
     return list(dict.fromkeys(found[step::step]))
 
 
-def _reached(bound: Column, order: Order) -> Column:
+def _reached(bound: Row, order: Order, kinds: list[T.DataType]) -> Column:
     """The row lies at the bound or behind it."""
     reached = F.lit(True)
-    for n, (name, way) in reversed(list(enumerate(order))):
-        x, y = F.col(name), bound[f"k{n}"]
-        behind = F.when(y.isNull(), False).when(x.isNull(), True).otherwise(x < y if way == "desc" else x > y)
-        reached = behind | (x.eqNullSafe(y) & reached)
+    for (name, way), value, kind in reversed(list(zip(order, bound, kinds))):
+        x = F.col(name)
+        if value is None:
+            reached = x.isNull() & reached
+            continue
+        y = F.lit(value).cast(kind)
+        behind = x < y if way == "desc" else x > y
+        reached = F.coalesce(behind | ((x == y) & reached), F.lit(True))  # a NULL comes last
     return reached
 
 
 def with_range(df: DataFrame, order: Order, bounds: list[Row]) -> DataFrame:
-    """Adds ``_range``, the number of boundaries at or before the row, by halving.
+    """Adds ``_range``, the number of boundaries at or before the row, by a tree of comparisons.
 
     All rows of a range come before those of the next, so a frame is ordered by its ranges
     and inside them; the column is an expression over the row and survives lost tasks.
     """
-    if not bounds:
-        return df.withColumn("_range", F.lit(0))
     kinds = [df.schema[c].dataType for c, _ in order]
-    table = F.array(*[
-        F.struct(*[F.lit(v).cast(kind).alias(f"k{n}") for n, (v, kind) in enumerate(zip(b, kinds))]) for b in bounds])
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        is_open = acc["low"] < acc["high"]
-        right = is_open & _reached(F.get(table, middle), order)
-        return F.struct(F.when(right, middle + 1).otherwise(acc["low"]).alias("low"),
-                        F.when(is_open & ~right, middle).otherwise(acc["high"]).alias("high"))
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(_reached(bounds[middle], order, kinds), tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return df.withColumn("_range", F.aggregate(steps, start, halve, lambda acc: acc["low"]))
+    return df.withColumn("_range", tree(0, len(bounds)))
 
 
 def range_counts(ranged: DataFrame) -> dict[int, int]:
@@ -167,6 +165,10 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 def _cut_groups(df: DataFrame, bounds: list[Row], keys: list[str]) -> DataFrame:
     """Rows of the groups that a boundary may cut; the others lie in one range each."""
     cut = list(dict.fromkeys(tuple(b[k] for k in keys) for b in bounds))  # at most one per boundary
+    if len(keys) == 1:  # a filter, which reaches the scans below
+        names = [v for (v,) in cut if v is not None]
+        held = F.col(keys[0]).isin(names)
+        return df.filter(held | F.col(keys[0]).isNull() if len(names) < len(cut) else held)
     schema = T.StructType([T.StructField(f"_{k}", df.schema[k].dataType) for k in keys])
     held = F.broadcast(df.sparkSession.createDataFrame(cut, schema))
     return df.join(held, _same(df, held, keys), "left_semi")
@@ -188,33 +190,38 @@ def number_in_groups(df: DataFrame, keys: list[str], order: Order, out: str = "r
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_range", *keys).orderBy(*order_by(order))
-    numbered = ranged.withColumn("_at", F.row_number().over(inside))
+    # rows may come partitioned by the key alone, which would hold a group together
+    numbered = ranged.repartition("_range", *keys).withColumn("_at", F.row_number().over(inside))
     return _with_starts(numbered, starts, keys).select(
         *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_at")).cast("bigint").alias(out))
 
 
 def running_before(
     df: DataFrame, keys: list[str], order: Order, value: Column, opens: Column, initial: Column, out: str,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the greatest ``value`` among the rows before this one in its group, counted from the
     last of them that ``opens`` a segment (itself included), or from ``initial`` before the first.
 
     NULL values do not count. A group of any size is cut at the range boundaries: windows run
-    over pieces, and each piece takes over the state with which the ones before it end.
+    over pieces, and each piece takes over the state with which the ones before it end. The
+    boundaries are sampled from ``source``, a cheaper frame with the same rows, if there is one.
     """
     full = [*[(k, "asc") for k in keys], *order]
-    bounds = boundaries(df, full)
+    bounds = boundaries(df if source is None else source, full)
     ranged = with_range(df, full, bounds).withColumns(
         {"_value": value, "_opens": F.coalesce(opens, F.lit(False)).cast("int"), "_initial": initial})
+    # rows may come partitioned by the key alone, which would hold a group together
+    dealt = ranged.repartition("_range", *keys)
     along = Window.partitionBy("_range", *keys).orderBy(*order_by(order))
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = Window.partitionBy("_range", *keys, "_segment").orderBy(*order_by(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    pieces = ranged.withColumn("_segment", F.sum("_opens").over(so_far)).withColumn(
+    pieces = dealt.withColumn("_segment", F.sum("_opens").over(so_far)).withColumn(
         "_run", F.max("_value").over(within)).withColumns(
         {"_before": F.lag("_run").over(along), "_past": F.coalesce(F.lag("_segment").over(along), F.lit(0))})
 
-    ends = _cut_groups(ranged, bounds, keys)
+    ends = _cut_groups(ranged, bounds, keys).repartition("_range", *keys)
     ends = ends.withColumn("_segment", F.sum("_opens").over(so_far)).groupBy("_range", *keys).agg(
         F.max("_segment").alias("_opened"), F.max(F.struct("_segment", "_value")).alias("_end"))
     # the end state of a piece is the greatest value of its last segment
