@@ -16,7 +16,7 @@ from cargoframe.functions.text import (
 from cargoframe.operators.skew import HOT_ROWS, durable, join_unique, running_before
 from cargoframe.operators.windows import assign_refs
 from cargoframe.schema import (
-    CLEARS_MISSING, ITEM_STATUS_FOR_CONTAINER, MONEY, READY, SHIPPED, UNPAID,
+    CLEARS_MISSING, ITEM_STATUSES, ITEM_STATUS_FOR_CONTAINER, MONEY, READY, SHIPPED, UNPAID,
 )
 from cargoframe.sources.tables import delete_rows, upsert_rows
 
@@ -56,12 +56,6 @@ def _rejections(*parts: tuple[DataFrame, Column | str]) -> DataFrame:
     return result
 
 
-def _state(status: Column, requests: DataFrame, *turn: Column) -> Column:
-    """A status that compares by its step, then by the turn in which it was set."""
-    turn = turn or tuple(F.lit(None).cast(requests.schema[c].dataType) for c, _ in IN_TURN)
-    return F.struct(step_index(status).alias("step"), turn[0].alias("at"), turn[1].alias("by"), status.alias("status"))
-
-
 def judge_item_status(items: DataFrame, requests: DataFrame) -> DataFrame:
     """Every request with the item it names, the status it meets and ``reason`` (NULL: accepted).
 
@@ -79,18 +73,20 @@ def judge_item_status(items: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("notes").alias("request_notes"),
     ).join(side, "item_id", "left")
     no_container = (F.col("new_status") == SHIPPED) & F.col("_loose")
-    valid = F.col("_known") & ~F.coalesce(no_container, F.lit(False))
+    step = step_index(F.col("new_status"))
+    valid = F.col("_known") & (step >= 0) & ~F.coalesce(no_container, F.lit(False))
     staff = F.coalesce(F.col("role") == "warehouse_staff", F.lit(False))
-    turn = [F.col(c) for c, _ in IN_TURN]
     met = running_before(
-        asked, ["item_id"], IN_TURN, F.when(valid, _state(F.col("new_status"), requests, *turn)),
-        valid & ~staff, _state(F.col("_stored"), requests), "_met", requests,
+        asked, ["item_id"], IN_TURN, F.when(valid, step), valid & ~staff,
+        step_index(F.col("_stored")), "_met", requests,
     )
-    backward = staff & (step_index(F.col("new_status")) < F.col("_met.step"))
-    reason = F.when(F.col("_known").isNull(), "unknown item").when(
+    backward = staff & (step < F.col("_met"))
+    names = F.array(*[F.lit(s) for s in ITEM_STATUSES])
+    previous = F.when(F.col("_met") >= 0, F.get(names, F.col("_met"))).otherwise(F.col("_stored"))
+    reason = F.when(F.col("_known").isNull(), "unknown item").when(step < 0, "unknown status").when(
         backward, "status can only move forward"
     ).when(no_container, "no container")
-    return met.withColumns({"previous_status": F.col("_met.status"), "reason": reason}).drop(
+    return met.withColumns({"previous_status": previous, "reason": reason}).drop(
         "_known", "_stored", "_loose", "_met")
 
 
