@@ -3,8 +3,8 @@
 All rolling word k-gram hashes of the documents are joined with the k-gram positions of the
 templates. A hit votes for the diagonal (document position minus template position) of its
 template; votes are the distinct template positions hit. Diagonals no further apart than
-``NEAR`` words are merged into one span, which bridges missing and added words. A span is
-verified on the words themselves: a phrase must stand there word for word, a notice must have
+``NEAR`` words are merged into one span, which bridges missing and added words. A span of a notice
+needs votes for a quarter of its grams, counted over all its diagonals. A span is verified on the words themselves: a phrase must stand there word for word, a notice must have
 ``COVERAGE`` of its words inside the span.
 
 Null and empty texts have no word and no label. Repeated rows get one result row each. An empty
@@ -98,17 +98,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         .select("row", "template", "n", "k", "base", (F.col("at") - F.col("place")).alias("diagonal"), "place"))
     # at most one place per word of a template
     votes = hits.groupBy("row", "template", "n", "k", "base", "diagonal").agg(F.collect_set("place").alias("places"))
-    # a lone hit of a long template proves nothing; phrases need all their hits on one diagonal
-    votes = votes.filter(F.when(F.col("base"), F.size("places") == F.col("n") - F.col("k") + 1)
-                         .otherwise(4 * F.size("places") >= F.col("n") - F.col("k") + 1))
+    # phrases need all their hits on one diagonal, notices a quarter over the diagonals of a span
+    grams_of = F.col("n") - F.col("k") + 1
+    votes = votes.filter(~F.col("base") | (F.size("places") == grams_of))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
     fresh = F.when(~F.col("base") & (step <= NEAR), 0).otherwise(1)
     spans = (
         votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
-        .groupBy("row", "template", "span").agg(
+        .groupBy("row", "template", "span", "base", "n", "k").agg(
+            F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("hit"),
             F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
             F.max(F.col("diagonal") + F.array_max("places") + F.col("k")).alias("end"))
+        .filter(F.col("base") | (4 * F.col("hit") >= grams_of))
         .groupBy("row").agg(F.collect_list(F.struct("template", "first", "end")).alias("spans")))
     known = F.broadcast(templates.groupBy().agg(F.collect_list(
         F.struct("template", "words", "label", "base")).alias("known")))
