@@ -8,7 +8,8 @@ and 1 means different everywhere. A branch's composite importance blends its own
 the leaves below; branches below ``LOW`` are removed from each page. Marked-up roles (navigation,
 header, footer, aside, form, scripts, advert and comment classes) are known beforehand, and
 where a page marks its article or main part, only that part is kept; inside it a branch goes
-only below ``LOW_INSIDE``. Fewer than ``PAGES`` distinct pages prove nothing.
+only below ``LOW_INSIDE``. A class name or id alone does not silence a marked part inside its element
+if the page marks no other, unless it names comments, adverts or links to other pages. Fewer than ``PAGES`` distinct pages prove nothing.
 
 Equal pages count once. Null html is empty and gives an empty text; pages without a host share one.
 Repeated rows get one result row each. An empty table gives no row.
@@ -27,6 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from cargoframe.sources.scratch import settle, ship
 
 LOW, LOW_INSIDE, PAGES, FADE = 0.2, 0.1, 4, 0.9
+#: What an element is by its role, and by a class name or id only.
+SURE, BY_NAME = 2, 1
+#: Names of a marked part, and of one inside an element that only a name calls noise.
+MARKS = {"article": ("article", "article in doubt"), "main": ("main", "main in doubt")}
 DEPTH = 24  # deeper elements count as their ancestor at this depth
 
 # Elements by role.
@@ -43,12 +48,29 @@ NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "comment", "comments", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "promo",
          "promotion", "sponsor", "sponsored", "subscribe", "subscription", "newsletter", "signup", "login", "popup",
          "modal", "overlay", "widget", "toolbar", "pagination", "pager", "copyright", "skip", "alert"}
+# Parts of names that say how a page is laid out, not what an element holds.
+LAYOUT = {"no", "not", "non", "with", "without", "has", "have", "is", "hide", "off"}
+# Names of what readers or other pages add, which no article tag inside turns into the article.
+FOREIGN = {"comment", "comments", "respond", "disqus", "related", "recommended", "promo", "promotion", "sponsor",
+           "sponsored", "ad", "ads", "advert", "adverts", "advertisement", "advertising"}
+# Elements that may stand in a head.
+OF_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 HEADING = {"header", "masthead", "topbar"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 
 
+def _names(attributes: dict) -> set[str]:
+    """Parts of the class names and the id, but for names that describe the layout (no-comments)."""
+    found = set()
+    for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        if parts.isdisjoint(LAYOUT):
+            found |= parts
+    return found
+
+
 class _Page(HTMLParser):
     """Text blocks of a page with their paths, and the child sequences of its elements."""
 
@@ -66,22 +88,27 @@ class _Page(HTMLParser):
             elif tag == "hr":
                 self.fresh = True
             return
+        if tag not in OF_HEAD:
+            self._end_head()
         if tag not in INLINE:
             self._close_implied(tag)
             self.fresh = True
         found = dict(attrs)
-        names = [t for t in re.split(r"[^a-z0-9]+", f"{found.get('class') or ''} {found.get('id') or ''}".lower()) if t]
-        parent = self.stack[-1] if self.stack else (None, "", False, "", None)
-        part = parent[3]
-        noise = parent[2] or tag in SILENT or tag in ASIDE or bool(NOISE & set(names)) or (
-            (found.get("role") or "").lower() in ROLES) or "hidden" in found
-        if not part and (tag in HEADING or HEADING & set(names)):
-            noise = True
-        if not noise:
-            if tag == "article" and part != "article":
-                part = "article"
-            elif not part and (tag == "main" or (found.get("role") or "").lower() == "main"):
-                part = "main"
+        names = _names(found)
+        role = (found.get("role") or "").lower()
+        parent = self.stack[-1] if self.stack else (None, "", 0, "")
+        part, noise = parent[3], parent[2]
+        if tag in SILENT or tag in ASIDE or role in ROLES or "hidden" in found or NOISE & names & FOREIGN or (
+                not part and (tag in HEADING or HEADING & names)):
+            noise = SURE
+        elif NOISE & names:
+            noise = max(noise, BY_NAME)
+        opens = "article" if tag == "article" and part not in MARKS["article"] else \
+            "main" if not part and (tag == "main" or role == "main") else ""
+        if opens and not noise:
+            part = opens
+        elif opens and noise == BY_NAME:  # counts where the page marks no other part
+            part, noise = MARKS[opens][1], 0
         path = parent[1]
         if tag not in INLINE and len(self.stack) < DEPTH:
             mark = tag + (f".{(found.get('class') or '').split()[0]}" if (found.get("class") or "").split() else "")
@@ -89,6 +116,11 @@ class _Page(HTMLParser):
             path = f"{path}>{mark}"
         self.stack.append((tag, path, noise, part))
 
+    def _end_head(self):
+        """The end tag of a head may be left out: anything of the body ends it."""
+        if self.stack and self.stack[-1][0] == "head":
+            self.stack.pop()
+
     def _close_implied(self, tag):
         if tag not in INLINE:
             # a block ends an open paragraph of the same container, with what is open inside it
@@ -111,7 +143,9 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data):
-        tag, path, noise, part = self.stack[-1] if self.stack else ("", "", False, "")
+        if data.strip():
+            self._end_head()
+        tag, path, noise, part = self.stack[-1] if self.stack else ("", "", 0, "")
         if tag in SILENT:
             return
         if not data.strip() and (self.fresh or not self.blocks):
@@ -181,7 +215,7 @@ def _inside(blocks: list[tuple]) -> tuple[bool, list]:
     of all that are no noise. Without a path: the part's own elements, which stay in any case."""
     quiet = [b for b in blocks if not b[1]]
     parts = {b[2] for b in quiet}
-    part = "article" if "article" in parts else "main" if "main" in parts else ""
+    part = next((p for p in ("article", "main", *(MARKS[p][1] for p in MARKS)) if p in parts), "")
     return bool(part), [(None if part and _OWN.search(path) else path, text)
                         for path, _, own, text in quiet if not part or own == part]
 

@@ -362,3 +362,47 @@ def test_rows_without_id(spark):
     assert len(kept) == 3 and near not in {r.text for r in kept} and {r.doc_id for r in kept} == {1, None}
     benchmark = spark.createDataFrame([(7, " ".join(base[10:40]))], "item_id long, text string")
     assert sorted(r.text for r in decontaminate.drop_found(docs, benchmark).collect()) == sorted(t for _, t in rows[2:])
+
+
+def _texts_of(html):
+    return [text for _, text in html_extract._inside(html_extract.parse(html)[0])[1]]
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><title>T</title><meta charset=utf-8><body><article><p>Real text</p></article></body></html>",
+    "<html><head><title>T</title><noscript><p>Turn on</p></noscript><p>Real text</p>",
+    "<body><div class='page-with-sidebar'><article><p>Real text</p></article></div>",
+    "<body><article class='post no-comments'><p>Real text</p></article>",
+    "<body><div class='menu'><main><p>Real text</p></main></div><div class='x'>Side</div>",
+    "<body><div class='widget'><article><p>Odd</p></article></div><article><p>Real text</p></article>",
+    "<body><article><p>Real text</p></article><div class='comments'><article><p>Nice!</p></article></div>",
+    "<body><div class='text'><p>Real text</p></div><div class='comments'><article class=comment><p>Nice!</p></article></div>",
+    "<body><article><p>Real text</p><div class='share-bar'>Share</div><header></header></article>",
+])
+def test_html_names_and_open_heads(html):
+    assert _texts_of(html) == ["Real text"]
+
+
+def test_votes_of_neighbouring_diagonals_add_up(spark):
+    notice = next(n for n in license_scan.NOTICES if n.startswith("permission is hereby"))
+    words = notice.split()
+    for i, at in enumerate((5, 11, 17, 23)):
+        words.insert(at + i, "indeed")
+    rows = [(1, "Some text. " + " ".join(words) + " more"), (2, "permission is hereby granted free of course"), (3, notice)]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].labels for i in (1, 2, 3)] == ["mit", "", "mit"]
+    assert found[1].score >= license_scan.COVERAGE and found[3].score == 1.0
+
+
+def test_chunked_encoding_of_awkward_texts():
+    import random
+
+    draw = random.Random(5)
+    bits = ["A", "b", "É", "é", "H̱", "İ", "Σ", "ß", " ", "  ", "\n", "\t", ".", ",", "...", "'s", "'S", "1", "12.5",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "Ab,", " ", "中文", "🙂", "ﬁ", "ǅ", "|", "\x1c", "​", "ª"]
+    made = [glue.join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for glue in ("", " ") for _ in range(1500)]
+    for path in (BYTE, WORD):
+        encoder = Encoder(path)
+        for low in range(0, len(made), 500):
+            for text, ids in zip(made[low:low + 500], encoder.batch(made[low:low + 500])):
+                assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
