@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cargoframe.llm.tokens import Encoder
+from cargoframe.llm.tokens import shared
 from cargoframe.sources.scratch import settle, ship
 
 #: Open windows of a partition, and partitions whose open windows meet in one task of a merge.
@@ -108,7 +108,7 @@ def _first(path: str, width: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = shared(path)
         windows = Windows(width, TaskContext.get().partitionId() * PER_TASK, keep_ids)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -1,7 +1,8 @@
 """Token ids of whole texts. Chunks between single blanks are encoded once and remembered.
 
 A blank between two non-blank characters always ends a pre-token, so the ids of a text are
-those of its chunks in order; a chunk keeps its leading blank.
+those of its chunks in order; a chunk keeps its leading blank. A Python worker keeps one encoder
+per tokenizer for all its tasks.
 """
 
 import re
@@ -10,8 +11,40 @@ from itertools import chain
 import numpy as np
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
-REMEMBERED = 600_000
+#: Chunks a worker remembers, texts of a call of the library, words joined to one text.
+REMEMBERED, LEARNT, JOINED = 1_000_000, 4096, 32
+
+
+class _Numbers(dict):
+    """Number of every chunk. An unknown one takes the next and is noted down; where the tokenizer
+    allows it, capitals share the number of small letters, and a word with a full stop or comma is
+    put together from its parts."""
+
+    def __init__(self, encoder: "Encoder", blank: str):
+        super().__init__()
+        self.encoder, self.blank = encoder, blank
+
+    def __missing__(self, chunk: str) -> int:
+        encoder, parts = self.encoder, None
+        if encoder.lowers and _plain(chunk):
+            low = chunk.lower()
+            if low != chunk and len(low) == len(chunk) and not any(a in low for a in encoder.added):
+                number = self[chunk] = self[low]
+                return number
+        if encoder.cuts and chunk[-1:] in (".", ",") and _latin(chunk[-2:-1]):
+            parts = self[chunk[:-1]], encoder.first[chunk[-1]]
+        number = self[chunk] = encoder.note(self.blank + chunk, parts)
+        return number
+
+
+def _latin(text: str) -> bool:
+    """Letters only, none of which becomes two characters in small letters."""
+    return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
+
+
+def _plain(chunk: str) -> bool:
+    """Whether small letters may be made before the tokenizer's normal forms are."""
+    return chunk.isascii() or _latin(chunk)
 
 
 class Encoder:
@@ -25,44 +58,113 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        # ids need no more than 16 bits in a small vocabulary
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = normal is not None and normal.normalize_str("AZ") == "az"
+        self.cuts = split is not None and all(len(split.pre_tokenize_str(x)) == 2 for x in ("ab.", "ab,"))
+        # tokens that open (or close) a word show where the words of a joined text begin
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.closes = any(x.endswith("</w>") for x in names)
+        self.edge = np.array([x.endswith("</w>") if self.closes else x.startswith("\u0120") for x in names])
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.sizes = [], []
+        self.first, self.later = _Numbers(self, ""), _Numbers(self, " ")
+        self.new: list[tuple] = []
+        self.noted = self.end = 0
+        self.ids = np.zeros(1 << 16, self.kind)
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.odd = np.zeros(1 << 12, bool)
+
+    def note(self, chunk: str, parts: tuple[int, int] | None) -> int:
+        self.new.append((self.noted, chunk, parts))
+        self.noted += 1
+        return self.noted - 1
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = list(dict.fromkeys(c for c in chunks if c not in self.number))
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.number[chunk] = len(self.sizes)
-            self.ids.append(np.array(found.ids, np.uint32))
-            self.sizes.append(len(found.ids))
+    def _learn(self) -> None:
+        """Encode the chunks noted down: words joined, others one by one, then those made of parts."""
+        while self.noted > len(self.counts):
+            self.starts, self.counts, self.odd = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.odd))
+        new, self.new = self.new, []
+        single = []
+        words = [(n, c) for n, c, parts in new if parts is None and c.startswith(" ") and _latin(c[1:])]
+        for low in range(0, len(words), JOINED * LEARNT):
+            groups = [words[i:i + JOINED] for i in range(low, min(len(words), low + JOINED * LEARNT), JOINED)]
+            found = self.tokenizer.encode_batch_fast(["".join([c for _, c in g]) for g in groups], add_special_tokens=False)
+            for group, one in zip(groups, found):
+                ids = np.array(one.ids, self.kind)
+                edges = np.flatnonzero(self.edge[ids])
+                if len(edges) != len(group):
+                    single += group
+                    continue
+                edges = np.concatenate([[0], edges + 1]) if self.closes else np.append(edges, len(ids))
+                self._store(np.array([n for n, _ in group]), np.diff(edges), ids)
+        single += [(n, c) for n, c, parts in new if parts is None and not (c.startswith(" ") and _latin(c[1:]))]
+        for low in range(0, len(single), LEARNT):
+            some = single[low:low + LEARNT]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([c for _, c in some], add_special_tokens=False)]
+            counts = np.fromiter(map(len, lists), np.int64, len(some))
+            self._store(np.array([n for n, _ in some]), counts,
+                        np.fromiter(chain.from_iterable(lists), self.kind, int(counts.sum())))
+            self.odd[[n for n, _ in some]] = [self._odd(c) for _, c in some]
+        made = [(n, *parts) for n, _, parts in new if parts is not None]
+        if made:
+            number, stem, mark = np.array(made).T
+            self._store(number, self.counts[stem] + self.counts[mark], self._take(np.stack([stem, mark], 1).ravel()))
+            self.odd[number] = [self._odd(c) for _, c, parts in new if parts is not None]
+
+    def _store(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keep the ids of chunks that follow each other; the flat array doubles when full."""
+        while self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.end:self.end + len(ids)] = ids
+        self.counts[numbers], self.starts[numbers] = counts, self.end + np.cumsum(counts) - counts
+        self.end += len(ids)
+
+    def _odd(self, chunk: str) -> bool:
+        """Whether a blank beside the chunk may not end a pre-token, or it holds an added token."""
+        inner = chunk[1:] if chunk.startswith(" ") else chunk
+        return not inner or inner[0].isspace() or inner[-1].isspace() or any(a in chunk for a in self.added)
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        which = np.fromiter(map(self.later.__getitem__, chunks[1:]), np.int64, len(chunks) - 1)
+        return np.concatenate([[self.first[chunks[0]]], which])
+
+    def _take(self, which: np.ndarray) -> np.ndarray:
+        counts = self.counts[which]
+        shift = np.repeat(self.starts[which] - (np.cumsum(counts) - counts), counts)
+        return self.ids[shift + np.arange(len(shift))]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids per text; a missing text has none."""
-        if len(self.number) > REMEMBERED:
+        if len(self.first) + len(self.later) > REMEMBERED:
             self._forget()
-        plain, parts, whole = [], [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(a in text for a in self.added):
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            cut = _BETWEEN.split(text) if _DOUBLE.search(text) or text[0].isspace() or text[-1].isspace() \
-                else text.split(" ")
-            plain.append(i)
-            parts.append([cut[0], *[" " + c for c in cut[1:]]])
-        self._learn(list(chain.from_iterable(parts)))
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        sizes = np.array(self.sizes, np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)])
+        numbers = [self._numbers(text.split(" ")) if text else None for text in texts]
+        self._learn()
         out = [np.zeros(0, np.uint32)] * len(texts)
-        for i, part in zip(plain, parts):
-            which = np.fromiter(map(self.number.__getitem__, part), np.int64, len(part))
-            count = sizes[which]
-            shift = np.repeat(begin[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            out[i] = flat[shift + np.arange(len(shift))]
-        for i, ids in whole.items():
-            out[i] = ids
+        for i, which in enumerate(numbers):
+            if which is not None:
+                out[i] = self._whole(texts[i]) if self.odd[which].any() else self._take(which).astype(np.uint32)
         return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text with blanks that do not end a pre-token, or with added tokens."""
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        which = self._numbers(_BETWEEN.split(text))
+        self._learn()
+        return self._take(which).astype(np.uint32)
+
+
+#: One encoder per Python worker and tokenizer.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def shared(path: str) -> Encoder:
+    """The encoder of this Python worker, with all it has learnt in earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
