@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cargoframe.llm.tokens import Encoder
+from cargoframe.llm.tokens import shared
 from cargoframe.sources.scratch import ship
 
 SHARD_TOKENS = 1 << 20
@@ -26,6 +26,10 @@ SCHEMA = ("part int, shard int, n_tokens long, bits int, doc_ids array<long>, do
           "ones array<binary>, planes array<binary>, zeros array<long>")
 
 
+def _kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """Sequence of ids below 2**bits with access, rank, select and decode."""
 
@@ -36,16 +40,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
-        planes, ones, zeros, now = [], [], [], ids
+        kind = _kind(bits)
+        planes, ones, zeros, now = [], [], [], ids.astype(kind)
         for level in range(bits - 1, -1, -1):
-            bit = (now >> np.uint32(level)) & np.uint32(1) == 1
+            bit = (now & kind(1 << level)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             count = _BYTE_ONES[packed].reshape(-1, BLOCK // 8).sum(1)
             ones.append(np.concatenate([[0], np.cumsum(count)]).astype("<u4").tobytes())
             planes.append(packed.tobytes())
             zeros.append(int(len(bit) - bit.sum()))
-            now = np.concatenate([now[~bit], now[bit]])
+            now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         return cls(len(ids), bits, planes, ones, zeros)
 
     def _rank1(self, level: int, at: int) -> int:
@@ -110,14 +115,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, plane by plane from the lowest."""
-        now = np.zeros(self.n, np.uint32)
+        kind = _kind(self.bits)
+        now = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            before = np.empty(self.n, np.uint32)
-            before[~bit] = now[:self.zeros[level]]
-            before[bit] = now[self.zeros[level]:]
-            now = before | (bit.astype(np.uint32) << np.uint32(self.bits - 1 - level))
-        return now
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            before = np.empty(self.n, kind)
+            before[np.flatnonzero(~bit)] = now[:self.zeros[level]]
+            before[np.flatnonzero(bit)] = now[self.zeros[level]:] | kind(1 << self.bits - 1 - level)
+            now = before
+        return now.astype(np.uint32)
 
 
 def _encode(path: str, end_id: int, bits: int, shard_tokens: int):
@@ -125,7 +131,7 @@ def _encode(path: str, end_id: int, bits: int, shard_tokens: int):
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encoder, docs, held, size = Encoder(path), [], [], 0
+        encoder, docs, held, size = shared(path), [], [], 0
 
         def close() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.concatenate(held), bits)
