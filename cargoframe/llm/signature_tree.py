@@ -1,48 +1,45 @@
 """Exact Jaccard self-join of documents on word shingles, by signature trees.
 
-Equal sets are one *class* (64-bit key of the set). The tree over the classes has these levels:
-
-1. size bands: linked sets differ little in size, so a set enters its own band and the next
-   ones a partner may lie in;
-2. segments: within a band every set is dealt into segments by shingle hash, so many that linked
-   sets agree in at least one whole segment (certain for small sets, up to a chance of ``MISS``
-   for large ones); a node of this level holds the sets with an equal segment;
-3. inner nodes: a node with more than ``LEAF`` members is split by a second equal segment as to its
-   sets of ``SPLIT_SIZE`` and above, which agree in dozens of segments if linked; its smaller sets
-   stay, and beside them the larger ones of a size that may link with theirs;
-4. leaves inside a node, each with the OR of its members' token bitmaps and their size range.
-
-The traversal first compares every set with the first member of most of its nodes. Verified links give
-components, and only nodes with members of different components are traversed further, in
-pairs of leaves and sets; a pair is dropped where sizes or the largest possible overlap
-(common bits of the bitmaps plus shingles that share a bit) rule a link out, or where all is in
-one component already. What remains is verified on the whole sets. Copies thus never become
-pairs, and no cap is set on partners.
+Equal sets are one *class* (64-bit key of the set). All shingles have one fixed order, rare ones
+first: by the level of their cell in a count sketch of ``CELLS`` cells, then by hash. Of two linked
+sets the first common shingle lies in the prefix of both, since neither can spare more than
+``size - num / den * size`` shingles before it; any fixed order is exact, and rare ones first keep
+a passage that many documents share out of the prefixes. The trees over the classes have these levels:
+
+1. a tree per shingle, over the sets that hold it in their prefix;
+2. inner nodes: sets of like size and like place of the shingle;
+3. leaves: the members of an inner node that are known to be in one component.
+
+Inner nodes and leaves hold the OR of their members' token bitmaps, their size range and the most
+shingles a member has from the tree's shingle on. First every set is compared with the most central
+member of its trees (the one with the fewest rarer shingles). Verified links give components, and
+trees with different components are traversed from their inner nodes down, in pairs: a pair
+goes where sizes or the largest possible overlap (common bits of the bitmaps plus shingles that share a
+bit; shingles from the tree's one on, as a linked pair meets at its first common one) rule a link
+out, or where all is in one component already. What remains is verified on the whole sets.
+Copies thus never become pairs, no link is lost and no cap is set on partners.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows and ids give one
 result row per input row. Null ids count as the largest; a component of null ids only is null.
-An empty table gives no row.
+An empty table gives no row. Columns other than doc_id and text are neither read nor changed.
 """
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.llm.components import components
-from cargoframe.llm.words import Words, lists, mix, packed_texts, signed, unpacked
+from cargoframe.llm.words import Words, free_names, lists, mix, packed_texts, signed, unpacked
 from cargoframe.sources.scratch import settle, ship
 
 ROWS = 1000
-BAND = 1.5
-MISS = 1e-12
 LANES = 8  # 64-bit words of a token bitmap
-LEAF = 32
-#: Full nodes of sets of this size and above are split by a further equal segment.
-SPLIT_SIZE = 130
+CELLS = 1 << 18  # of the count sketch that orders shingles by rarity
+PARTS = 16  # rows that a sketch travels in
+_BITS = [f"b{j}" for j in range(LANES)]  # OR of the shingles' bits
+_ODD = [f"x{j}" for j in range(LANES)]  # their XOR
 
 
 class Sets:
@@ -73,79 +70,24 @@ class Sets:
         self.key = mix((total[self.first[1:]] - total[self.first[:-1]]) ^ mix(self.size.astype(np.uint64)))
 
 
-def _band(size: int) -> int:
-    """The band whose range of sizes holds ``size``."""
-    band = max(0, int(math.log(size) / math.log(BAND)) - 1)
-    while _largest(band) < size:
-        band += 1
-    return band
+def _cell(values: np.ndarray) -> np.ndarray:
+    return (mix(values) >> np.uint64(32)) % np.uint64(CELLS)
 
 
-def _largest(band: int) -> int:
-    return math.ceil(BAND ** (band + 1)) - 1
-
-
-@cache
-def _segments(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """(segments, least size of a strong one, weak segments from which a set enters with them too).
-
-    A linked pair of the band differs in at most ``differ`` shingles. Large bands take as few
-    segments as leave a linked pair without an equal strong one with probability ``MISS`` only;
-    in small bands the segments outnumber the differing shingles, and none can be missed.
-    """
-    most = _largest(band)
-    least = max(1, most / BAND)
-
-    def missed(count: int, strong: int) -> float:
-        worst = 0.0
-        for size in (least, most):
-            apart = 2 * size * (den - num) / (den + num)
-            load = (size - apart / 2) / count
-            weak = math.exp(-load) * sum(load ** j / math.factorial(j) for j in range(strong))
-            worst = max(worst, (1 - math.exp(-apart / count) * (1 - weak)) ** count)
-        return worst
-
-    differ = 2 * most * (den - num) // (den + num)
-    for strong in (5, 4, 3):
-        for count in range(max(2, differ // 4), differ + 1):
-            if missed(count, strong) <= MISS:
-                return count, strong, count + 1
-    spare = min(differ, 2)
-    return differ + 1 + spare, 1, spare + 1
-
-
-def _signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of every segment that may prove a link; one row speaks for its equals."""
-    rows, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    mixed = mix(sets.values ^ np.uint64(0xA5A5A5A5))
-    enters: dict[int, list[int]] = {}
-    once = np.unique(sets.key, return_index=True)[1]
-    for i in np.sort(once[sets.size[once] > 0]):
-        size = int(sets.size[i])
-        for band in range(_band(size), _band(max(size, size * den // num)) + 1):
-            enters.setdefault(band, []).append(i)
-    for band, members in enters.items():
-        members = np.array(members)
-        count, strong, enough = _segments(band, num, den)
-        size = sets.size[members]
-        at = np.repeat(sets.first[members] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        own = np.repeat(np.arange(len(members)), size)
-        segment = ((mixed[at] >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        cell = own * count + segment
-        held = np.bincount(cell, minlength=len(members) * count)
-        order = np.argsort(cell, kind="stable")
-        edge = np.concatenate([[0], np.cumsum(held)])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed[at][order], dtype=np.uint64)])
-        sign = total[edge[1:]] - total[edge[:-1]]
-        number = np.tile(np.arange(count), len(members))
-        sign = mix(sign ^ mix((number + band * 1_000_003).astype(np.uint64)) ^ mix(held.astype(np.uint64)))
-        weak = (held < strong).reshape(len(members), count)
-        # with too many weak segments the equal ones might all be weak: then they count too
-        use = ~weak | (weak.sum(1) >= enough)[:, None]
-        pick = np.flatnonzero(use.ravel())
-        rows.append(members[pick // count])
-        signs.append(sign[pick])
-    return np.concatenate(rows), np.concatenate(signs)
+def _prefixes(sets: Sets, num: int, den: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and place of the rarest shingles of every set; one row speaks for its equals."""
+    once = np.zeros(len(sets.size), bool)
+    once[np.unique(sets.key, return_index=True)[1]] = True
+    at = np.flatnonzero(once[sets.row])
+    values, row = sets.values[at], sets.row[at]
+    # values ascend within a row and the sort is stable, so the order is (level, value)
+    rank = (levels[_cell(values)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
+    order = np.lexsort((rank, row))
+    size = np.where(once, sets.size, 0)
+    place = np.arange(len(order)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    least = -(-size * num // den)  # shingles a linked set shares at least
+    keep = place <= (size - least)[row[order]]
+    return row[order][keep], values[order][keep], place[keep]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +97,54 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(k: int):
+    """The class of every row; after the last one of a task, its share of the count sketch."""
     def run(batches):
+        counts = np.zeros(CELLS, np.uint32)
+        names = ["doc_id", "row", "n_shingles", "key", "part", "counts"]
         for batch in _batches(batches):
             sets = Sets(batch.column("text"), k)
+            once = np.zeros(len(sets.size), bool)
+            once[np.unique(sets.key, return_index=True)[1]] = True
+            counts += np.bincount(_cell(sets.values[once[sets.row]]).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            none = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(sets.size.astype(np.int64)), signed(sets.key),
+                 *none], names)
+        if counts.any():
+            nulls = [pa.nulls(PARTS, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(sets.size.astype(np.int64)), signed(sets.key)],
-                ["doc_id", "row", "n_shingles", "key"])
+                [*nulls, pa.array(range(PARTS), pa.int32()),
+                 pa.array([part.tobytes() for part in np.split(counts, PARTS)], pa.binary())], names)
     return run
 
 
-def _nodes(k: int, num: int, den: int):
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of the tasks, added up by part as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+            own = np.frombuffer(counts, np.uint32).astype(np.int64)
+            total[part] = total[part] + own if part in total else own
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
+
+
+def _levels(sketch: DataFrame) -> np.ndarray:
+    """Logarithmic level of every cell (``CELLS`` bytes), for all tasks."""
+    counts = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    for row in sketch.repartition(PARTS, "part").mapInArrow(_added, "part int, counts binary").collect():
+        counts[row.part] += np.frombuffer(row.counts, np.int64)
+    return np.floor(4 * np.log2(counts.ravel() + 1)).astype(np.uint8)
+
+
+def _nodes(k: int, num: int, den: int, levels: np.ndarray):
     def run(batches):
         for batch in _batches(batches):
             sets = Sets(batch.column("text"), k)
-            row, sign = _signatures(sets, num, den)
-            yield pa.RecordBatch.from_arrays([signed(sign), signed(sets.key[row])], ["node", "key"])
+            row, shingle, place = _prefixes(sets, num, den, levels)
+            yield pa.RecordBatch.from_arrays(
+                [signed(shingle), signed(sets.key[row]), pa.array(sets.size[row].astype(np.int32)),
+                 pa.array((sets.size[row] - place).astype(np.int32))], ["node", "key", "size", "rest"])
     return run
 
 
@@ -181,10 +156,13 @@ def _whole_sets(k: int):
             spot = sets.values % np.uint64(64 * LANES)
             np.bitwise_or.at(bits, (sets.row, (spot >> np.uint64(6)).astype(np.int64)),
                              np.uint64(1) << (spot & np.uint64(63)))
+            odd = np.zeros_like(bits)
+            np.bitwise_xor.at(odd, (sets.row, (spot >> np.uint64(6)).astype(np.int64)),
+                              np.uint64(1) << (spot & np.uint64(63)))
             yield pa.RecordBatch.from_arrays(
                 [signed(sets.key), pa.array(sets.size.astype(np.int64)), lists(signed(sets.values), sets.size),
-                 *[signed(np.ascontiguousarray(bits[:, j])) for j in range(LANES)]],
-                ["key", "size", "shingles", *[f"b{j}" for j in range(LANES)]])
+                 *[signed(np.ascontiguousarray(maps[:, j])) for maps in (bits, odd) for j in range(LANES)]],
+                ["key", "size", "shingles", *_BITS, *_ODD])
     return run
 
 
@@ -203,22 +181,40 @@ def _verify(num: int, den: int):
     return run
 
 
-_BITS = [f"b{j}" for j in range(LANES)]
-
-
 def _ones(left: str, right: str):
     return sum((F.bit_count(F.col(f"{left}.{b}").bitwiseAND(F.col(f"{right}.{b}"))) for b in _BITS[1:]),
                F.bit_count(F.col(f"{left}.{_BITS[0]}").bitwiseAND(F.col(f"{right}.{_BITS[0]}"))))
 
 
-def _may_link(left: str, right: str, num: int, den: int):
-    """Neither the size ranges nor the largest possible overlap exclude a link."""
+def _may_link(left: str, right: str, num: int, den: int, *bounds):
+    """Neither the size ranges nor the largest possible overlap exclude a link; ``bounds`` limit it too."""
     a, b = F.col, F.col
     sizes = (den * a(f"{left}.high") >= num * b(f"{right}.low")) & (den * b(f"{right}.high") >= num * a(f"{left}.low"))
     most = _ones(left, right) + F.least(a(f"{left}.slack"), b(f"{right}.slack"))
+    most = F.least(most, *bounds) if bounds else most
     return sizes & ((den + num) * most >= num * (a(f"{left}.low") + b(f"{right}.low")))
 
 
+def _from_here(left: str, right: str):
+    """Shingles from the tree's one on: at the first common shingle no more can be common."""
+    return F.least(F.col(f"{left}.rest"), F.col(f"{right}.rest"))
+
+
+def _few_differ(left: str, right: str, num: int, den: int):
+    """Bits that differ in the parities of two sets stand for as many shingles of one set only."""
+    differ = sum((F.bit_count(F.col(f"{left}.{x}").bitwiseXOR(F.col(f"{right}.{x}"))) for x in _ODD[1:]),
+                 F.bit_count(F.col(f"{left}.{_ODD[0]}").bitwiseXOR(F.col(f"{right}.{_ODD[0]}"))))
+    return (den + num) * differ <= (den - num) * (F.col(f"{left}.low") + F.col(f"{right}.low"))
+
+
+def _sizes(a, b, num: int, den: int):
+    return (den * a >= num * b) & (den * b >= num * a)
+
+
+def _enough(common, a, b, num: int, den: int):
+    return (den + num) * common >= num * (a + b)
+
+
 def _apart(left: str, right: str):
     """The two sides are not wholly inside one component."""
     return ~((F.col(f"{left}.least") == F.col(f"{left}.most")) & (F.col(f"{left}.least") == F.col(f"{right}.least"))
@@ -227,7 +223,7 @@ def _apart(left: str, right: str):
 
 def _head() -> list:
     """What an inner entry keeps of its members: OR of the bitmaps, sizes, components."""
-    return [F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"),
+    return [F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.max("rest").alias("rest"),
             F.min("least").alias("least"), F.max("most").alias("most"), *[F.bit_or(b).alias(b) for b in _BITS]]
 
 
@@ -242,16 +238,7 @@ def _pruned(pairs: DataFrame, leaf: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that sizes and bitmaps of both sets allow to link."""
     return (pairs.join(leaf.select(F.col("key").alias("u"), F.col("s").alias("left")), "u")
             .join(leaf.select(F.col("key").alias("v"), F.col("s").alias("right")), "v")
-            .filter(_may_link("left", "right", num, den)).select("u", "v"))
-
-
-def _open(member: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with the node's size ``n`` and least set."""
-    kinds = member.groupBy("node").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
-        F.min("size").alias("least_size"))
-    return member.join(kinds.filter("low < high").select("node", "n", "least_size"), "node").select(
-        "node", "key", "component", "size", "n", "least_size")
+            .filter(_may_link("left", "right", num, den) & _few_differ("left", "right", num, den)).select("u", "v"))
 
 
 def _row():
@@ -264,57 +251,69 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     connect what the join connects: den * |intersection| >= num * |union|."""
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row"))
-    members = settle(source.mapInArrow(_classes(k), "doc_id long, row long, n_shingles long, key long"), "classes")
-    nodes = source.select("text").mapInArrow(_nodes(k, num, den), "node long, key long")
+    classes = settle(source.mapInArrow(
+        _classes(k), "doc_id long, row long, n_shingles long, key long, part int, counts binary"), "classes")
+    members = classes.filter("part IS NULL").drop("part", "counts")
+    levels = _levels(classes.filter("part IS NOT NULL").select("part", "counts"))
+    # one exchange serves the count of a tree's sets and the sets themselves
+    nodes = source.select("text").mapInArrow(
+        _nodes(k, num, den, levels), "node long, key long, size int, rest int").repartition("node")
     full = nodes.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    held = settle(nodes.join(full.select("node", F.col("low").alias("head")), "node").distinct(), "nodes")
+    held = settle(nodes.join(full.select("node"), "node").distinct(), "nodes")
     wanted = held.select("key").distinct()
     first = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     packed = source.select("row", "text").mapInArrow(packed_texts, "row long, packed binary, size long")
     sets = (packed.join(first.select("row").distinct(), "row", "left_semi").select("packed", "size")
             .mapInArrow(_whole_sets(k), "key long, size long, shingles array<long>, "
-                        + ", ".join(f"{b} long" for b in _BITS))
+                        + ", ".join(f"{b} long" for b in _BITS + _ODD))
             .dropDuplicates(["key"]).join(wanted, "key", "left_semi"))
     sets = settle(sets, "sets")
-    # members against the first of their node
     ones = sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count(_BITS[0]))
     leaf = sets.select("key", F.struct(
-        F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") - ones).alias("slack"), *_BITS).alias("s"))
-    # the first member that most of a set's nodes have: one pair per set
-    star = held.groupBy(F.col("key").alias("v"), F.col("head").alias("u")).agg(F.count("*").alias("n")).groupBy("v").agg(
-        F.max_by("u", F.struct("n", "u")).alias("u")).filter("u <> v")
+        F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") - ones).alias("slack"), *_BITS, *_ODD).alias("s"))
+    # every set against the most central member of its trees: the one that most of them have, so one pair per set
+    heads = held.groupBy("node").agg(F.min(F.struct(
+        (F.col("size") - F.col("rest")).alias("place"), "key", "size", "rest")).alias("head"))
+    near = held.join(heads, "node").filter(F.col("key") != F.col("head.key")).filter(
+        _sizes(F.col("size"), F.col("head.size"), num, den)
+        & _enough(F.least("rest", "head.rest"), F.col("size"), F.col("head.size"), num, den))
+    star = near.groupBy(F.col("key").alias("v"), F.col("head.key").alias("u")).agg(F.count("*").alias("n")).groupBy("v").agg(
+        F.max_by("u", F.struct("n", "u")).alias("u"))
+    star = settle(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "star")
     links = settle(_checked(_pruned(star, leaf, num, den), sets, num, den), "links")
-    groups = components(links)
-    # nodes that still hold different components, the full ones split by a further equal segment
-    named = held.select("node", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "node", F.coalesce("component", "key").alias("component"))
-    named = settle(named.join(sets.select("key", "size"), "key"), "named")
-    level = _open(named)
-    full = (F.col("n") > LEAF) & (F.col("size") >= SPLIT_SIZE)
-    # a set below SPLIT_SIZE is in no deeper node: those that may link with it stay beside it
-    beside = (F.col("least_size") < SPLIT_SIZE) & (num * F.col("size") <= den * (SPLIT_SIZE - 1))
-    # of the nodes that two sets share, the first one full meets a later one
-    deeper = level.filter(full).join(named.select("key", F.col("node").alias("other")), "key").filter("other > node")
-    deeper = deeper.select(F.xxhash64("node", "other").alias("node"), "key", "component", "size").distinct()
-    done, level = level.filter(~full | beside), _open(deeper)
-    member = done.unionByName(level).select(
-        "node", "key", F.col("component").alias("least"), F.col("component").alias("most"), "size", "n")
-    # a leaf takes sets of like size; the number of leaves follows from the node's
-    member = settle(member.withColumn("leaf", F.concat_ws("/", F.floor(F.log2("size") * 8), F.pmod(
-        F.xxhash64("key"), F.ceil(F.col("n") / LEAF)))), "members")
-    leaves = member.join(leaf, "key").select("node", "leaf", "least", "most", "s.*").groupBy("node", "leaf").agg(*_head())
-    entry = F.struct(*[c for c in leaves.columns if c != "node"])
-    near = leaves.select("node", entry.alias("left")).join(leaves.select("node", entry.alias("right")), "node").filter(
-        (F.col("left.leaf") <= F.col("right.leaf")) & _may_link("left", "right", num, den) & _apart("left", "right")
-    ).select("node", F.col("left.leaf").alias("leaf"), F.col("right.leaf").alias("other"))
-    first = member.select("node", "leaf", F.col("key").alias("a"), F.col("least").alias("of_a"), F.col("size").alias("size_a"))
-    second = member.select("node", F.col("leaf").alias("other"), F.col("key").alias("b"), F.col("least").alias("of_b"),
-                           F.col("size").alias("size_b"))
-    rest = near.join(first, ["node", "leaf"]).join(second, ["node", "other"]).filter(
-        (F.col("a") != F.col("b")) & (F.col("of_a") != F.col("of_b"))
-        & (den * F.col("size_a") >= num * F.col("size_b")) & (den * F.col("size_b") >= num * F.col("size_a")))
-    rest = _pruned(rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), leaf, num, den)
-    more = _checked(rest, sets, num, den)
+    groups = components(links).withColumnRenamed("node", "key")
+    # trees that still hold different components, from their inner nodes down
+    named = settle(held.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key")), "named")
+    kinds = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    place = F.floor((F.col("size") - F.col("rest")) * 40 / F.col("size"))
+    member = settle(named.join(kinds.filter("low < high").select("node"), "node").withColumn(
+        "inner", (F.floor(F.log2("size") * 8) * 64 + place).cast("int")), "members")
+    leaves = settle(member.join(leaf, "key").select(
+        "node", "inner", "rest", F.col("component").alias("least"), F.col("component").alias("most"), "s.*").groupBy(
+        "node", "inner", F.col("least").alias("component")).agg(*_head()), "leaves")
+    inner = leaves.groupBy("node", "inner").agg(*_head())
+    entry = F.struct(*[c for c in inner.columns if c not in ("node", "inner")])
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(_may_link("left", "right", num, den, _from_here("left", "right")) & _apart("left", "right"))
+
+    pairs = meet(inner.select("node", "inner", entry.alias("left")).join(
+        inner.select("node", F.col("inner").alias("other"), entry.alias("right")), "node").filter(
+        "inner <= other")).select("node", "inner", "other")
+    pairs = meet(pairs.join(leaves.select("node", "inner", F.col("component").alias("of_a"), entry.alias("left")), ["node", "inner"])
+                 .join(leaves.select("node", F.col("inner").alias("other"), F.col("component").alias("of_b"),
+                                     entry.alias("right")), ["node", "other"])
+                 .filter("of_a <> of_b AND (inner < other OR of_a < of_b)")).select("node", "inner", "of_a", "other", "of_b")
+    a = member.select("node", "inner", F.col("component").alias("of_a"), F.col("key").alias("a"),
+                      F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
+    b = member.select("node", F.col("inner").alias("other"), F.col("component").alias("of_b"), F.col("key").alias("b"),
+                      F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    rest = pairs.join(a, ["node", "inner", "of_a"]).join(b, ["node", "other", "of_b"]).filter(
+        _sizes(F.col("size_a"), F.col("size_b"), num, den)
+        & _enough(F.least("rest_a", "rest_b"), F.col("size_a"), F.col("size_b"), num, den))
+    rest = rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(
+        star, ["u", "v"], "left_anti")
+    more = _checked(_pruned(rest, leaf, num, den), sets, num, den)
     return members, settle(links.union(more), "links")
 
 
@@ -342,8 +341,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Rows that share an id are one document, without an id those that share the text; of a group
     without any id the text with the least hash stays. Documents without a shingle all stay.
     """
+    an_id, a_row = free_names(docs, "id", "row")
     gone = _judged(docs, k, num, den).filter("n_shingles > 0").filter(
         "doc_id <> component_id OR (doc_id IS NULL AND (component_id IS NOT NULL OR row <> least_row))").select(
-        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("row")).alias("_row")).distinct()
+        F.col("doc_id").alias(an_id), F.when(F.col("doc_id").isNull(), F.col("row")).alias(a_row)).distinct()
     own = F.when(F.col("doc_id").isNull(), _row())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & own.eqNullSafe(F.col("_row")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(an_id)) & own.eqNullSafe(F.col(a_row)), "left_anti")

@@ -91,6 +91,17 @@ class Words:
         return whole, mix(total[whole] + np.uint64(k))
 
 
+def free_names(docs, *wanted: str) -> list[str]:
+    """Helper names that no column of ``docs`` has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit hashes as the bigint of the same bits."""
     return pa.array(x.view(np.int64))
