@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.llm.components import components
 from cargoframe.llm.words import Words, free_names, lists, mix, packed_texts, signed, unpacked
-from cargoframe.sources.scratch import settle, ship
+from cargoframe.sources.scratch import place, remove, settle, ship
 
 ROWS = 1000
 LANES = 8  # 64-bit words of a token bitmap
@@ -188,11 +188,15 @@ def _ones(left: str, right: str):
 
 def _may_link(left: str, right: str, num: int, den: int, *bounds):
     """Neither the size ranges nor the largest possible overlap exclude a link; ``bounds`` limit it too."""
-    a, b = F.col, F.col
-    sizes = (den * a(f"{left}.high") >= num * b(f"{right}.low")) & (den * b(f"{right}.high") >= num * a(f"{left}.low"))
-    most = _ones(left, right) + F.least(a(f"{left}.slack"), b(f"{right}.slack"))
+    most = _ones(left, right) + F.least(F.col(f"{left}.slack"), F.col(f"{right}.slack"))
     most = F.least(most, *bounds) if bounds else most
-    return sizes & ((den + num) * most >= num * (a(f"{left}.low") + b(f"{right}.low")))
+    return _ranges(left, right, num, den) & _enough(most, F.col(f"{left}.low"), F.col(f"{right}.low"), num, den)
+
+
+def _ranges(left: str, right: str, num: int, den: int):
+    """Some sizes of both ranges allow a link."""
+    return (den * F.col(f"{left}.high") >= num * F.col(f"{right}.low")) & (
+        den * F.col(f"{right}.high") >= num * F.col(f"{left}.low"))
 
 
 def _from_here(left: str, right: str):
@@ -255,19 +259,33 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         _classes(k), "doc_id long, row long, n_shingles long, key long, part int, counts binary"), "classes")
     members = classes.filter("part IS NULL").drop("part", "counts")
     levels = _levels(classes.filter("part IS NOT NULL").select("part", "counts"))
-    # one exchange serves the count of a tree's sets and the sets themselves
-    nodes = source.select("text").mapInArrow(
-        _nodes(k, num, den, levels), "node long, key long, size int, rest int").repartition("node")
-    full = nodes.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    held = settle(nodes.join(full.select("node"), "node").distinct(), "nodes")
-    wanted = held.select("key").distinct()
-    first = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    spark = docs.sparkSession
+    path = place(spark, "prefixes")
+    source.select("text").mapInArrow(
+        _nodes(k, num, den, levels), "node long, key long, size int, rest int").write.parquet(path)
+    # one exchange serves the roots and their members; a root needs two sets, one of which (the
+    # smaller of a linked pair) has the shingle among its first ones
+    nodes = spark.read.schema("node long, key long, size int, rest int").parquet(path).repartition("node")
+    roots = nodes.groupBy("node").agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), F.max((den + num) * F.col("rest") >= 2 * num * F.col("size")).alias("early"))
+    place_of = F.floor((F.col("size") - F.col("rest")) * 40 / F.col("size"))
+    held = settle(nodes.join(roots.filter("low < high AND early").select("node"), "node").distinct().withColumn(
+        "inner", (F.floor(F.log2("size") * 8) * 64 + place_of).cast("int")), "nodes")
+    remove(spark, path)
+    # inner nodes that sizes and places allow to link with one of their tree
+    spans = held.groupBy("node", "inner").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"), F.count("*").alias("n"))
+    span = F.struct("low", "high", "rest")
+    alive = spans.select("node", "inner", "n", span.alias("left")).join(
+        spans.select("node", F.col("inner").alias("other"), span.alias("right")), "node").filter(
+        ((F.col("inner") != F.col("other")) | (F.col("n") > 1)) & _ranges("left", "right", num, den)
+        & _enough(_from_here("left", "right"), F.col("left.low"), F.col("right.low"), num, den)).select("node", "inner").distinct()
+    held = settle(held.join(alive, ["node", "inner"]), "alive")
+    first = members.join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     packed = source.select("row", "text").mapInArrow(packed_texts, "row long, packed binary, size long")
-    sets = (packed.join(first.select("row").distinct(), "row", "left_semi").select("packed", "size")
-            .mapInArrow(_whole_sets(k), "key long, size long, shingles array<long>, "
-                        + ", ".join(f"{b} long" for b in _BITS + _ODD))
-            .dropDuplicates(["key"]).join(wanted, "key", "left_semi"))
-    sets = settle(sets, "sets")
+    sets = settle(packed.join(first.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("packed", "size")
+                  .mapInArrow(_whole_sets(k), "key long, size long, shingles array<long>, "
+                              + ", ".join(f"{b} long" for b in _BITS + _ODD)), "sets")
     ones = sum((F.bit_count(b) for b in _BITS[1:]), F.bit_count(_BITS[0]))
     leaf = sets.select("key", F.struct(
         F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") - ones).alias("slack"), *_BITS, *_ODD).alias("s"))
@@ -285,9 +303,7 @@ def link_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     # trees that still hold different components, from their inner nodes down
     named = settle(held.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key")), "named")
     kinds = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    place = F.floor((F.col("size") - F.col("rest")) * 40 / F.col("size"))
-    member = settle(named.join(kinds.filter("low < high").select("node"), "node").withColumn(
-        "inner", (F.floor(F.log2("size") * 8) * 64 + place).cast("int")), "members")
+    member = settle(named.join(kinds.filter("low < high").select("node"), "node"), "members")
     leaves = settle(member.join(leaf, "key").select(
         "node", "inner", "rest", F.col("component").alias("least"), F.col("component").alias("most"), "s.*").groupBy(
         "node", "inner", F.col("least").alias("component")).agg(*_head()), "leaves")
