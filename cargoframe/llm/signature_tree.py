@@ -39,7 +39,8 @@ LANES = 8  # 64-bit words of a token bitmap
 CELLS = 1 << 18  # of the count sketch that orders shingles by rarity
 PARTS = 16  # rows that a sketch travels in
 _BITS = [f"b{j}" for j in range(LANES)]  # OR of the shingles' bits
-_ODD = [f"x{j}" for j in range(LANES)]  # their XOR
+_ODD = [f"x{j}" for j in range(32)]  # XOR of the bits in a wider map
+SPOTS = 1 << 20  # residues of keys, the most that a broadcast filter holds
 
 
 class Sets:
@@ -156,12 +157,13 @@ def _whole_sets(k: int):
             spot = sets.values % np.uint64(64 * LANES)
             np.bitwise_or.at(bits, (sets.row, (spot >> np.uint64(6)).astype(np.int64)),
                              np.uint64(1) << (spot & np.uint64(63)))
-            odd = np.zeros_like(bits)
+            odd = np.zeros((batch.num_rows, len(_ODD)), np.uint64)
+            spot = sets.values % np.uint64(64 * len(_ODD))
             np.bitwise_xor.at(odd, (sets.row, (spot >> np.uint64(6)).astype(np.int64)),
                               np.uint64(1) << (spot & np.uint64(63)))
             yield pa.RecordBatch.from_arrays(
                 [signed(sets.key), pa.array(sets.size.astype(np.int64)), lists(signed(sets.values), sets.size),
-                 *[signed(np.ascontiguousarray(maps[:, j])) for maps in (bits, odd) for j in range(LANES)]],
+                 *[signed(np.ascontiguousarray(maps[:, j])) for maps in (bits, odd) for j in range(maps.shape[1])]],
                 ["key", "size", "shingles", *_BITS, *_ODD])
     return run
 
@@ -232,9 +234,18 @@ def _head() -> list:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of classes that do link, by their whole sets."""
-    left = sets.select(F.col("key").alias("u"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("key").alias("v"), F.col("shingles").alias("right_set"))
+    """Pairs (u, v) of classes that do link, by their whole sets.
+
+    Only sets whose key may be in a pair, by at most ``SPOTS`` residues, enter the joins.
+    """
+    pairs = settle(pairs, "pairs")
+
+    def whole(name: str, values: str) -> DataFrame:
+        spots = pairs.select(F.pmod(name, F.lit(SPOTS)).alias("spot")).distinct()
+        return sets.withColumn("spot", F.pmod("key", F.lit(SPOTS))).join(F.broadcast(spots), "spot", "left_semi").select(
+            F.col("key").alias(name), F.col("shingles").alias(values))
+
+    left, right = whole("u", "left_set"), whole("v", "right_set")
     return pairs.join(left, "u").join(right, "v").mapInArrow(_verify(num, den), "u long, v long")
 
 
