@@ -13,7 +13,10 @@ from cargoframe.functions.statuses import mapped, sale_amounts, step_index
 from cargoframe.functions.text import (
     actor_email, blank_to_null, phone_key, shipping_address, shipping_mark,
 )
-from cargoframe.operators.skew import HOT_ROWS, durable, join_unique, running_before
+from cargoframe.operators.skew import (
+    HOT_ROWS, cut_groups, durable, for_pieces, join_unique, piece_keys, running_before, running_in_pieces,
+    with_pieces,
+)
 from cargoframe.operators.windows import assign_refs
 from cargoframe.schema import (
     CLEARS_MISSING, ITEM_STATUSES, ITEM_STATUS_FOR_CONTAINER, MONEY, READY, SHIPPED, UNPAID,
@@ -28,6 +31,8 @@ class Change(NamedTuple):
     history: DataFrame
 
 
+#: Columns of an item that its changes show; those that a table lacks are NULL.
+ITEM_DETAILS = ("item_ref", "customer_id", "order_id", "tracking_number", "description")
 #: The order in which requests for one record take effect.
 IN_TURN = [("requested_at", "asc"), ("request_id", "asc")]
 
@@ -63,45 +68,61 @@ def judge_item_status(items: DataFrame, requests: DataFrame) -> DataFrame:
     below the one it meets, to shipped only with a container. So the status before a request is
     the greatest step since the last valid admin request, or since the stored status.
     """
+    stored, step = step_index(F.col("status")), step_index(F.col("new_status"))
+    # known statuses travel as steps
     side = items.select(
-        F.col("id").alias("item_id"), F.lit(True).alias("_known"), F.col("status").alias("_stored"),
-        F.col("container_id").isNull().alias("_loose"), "item_ref", "customer_id", "order_id",
-        "tracking_number", "description",
+        F.col("id").alias("item_id"), F.lit(True).alias("_known"), stored.alias("_stored"),
+        F.when(stored < 0, F.col("status")).alias("_stored_name"), F.col("container_id").isNull().alias("_loose"),
+        *[F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ITEM_DETAILS],
     )
     asked = requests.select(
-        "request_id", "item_id", "new_status", "role", "actor", "requested_at",
-        F.col("notes").alias("request_notes"),
-    ).join(side, "item_id", "left")
-    no_container = (F.col("new_status") == SHIPPED) & F.col("_loose")
-    step = step_index(F.col("new_status"))
+        "request_id", "item_id", step.alias("_step"), F.when(step < 0, F.col("new_status")).alias("_name"),
+        F.coalesce(F.col("role") == "warehouse_staff", F.lit(False)).alias("_staff"), "role", "actor",
+        "requested_at", F.col("notes").alias("request_notes"),
+    )
+    # requests and items are dealt out by the same pieces, over which the windows run as well
+    cuts = cut_groups(requests, ["item_id"], IN_TURN)
+    asked = with_pieces(asked, ["item_id"], IN_TURN, cuts).join(
+        for_pieces(side, ["item_id"], cuts), piece_keys(["item_id"], cuts), "left")
+    step, staff = F.col("_step"), F.col("_staff")
+    no_container = (step == ITEM_STATUSES.index(SHIPPED)) & F.col("_loose")
     valid = F.col("_known") & (step >= 0) & ~F.coalesce(no_container, F.lit(False))
-    staff = F.coalesce(F.col("role") == "warehouse_staff", F.lit(False))
-    met = running_before(
+    met = running_in_pieces(
         asked, ["item_id"], IN_TURN, F.when(valid, step), valid & ~staff,
-        step_index(F.col("_stored")), "_met", requests,
+        F.coalesce("_stored", F.lit(-1)), "_met", cuts,
     )
     backward = staff & (step < F.col("_met"))
     names = F.array(*[F.lit(s) for s in ITEM_STATUSES])
-    previous = F.when(F.col("_met") >= 0, F.get(names, F.col("_met"))).otherwise(F.col("_stored"))
+    previous = F.when(F.col("_met") >= 0, F.get(names, F.col("_met"))).otherwise(F.col("_stored_name"))
     reason = F.when(F.col("_known").isNull(), "unknown item").when(step < 0, "unknown status").when(
         backward, "status can only move forward"
     ).when(no_container, "no container")
-    return met.withColumns({"previous_status": previous, "reason": reason}).drop(
-        "_known", "_stored", "_loose", "_met")
+    return met.select(
+        "item_id", "request_id", F.when(step >= 0, F.get(names, step)).otherwise(F.col("_name")).alias("new_status"),
+        "role", "actor", "requested_at", "request_notes", *ITEM_DETAILS, previous.alias("previous_status"),
+        reason.alias("reason"))
 
 
-def apply_judged_status(items: DataFrame, judged: DataFrame) -> Change:
-    accepted = judged.filter("reason IS NULL").withColumn("id", F.col("item_id"))
+def _accepted(judged: DataFrame) -> DataFrame:
+    return judged.filter("reason IS NULL").withColumn("id", F.col("item_id"))
+
+
+def moved_items(items: DataFrame, judged: DataFrame, how: str = "inner") -> DataFrame:
+    """The items that accepted requests name, with the status they end in (``left``: all items)."""
     last = F.max(F.struct("requested_at", "request_id", "new_status")).alias("_last")
-    ends = accepted.groupBy("id").agg(
+    ends = _accepted(judged).groupBy("id").agg(
         last, F.bool_or(F.col("new_status").isin(*CLEARS_MISSING)).alias("_cleared"))
-    table = items.join(ends, "id", "left").withColumns(
+    return items.join(ends, "id", how).withColumns(
         {
             "status": F.coalesce("_last.new_status", "status"),
             "is_missing": F.when(F.col("_cleared"), False).otherwise(F.col("is_missing")),
         }
     ).select(items.columns)
-    accepted = accepted.select(
+
+
+def apply_judged_status(items: DataFrame, judged: DataFrame) -> Change:
+    table = moved_items(items, judged, "left")
+    accepted = _accepted(judged).select(
         "request_id", "id", "item_ref", "customer_id", "order_id", "tracking_number",
         "description", "previous_status", "new_status", "role", "actor", "requested_at",
         "request_notes",

@@ -8,6 +8,7 @@ When no key is hot, adaptive execution drops the hot branch after the count.
 """
 
 import tempfile
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
@@ -196,33 +197,106 @@ def number_in_groups(df: DataFrame, keys: list[str], order: Order, out: str = "r
         *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_at")).cast("bigint").alias(out))
 
 
+class Cuts(NamedTuple):
+    """Groups of more than one piece: their keys and a frame of them with ``_at``, where they are cut."""
+    keys: list[tuple]
+    frame: DataFrame
+
+
+def cut_groups(df: DataFrame, keys: list[str], order: Order) -> Cuts | None:
+    """Groups that hold two boundaries or more, None if there are none; they are cut at these.
+
+    A group without holds about two ranges of the rows at most and stays whole.
+    """
+    held: dict[tuple, list] = {}
+    for bound in boundaries(df, [*[(k, "asc") for k in keys], *order]):
+        held.setdefault(tuple(bound[k] for k in keys), []).append(tuple(bound[c] for c, _ in order))
+    held = {k: at for k, at in held.items() if len(at) > 1}
+    if not held:
+        return None
+    place = T.StructType([T.StructField(c, df.schema[c].dataType) for c, _ in order])
+    schema = T.StructType([*[T.StructField(f"_{k}", df.schema[k].dataType) for k in keys],
+                           T.StructField("_at", T.ArrayType(place))])
+    return Cuts(list(held), df.sparkSession.createDataFrame([(*k, at) for k, at in held.items()], schema))
+
+
+def piece_keys(keys: list[str], cuts: Cuts | None) -> list[str]:
+    return keys if cuts is None else [*keys, "_range"]
+
+
+def with_pieces(df: DataFrame, keys: list[str], order: Order, cuts: Cuts | None) -> DataFrame:
+    """Deals the pieces of groups out. If groups are cut, ``_range`` is added, the number of the piece
+    a row lies in: one look-up a row, and only rows of cut groups are compared with boundaries."""
+    if cuts is None:
+        return df.repartition(*keys)
+
+    def reached(place: Column) -> Column:
+        found = F.lit(True)
+        for name, way in reversed(order):
+            x, y = F.col(name), place[name]
+            behind = x < y if way == "desc" else x > y
+            found = F.when(y.isNull(), x.isNull() & found).otherwise(
+                F.coalesce(behind | ((x == y) & found), F.lit(True)))  # a NULL comes last
+        return found
+
+    side = F.broadcast(cuts.frame)
+    number = F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", reached)))
+    # rows may come partitioned by the key alone, which would hold a group together
+    return df.join(side, _same(df, side, keys), "left").withColumn("_range", number).drop(
+        "_at", *[f"_{k}" for k in keys]).repartition(*piece_keys(keys, cuts))
+
+
+def for_pieces(side: DataFrame, keys: list[str], cuts: Cuts | None) -> DataFrame:
+    """What is joined to pieces (by ``piece_keys``): rows of a cut group once for each piece."""
+    if cuts is None:
+        return side
+    cut = F.broadcast(cuts.frame)
+    pieces = F.sequence(F.lit(0), F.coalesce(F.size("_at"), F.lit(0)))  # at most one per boundary
+    return side.join(cut, _same(side, cut, keys), "left").withColumn("_range", F.explode(pieces)).drop(
+        "_at", *[f"_{k}" for k in keys])
+
+
+def _of_groups(df: DataFrame, keys: list[str], cuts: Cuts) -> DataFrame:
+    """Rows of the cut groups."""
+    if len(keys) == 1:  # a filter, which reaches the scans below
+        names = [v for (v,) in cuts.keys if v is not None]
+        held = F.col(keys[0]).isin(names)
+        return df.filter(held | F.col(keys[0]).isNull() if len(names) < len(cuts.keys) else held)
+    held = F.broadcast(cuts.frame)
+    return df.join(held, _same(df, held, keys), "left_semi")
+
+
 def running_before(
     df: DataFrame, keys: list[str], order: Order, value: Column, opens: Column, initial: Column, out: str,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the greatest ``value`` among the rows before this one in its group, counted from the
     last of them that ``opens`` a segment (itself included), or from ``initial`` before the first.
 
-    NULL values do not count. A group of any size is cut at the range boundaries: windows run
-    over pieces, and each piece takes over the state with which the ones before it end. The
-    boundaries are sampled from ``source``, a cheaper frame with the same rows, if there is one.
+    NULL values do not count. A group that holds more than a range is cut at the boundaries:
+    windows run over pieces, and each takes over the state with which the ones before it end.
     """
-    full = [*[(k, "asc") for k in keys], *order]
-    bounds = boundaries(df if source is None else source, full)
-    ranged = with_range(df, full, bounds).withColumns(
+    cuts = cut_groups(df, keys, order)
+    return running_in_pieces(with_pieces(df, keys, order, cuts), keys, order, value, opens, initial, out, cuts)
+
+
+def running_in_pieces(
+    dealt: DataFrame, keys: list[str], order: Order, value: Column, opens: Column, initial: Column, out: str,
+    cuts: Cuts | None,
+) -> DataFrame:
+    """``running_before`` of a frame that ``with_pieces`` has dealt out; ``_range`` leaves it."""
+    columns = [c for c in dealt.columns if c != "_range"]
+    marked = dealt.withColumns(
         {"_value": value, "_opens": F.coalesce(opens, F.lit(False)).cast("int"), "_initial": initial})
-    # rows may come partitioned by the key alone, which would hold a group together
-    dealt = ranged.repartition("_range", *keys)
-    along = Window.partitionBy("_range", *keys).orderBy(*order_by(order))
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = Window.partitionBy("_range", *keys, "_segment").orderBy(*order_by(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    pieces = dealt.withColumn("_segment", F.sum("_opens").over(so_far)).withColumn(
-        "_run", F.max("_value").over(within)).withColumns(
-        {"_before": F.lag("_run").over(along), "_past": F.coalesce(F.lag("_segment").over(along), F.lit(0))})
-
-    ends = _cut_groups(ranged, bounds, keys).repartition("_range", *keys)
-    ends = ends.withColumn("_segment", F.sum("_opens").over(so_far)).groupBy("_range", *keys).agg(
+    earlier = Window.partitionBy(*piece_keys(keys, cuts)).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, -1)
+    # segments are numbered in order, so the greatest (segment, value) is that of the last one
+    past = F.coalesce(F.sum("_opens").over(earlier), F.lit(0))
+    pieces = marked.withColumn("_past", past).withColumn("_segment", F.col("_past") + F.col("_opens")).withColumn(
+        "_before", F.max(F.struct("_segment", "_value")).over(earlier)["_value"])
+    if cuts is None:
+        first = F.greatest("_initial", "_before")
+        return pieces.select(*columns, F.when(F.col("_past") == 0, first).otherwise(F.col("_before")).alias(out))
+
+    ends = _of_groups(pieces, keys, cuts).groupBy("_range", *keys).agg(
         F.max("_segment").alias("_opened"), F.max(F.struct("_segment", "_value")).alias("_end"))
     # the end state of a piece is the greatest value of its last segment
     order_of_pieces = Window.partitionBy(*keys).orderBy("_range")
@@ -237,4 +311,4 @@ def running_before(
     none_here = F.col("_past") == 0
     carried = F.when(F.coalesce("_carry_era", F.lit(0)) == 0, F.greatest("_carry", "_initial")).otherwise(F.col("_carry"))
     state = F.when(none_here, F.greatest(F.coalesce(carried, F.col("_initial")), F.col("_before"))).otherwise(F.col("_before"))
-    return joined.select(*df.columns, state.alias(out))
+    return joined.select(*columns, state.alias(out))

@@ -12,7 +12,6 @@ from cargoframe.plans.registry import STRAY_SQL, stray_orders
 from cargoframe.plans.registry import FX, plain, query
 from cargoframe.plans.views import e164_sql, mark_sql, step_sql
 from cargoframe.sources import fixtures as X
-from cargoframe.sources.scratch import settle
 from cargoframe.streaming import feeds
 
 # I. lifecycle ---------------------------------------------------------------------------
@@ -36,9 +35,10 @@ ends AS (SELECT item_id, max(rn) AS rn FROM walk GROUP BY 1)"""
 
 
 def _status_change(spark, d):
-    # written once, as requests are a table in practice: the job reads them three times
-    requests = settle(X.status_requests(spark, d), "requests")
-    return lifecycle.apply_item_status(X.items(spark, d), requests)
+    items = X.stored_items(
+        spark, d, "id", "item_ref", "customer_id", "order_id", "container_id", "status", "is_missing",
+        "tracking_number", "quantity", "date_received")
+    return lifecycle.apply_item_status(items, X.status_requests(spark, d, items))
 
 
 _STATUS_TABLE = f"""{_STATUS}

@@ -6,6 +6,7 @@ from cargoframe import schema as S
 from cargoframe.functions.statuses import step_index
 from cargoframe.functions.text import shipping_mark
 from cargoframe.sources import loads
+from cargoframe.sources.scratch import settle
 
 MARK_PREFIX = "FRT-"
 
@@ -96,7 +97,17 @@ def raw_orders(spark, sf_dir):
     )
 
 
-def raw_items(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """Lines with the columns of their order and part that items take."""
+    lines = base(spark, sf_dir, "lineitem").drop("l_extendedprice", "l_discount")
+    orders = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = base(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
+        parts, lines.l_partkey == parts.p_partkey
+    ).drop("o_orderkey", "p_partkey")
+
+
+def _items_of(joined):
     line, size = F.col("l_linenumber"), F.col("p_size")
     flags = F.concat("l_returnflag", "l_linestatus")
     status = F.lit(S.COMPLETED)
@@ -106,12 +117,7 @@ def raw_items(spark, sf_dir):
         "-", _text("l_orderkey"), _text("l_partkey"), _text("l_suppkey"), line.cast("string"),
         F.col("l_quantity").cast("int").cast("string"),
     )
-    lines = base(spark, sf_dir, "lineitem")
-    orders = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    parts = base(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        parts, lines.l_partkey == parts.p_partkey
-    )
+    named = [F.col("p_name").alias("description")] if "p_name" in joined.columns else []
     return joined.select(
         key.alias("id"),
         F.col("o_custkey").alias("customer_id"),
@@ -126,12 +132,24 @@ def raw_items(spark, sf_dir):
         F.when(size % 2 == 0, "inches").otherwise("cm").alias("dimension_unit"),
         (size.cast("double") / 4).alias("weight"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("p_name").alias("description"),
+        *named,
         F.when(line != 3, F.concat(F.lit("TRK"), _text("l_partkey"))).alias("tracking_number"),
         F.col("l_shipdate").alias("date_received"),
     )
 
 
+def raw_items(spark, sf_dir):
+    return _items_of(_lines(spark, sf_dir))
+
+
+def stored_items(spark, sf_dir, *columns):
+    """These columns of the items, whose joined lines are written once: for jobs that read the
+    table several times, as a table is in practice."""
+    joined = _lines(spark, sf_dir)
+    joined = settle(joined if "description" in columns else joined.drop("p_name"), "lines")
+    return loads.load_items(_items_of(joined)).select(*columns)
+
+
 def raw_history(spark, sf_dir):
     event = F.col("event_type")
     status = (
@@ -346,8 +364,8 @@ def logs(spark, sf_dir):
 
 def _one_pass(source: DataFrame, *cases) -> DataFrame:
     """Up to one row per (condition, columns) case and source row, from a single scan."""
-    made = F.array(*[F.when(condition, F.struct(*columns)) for condition, columns in cases])
-    return source.select(F.inline(F.filter(made, lambda row: row.isNotNull())))
+    made = F.array(*[F.when(condition, F.struct(F.lit(True).alias("_made"), *columns)) for condition, columns in cases])
+    return source.select(F.inline(made)).filter("_made").drop("_made")
 
 
 def _tagged(letter: str):
@@ -358,9 +376,9 @@ def _later(days: int):
     return (F.col("date_received") + F.expr(f"INTERVAL {days} DAYS")).alias("requested_at")
 
 
-def status_requests(spark, sf_dir):
+def status_requests(spark, sf_dir, table=None):
     """Status requests, up to four in turn per item, and some for items that do not exist."""
-    source = items(spark, sf_dir).select("id", "status", "quantity", "date_received")
+    source = (items(spark, sf_dir) if table is None else table).select("id", "status", "quantity", "date_received")
     names = F.array(*[F.lit(s) for s in S.ITEM_STATUSES])
     q = F.col("quantity")
 
