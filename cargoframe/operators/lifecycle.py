@@ -306,11 +306,12 @@ def delete_cascade(tables: dict[str, DataFrame], kind: str, ids: DataFrame) -> d
     changed = {f"{kind}s": delete_rows(tables[f"{kind}s"], ids)}
     if kind in ("container", "order"):
         items, link = tables["items"], f"{kind}_id"
-        gone = ids.select(F.col("id").alias(link))
-        cut = items.join(gone, link, "left_semi").withColumn(
-            link, F.lit(None).cast(items.schema[link].dataType)
-        )
-        changed["items"] = items.join(gone, link, "left_anti").select(items.columns).unionByName(cut)
+        # one pass over the items. The key is wrapped, so the join shuffles the ids once more and
+        # adaptive execution stays free to split a hot or NULL link
+        gone = ids.groupBy(F.struct("id").alias("_id")).agg(F.lit(True).alias("_gone")).select(
+            F.col("_id.id").alias(link), "_gone")
+        left = F.when(F.col("_gone").isNull(), F.col(link))
+        changed["items"] = items.join(gone, link, "left").withColumn(link, left).select(items.columns)
     elif kind == "customer":
         gone = ids.withColumn("customer_id", F.col("id"))
         changed["users"] = delete_rows(tables["users"], gone, "customer_id")
