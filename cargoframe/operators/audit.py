@@ -137,8 +137,9 @@ def notification_outbox(
         F.col("id").alias("customer_id"), "name", blank_to_null(F.col("email")).alias("email"), "phone")
     known = orders.select(F.col("id").alias("order_id"), F.col("order_ref").alias("_order_ref"))
     status = F.col("new_status")
-    joined = accepted_changes.join(people, "customer_id").join(known, "order_id", "left").join(
-        templates, "new_status", "left")
+    # names and addresses come last, so no shuffle carries them; templates have one row per status
+    joined = accepted_changes.join(known, "order_id", "left").join(people, "customer_id").join(
+        F.broadcast(templates), "new_status", "left")
     mailed, ordered = F.col("email").isNotNull(), F.col("_order_ref").isNotNull()
     chat = F.format_string(chat_text, F.col("name"), F.col("_order_ref"), status)
     joined = joined.filter(mailed | ordered)
