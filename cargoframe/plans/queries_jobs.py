@@ -554,7 +554,9 @@ def _(spark, d):
     extra="LEFT JOIN (SELECT id, weight * 10 AS price FROM t_items WHERE order_id % 2 = 0 "
           "OR quantity % 2 = 0) q ON q.id = i.id"))
 def _(spark, d):
-    items = X.items(spark, d)
+    items = X.stored_items(
+        spark, d, "id", "item_ref", "order_id", "description", "tracking_number", "quantity", "weight", "length", "width",
+        "height", "dimension_unit")
     quoted = items.filter("order_id % 2 = 0 OR quantity % 2 = 0").select(
         F.col("id").alias("item_id"), (F.col("weight") * 10).alias("price"))
     return plain(pricing.invoice_lines_quoted(X.orders(spark, d), items, quoted, X.settings(spark, FX)))
