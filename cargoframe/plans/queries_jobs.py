@@ -907,10 +907,11 @@ def _(spark, d):
 
 @query("m3_transition_stream", _STATUS_TABLE)
 def _(spark, d):
-    requests, root = _fed(spark, X.status_requests(spark, d), "transitions")
-    store = feeds.item_store(X.items(spark, d).select(
-        "id", "item_ref", "customer_id", "order_id", "container_id", "status",
-        "is_missing", "tracking_number", "description"), f"{root}/items")
+    columns = ["id", "item_ref", "customer_id", "order_id", "container_id", "status",
+               "is_missing", "tracking_number", "description"]
+    items = X.stored_items(spark, d, *columns, "quantity", "date_received")
+    requests, root = _fed(spark, X.status_requests(spark, d, items), "transitions")
+    store = feeds.item_store(items.select(*columns), f"{root}/items")
     feeds.transition_stream(requests, store.root, f"{root}/history", f"{root}/checkpoint").awaitTermination()
     return store.rows().select("id", "status", "is_missing")
 

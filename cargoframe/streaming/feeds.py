@@ -6,12 +6,15 @@ A stream equals its batch form on the same input in event order. Changes go to a
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql import types as T
 
-from cargoframe.operators.lifecycle import apply_judged_status, judge_item_status, sync_payment_status
+from cargoframe.operators.lifecycle import (
+    apply_judged_status, judge_item_status, moved_items, sync_payment_status,
+)
 from cargoframe.operators.skew import HOT_ROWS, join_unique
 from cargoframe.operators.throttle import micros
 from cargoframe.streaming.store import KeyedStore
@@ -92,17 +95,22 @@ class StatusAlerts(StatefulProcessor):
         self.waiting = handle.getListState("waiting", event)
 
     def handleInputRows(self, key, rows, timerValues):
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = self.waiting.exists()
-        earliest = None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = earliest = None
         for chunk in rows:
-            us = chunk["changed_at"].astype("datetime64[us]").astype("int64")
-            late = us < passed * 1000
-            if late.any():
-                yield self._out(key, [(s, u, i, True) for s, u, i in zip(
-                    chunk["new_status"][late], us[late], chunk["id"][late])])
-            events = [(int(u), i, s) for u, i, s in zip(us[~late], chunk["id"][~late].tolist(), chunk["new_status"][~late])]
+            # plain lists: a frame operation on the few rows of a record costs more than the rows
+            us = chunk["changed_at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            late, events = [], []
+            for u, i, s in zip(us, chunk["id"].tolist(), chunk["new_status"].tolist()):
+                if u < passed:
+                    late.append((s, u, i, True))
+                else:
+                    events.append((u, i, s))
+            if late:
+                yield self._out(key, late)
             if events:
+                if waiting is None:
+                    waiting = self.waiting.exists()
                 self.waiting.appendList(events)
                 first = min(e[0] for e in events)
                 earliest = first if earliest is None else min(earliest, first)
@@ -118,7 +126,7 @@ class StatusAlerts(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(tuple(e) for e in self.waiting.get())
         ready, rest = [e for e in held if e[0] < passed], [e for e in held if e[0] >= passed]
-        last, seen = self.kept.get() if self.kept.exists() else (None, "[]")
+        last, seen = self.kept.get() or (None, "[]")
         seen, out = json.loads(seen), []
         for us, event, status in ready:
             if last is not None and status != last and status not in seen:
@@ -132,14 +140,16 @@ class StatusAlerts(StatefulProcessor):
             self.handle.registerTimer(rest[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
-        yield self._out(key, out)
+        if out:
+            yield self._out(key, out)
 
     def _out(self, key, found):
         # plain objects: Arrow-backed text columns come as chunks, which state output refuses
-        frame = pd.DataFrame(found, columns=["new_status", "us", "event_id", "late"], dtype=object)
-        frame["changed_at"] = pd.to_datetime(frame.pop("us").astype("int64"), unit="us")
-        frame["record_id"] = pd.Series([key[0]] * len(frame), dtype=object)
-        return frame[["record_id", "new_status", "changed_at", "event_id", "late"]]
+        status, us, event, late = zip(*found)
+        return pd.DataFrame({
+            "record_id": pd.Series([key[0]] * len(found), dtype=object), "new_status": pd.Series(status, dtype=object),
+            "changed_at": np.array(us, dtype="int64").view("datetime64[us]"),
+            "event_id": pd.Series(event, dtype=object), "late": pd.Series(late, dtype=object)})
 
     def close(self):
         pass
@@ -252,14 +262,14 @@ def transition_stream(
         if store.is_done(state, checkpoint, number):
             return
         batch = batch.persist()
-        now = store.rows(state, store.buckets_of(batch.select(F.col("item_id").alias("id"))))
+        now = store.rows(state, store.buckets_of(batch.select(F.col("item_id").alias("id")))).select(
+            "id", "item_ref", "container_id", "status", "is_missing")  # what history and store take
         judged = judge_item_status(now, batch).persist()
         change = apply_judged_status(now, judged)
         change.history.write.mode("overwrite").parquet(_folder(history_root, number))
         if rejected_root is not None:
             change.rejected.write.mode("overwrite").parquet(_folder(rejected_root, number))
-        changed = change.table.join(change.accepted.select("id"), "id", "left_semi")
-        store.commit(version, state, changed, checkpoint, number)
+        store.commit(version, state, moved_items(now, judged), checkpoint, number)
         judged.unpersist()
         batch.unpersist()
 
