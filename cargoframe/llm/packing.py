@@ -113,7 +113,7 @@ def _first(path: str, width: int, end_id: int, keep_ids: bool):
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(docs), 1000):
-                found = encoder.batch(texts[low:low + 1000].to_pylist())
+                found = encoder.batch(texts[low:low + 1000])
                 for doc, ids in zip(docs[low:low + 1000], found):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), width):

@@ -143,7 +143,7 @@ def _encode(path: str, end_id: int, bits: int, shard_tokens: int):
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(ids_of), 500):
-                for doc, ids in zip(ids_of[low:low + 500], encoder.batch(texts[low:low + 500].to_pylist())):
+                for doc, ids in zip(ids_of[low:low + 500], encoder.batch(texts[low:low + 500])):
                     docs.append(doc)
                     held.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
                     size += len(held[-1])
@@ -190,9 +190,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
     """Documents decoded from the files: doc_id, start (ids of all documents before), n_tokens,
-    ids_crc32, token_ids (little-endian unsigned 32-bit)."""
+    ids_crc32, token_ids (little-endian unsigned 32-bit; null unless ``keep_ids``)."""
     ship(spark)
     shards = spark.read.schema(SCHEMA).parquet(path)
 
@@ -201,7 +201,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             ids, start, out = _matrix(row).decode().astype("<u4"), 0, []
             for doc, n in zip(row["doc_ids"], row["doc_tokens"]):
                 raw = ids[start:start + n].tobytes()
-                out.append((row["part"], row["shard"], doc, start, n, zlib.crc32(raw), raw))
+                out.append((row["part"], row["shard"], doc, start, n, zlib.crc32(raw), raw if keep_ids else None))
                 start += n
             names = ["part", "shard", "doc_id", "start", "n_tokens", "ids_crc32", "token_ids"]
             types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]

@@ -405,3 +405,30 @@ def test_chunked_encoding_of_awkward_texts():
         for low in range(0, len(made), 500):
             for text, ids in zip(made[low:low + 500], encoder.batch(made[low:low + 500])):
                 assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_units_of_texts_equal_whole():
+    import random
+
+    draw = random.Random(9)
+    bits = ["A", "é", "É", "H̱", "İ", "İ...", " ÷b", "×", "h", "\u0331", "\u0301", "<", "\u0338", "’", "\u3000", "\u00a0", "'", "'s",
+            "'re", " ", "  ", "\n", "\r\n", "\x00", "q" * 22, "z" * 23, "y" * 24, "Ж", "ȿ", "½", "_", "7", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    made = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(4000)]
+    for path in (BYTE, WORD):
+        encoder = Encoder(path)
+        assert encoder.pattern is not None
+        for text, ids in zip(made, encoder.batch(made)):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_learnt_without_their_marks():
+    """A word is encoded once, whatever stands around it, and what is remembered is small."""
+    encoder = Encoder(WORD)
+    encoder.batch(["word house Élan"])
+    known = encoder.noted
+    encoder.batch(["Word. house,\nÉLAN WORD!", "house\tword"])
+    assert encoder.noted <= known + 3
+    names = [chr(97 + a) + chr(97 + b) + chr(97 + c) + chr(97 + d) for a in range(26) for b in range(26) for c in range(26) for d in range(4)]
+    encoder.batch([" ".join(names)])
+    held = sum(x.nbytes for x in (encoder.keys, encoder.slots, encoder.starts, encoder.counts, encoder.ids))
+    assert encoder.noted > 70_000 and held < 16 << 20
