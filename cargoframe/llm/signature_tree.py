@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cargoframe.llm.components import components
-from cargoframe.llm.words import Words, free_names, lists, mix, packed_texts, signed, unpacked
+from cargoframe.llm.words import Words, buffers, free_names, lists, mix, packed_texts, signed, unpacked
 from cargoframe.sources.scratch import place, remove, settle, ship
 
-ROWS = 1000
+ROWS, PIECE = 1000, 1 << 20  # rows and bytes of text handled at once
 LANES = 8  # 64-bit words of a token bitmap
 CELLS = 1 << 18  # of the count sketch that orders shingles by rarity
 PARTS = 16  # rows that a sketch travels in
@@ -92,9 +92,18 @@ def _prefixes(sets: Sets, num: int, den: int, levels: np.ndarray) -> tuple[np.nd
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``ROWS`` rows and ``PIECE`` bytes of text, or of one longer text."""
     for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            yield batch.slice(low, ROWS)
+        if "size" in batch.schema.names:
+            ends = np.cumsum(batch.column("size").fill_null(0).to_numpy(zero_copy_only=False))
+        else:
+            ends = buffers(batch.column("text"))[1][1:]
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = min(max(low + 1, int(np.searchsorted(ends, before + PIECE, side="right"))), low + ROWS)
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _classes(k: int):

@@ -432,3 +432,23 @@ def test_words_are_learnt_without_their_marks():
     encoder.batch([" ".join(names)])
     held = sum(x.nbytes for x in (encoder.keys, encoder.slots, encoder.starts, encoder.counts, encoder.ids))
     assert encoder.noted > 70_000 and held < 16 << 20
+
+
+def test_slices_of_texts_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a " * 400_000, None, "b " * 400_000, "", "c " * 400_000, "d", "e " * 900_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [p.column(0).to_pylist() for p in signature_tree._batches([batch])]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= signature_tree.PIECE for p in parts)
+    size = pa.array([len(t or "") for t in texts])
+    packed = pa.RecordBatch.from_arrays([pa.array(texts), size], ["packed", "size"])
+    assert [len(p) for p in parts] == [p.num_rows for p in signature_tree._batches([packed])]
+
+
+def test_batches_for_python_stay_small(spark, docs):
+    from cargoframe.sources.scratch import ship
+
+    ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower() in ("4m", "4194304", "4194304b")
