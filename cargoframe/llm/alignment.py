@@ -32,13 +32,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cargoframe.llm.words import mix
+from cargoframe.llm import tokens as token_ids
+from cargoframe.llm.words import buffers, mix
 from cargoframe.sources.scratch import settle, ship
 
 #: Shards of the hash, keys to a bucket, pilots tried at once, slots to a block, vectors summed by one group.
 SHARDS, BUCKET, TRIES, BLOCK, FAN = 64, 4, 64, 1 << 14, 16
-#: Characters encoded together, and chunks that a Python worker remembers.
-SLICE, REMEMBERED = 1_000_000, 400_000
+#: Bytes encoded together; chunks, and units of A, that a Python worker remembers.
+SLICE, REMEMBERED, UNITS = 1_000_000, 100_000, 300_000
 #: Pairs that may be broadcast; vocabularies that allow more are refused.
 MOST_PAIRS = 4_000_000
 
@@ -58,14 +59,9 @@ class Vocabularies:
     """Both tokenizers and the bytes of every id. ``kind`` is the dtype of stored ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a = token_ids.shared(a_path, plain=True).tokenizer
         self.b = SentencePieceProcessor(model_file=b_path)
         alphabet = _byte_alphabet()
         self.a_bytes = [bytes(alphabet[c] for c in self.a.id_to_token(i) or "" if c in alphabet)
@@ -99,6 +95,25 @@ class Vocabularies:
         return a[a_at].astype(np.int64) * len(self.b_bytes) + b[b_at], a_at, b_at
 
 
+class _Bytes:
+    """The bytes of all ids in one array."""
+
+    def __init__(self, tokens: list[bytes], size: np.ndarray):
+        self.data, self.size = np.frombuffer(b"".join(tokens), np.uint8), size
+        self.starts = np.cumsum(size) - size
+
+    def spell(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which of the texts ``data[offsets]`` are the joined bytes of their ids."""
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        made = self.data[np.repeat(self.starts[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        length, want = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]), np.diff(offsets)
+        good = length == want
+        row = np.repeat(np.flatnonzero(good), want[good])
+        good[row[made[np.repeat(good, length)] != data[np.repeat(good, want)]]] = False
+        return good
+
+
 class _Flat:
     """Ids of all remembered chunks in one array that doubles when full."""
 
@@ -107,18 +122,16 @@ class _Flat:
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.n = 0
 
-    def extend(self, lists: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(counts.sum())
-        while self.end + total > len(self.data):
+    def extend(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.end + len(ids) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        while self.n + len(lists) > len(self.counts):
+        while self.n + len(counts) > len(self.counts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.data[self.end:self.end + total] = np.fromiter(chain.from_iterable(lists), self.data.dtype, total)
-        at = slice(self.n, self.n + len(lists))
+        self.data[self.end:self.end + len(ids)] = ids
+        at = slice(self.n, self.n + len(counts))
         self.counts[at], self.starts[at] = counts, self.end + np.cumsum(counts) - counts
-        self.end, self.n = self.end + total, self.n + len(lists)
+        self.end, self.n = self.end + len(ids), self.n + len(counts)
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.counts[which]
@@ -126,61 +139,80 @@ class _Flat:
         return self.data[shift + np.arange(len(shift))], counts
 
 
+def _edges(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
 class Encoder:
     """Ids and groups of whole texts from chunks between single blanks, each encoded once.
 
     A blank between two non-blanks starts a token in A (its pre-tokens are cut there) and in B (no
-    piece holds a blank after another character), so a group never crosses such a place.
+    piece holds a blank after another character), so a group never crosses such a place. New chunks
+    are checked and grouped as arrays; A's ids come from units that are remembered in their turn, so
+    a word met before with other punctuation is not encoded again.
     """
 
     def __init__(self, a_path: str, b_path: str):
         self.words = Vocabularies(a_path, b_path)
         if any(b" " in x.lstrip(b" ") for x in self.words.b_bytes):
             raise ValueError("a piece holds a blank behind another character; chunks would not be independent")
+        self.units = token_ids.shared(a_path, plain=True)
+        self.units.most = UNITS
+        self.a_bytes = _Bytes(self.words.a_bytes, self.words.a_size)
+        self.b_bytes = _Bytes(self.words.b_bytes, self.words.b_size)
+        # every id in decimal digits, with room for a sign behind them
+        names = [str(i) for i in range(max(len(self.words.a_bytes), len(self.words.b_bytes)))]
+        self.digits = np.array([len(x) for x in names], np.int64)
+        self.decimals = np.array(names, f"S{len(names[-1]) + 1}").view(np.uint8).reshape(len(names), -1)
         self._forget()
 
     def _forget(self) -> None:
+        # the number of groups is -1 for a chunk that is not faithful
         self.number: dict[str, int] = {}
         self.a, self.b = _Flat(self.words.kind), _Flat(self.words.kind)
-        self.groups: list[str] = []
-        self.n_groups, self.bad = [], []
+        self.groups: list[bytes] = []
+        self.n_groups = np.zeros(0, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
-        new = list(dict.fromkeys(c for c in chunks if c not in self.number))
+        """Encode chunks (without the blank before them) that are not known yet."""
+        new = list(set(chunks).difference(self.number))
         if not new:
             return
         v = self.words
-        a = [e.ids for e in v.a.encode_batch_fast(new, add_special_tokens=False)]
-        b = v.b.encode([c[1:] for c in new], num_threads=1)
-        for chunk, x, y in zip(new, a, b):
-            raw = chunk.encode()
-            good = b"".join([v.a_bytes[i] for i in x]) == raw == b"".join([v.b_bytes[i] for i in y])
-            text, n = self._group(x, y) if good else ("", 0)
-            self.number[chunk] = len(self.bad)
-            self.groups.append(text)
-            self.n_groups.append(n)
-            self.bad.append(not good)
-        self.a.extend(a)
-        self.b.extend(b)
-
-    def _group(self, a: list[int], b: list[int]) -> tuple[str, int]:
-        """The groups of one chunk in the digest's notation, and their number."""
-        if len(a) == 1 or len(b) == 1:
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1
-        size_a, size_b = self.words.a_bytes, self.words.b_bytes
-        ends, end = {}, 0
-        for j, y in enumerate(b):
-            end += len(size_b[y])
-            ends[end] = j + 1
-        out, end, i, j = [], 0, 0, 0
-        for k, x in enumerate(a):
-            end += len(size_a[x])
-            if end in ends:
-                out.append(f"{','.join(map(str, a[i:k + 1]))}|{','.join(map(str, b[j:ends[end]]))}")
-                i, j = k + 1, ends[end]
-        return ";".join(out), len(out)
-
-    def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, str, int]]:
+        column = pa.array([" " + c for c in new], pa.large_string())
+        data, offsets = buffers(column)
+        a, b = self.units.batch(column), v.b.encode(new, num_threads=1)
+        a_counts, b_counts = (np.fromiter(map(len, x), np.int64, len(new)) for x in (a, b))
+        a = np.concatenate(a).astype(v.kind)
+        b = np.fromiter(chain.from_iterable(b), v.kind, int(b_counts.sum()))
+        good = self.a_bytes.spell(a, a_counts, data, offsets) & self.b_bytes.spell(b, b_counts, data, offsets)
+        texts, n = self._group(a[np.repeat(good, a_counts)], b[np.repeat(good, b_counts)],
+                               np.where(good, a_counts, 0), np.where(good, b_counts, 0))
+        self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.groups += texts
+        self.n_groups = np.concatenate([self.n_groups, np.where(good, n, -1).astype(np.int32)])
+        self.a.extend(a, a_counts)
+        self.b.extend(b, b_counts)
+
+    def _group(self, a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The groups of every chunk in the digest's notation, and their number, from the ids of all."""
+        _, a_last, b_last = self.words.links(a, b)
+        a_ends, b_ends = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_ends[a_last] = b_ends[b_last] = 1
+        # B's tokens of the earlier groups stand before a token of A, A's of its own group too before one of B
+        a_at = np.arange(len(a)) + np.append(0, b_last + 1)[np.cumsum(a_ends) - a_ends]
+        b_at = np.arange(len(b)) + np.append(a_last + 1, 0)[np.cumsum(b_ends) - b_ends]
+        ids, signs = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        ids[a_at], ids[b_at] = a, b
+        signs[a_at], signs[b_at] = np.where(a_ends, ord("|"), ord(",")), np.where(b_ends, ord(";"), ord(","))
+        size, rows = self.digits[ids], self.decimals[ids]
+        rows[np.arange(len(ids)), size] = signs
+        text = rows[np.arange(rows.shape[1]) <= size[:, None]].tobytes()
+        at = _edges(size + 1)[_edges(a_counts + b_counts)].tolist()
+        n = np.diff(_edges(a_ends)[_edges(a_counts)])
+        return [text[low:high - 1] if high > low else b"" for low, high in zip(at, at[1:])], n
+
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, int]]:
         """A's ids, B's ids, the groups and their number, per text."""
         if len(self.number) > REMEMBERED:
             self._forget()
@@ -190,17 +222,21 @@ class Encoder:
                 parts.append([])
                 continue
             plain = not (_DOUBLE.search(text) or text[0].isspace() or text[-1].isspace())
-            parts.append([" " + c for c in (text.split(" ") if plain else _BETWEEN.split(text))])
-        self._learn(list(chain.from_iterable(parts)))
-        n_groups, bad = np.array(self.n_groups, np.int64), np.array(self.bad, bool)
-        none = np.zeros(0, self.words.kind)
-        for part in parts:
-            which = np.fromiter(map(self.number.__getitem__, part), np.int64, len(part))
-            if not len(which) or bad[which].any():
-                yield none, none, "", 0
-            else:
-                yield (self.a.take(which)[0], self.b.take(which)[0],
-                       ";".join([self.groups[i] for i in which.tolist()]), int(n_groups[which].sum()))
+            parts.append(text.split(" ") if plain else _BETWEEN.split(text))
+        chunks, counts = list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+        self._learn(chunks)
+        which = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        # a text with an unfaithful chunk has no tokens
+        row = np.repeat(np.arange(len(parts)), counts)
+        whole = np.ones(len(parts), bool)
+        whole[row[self.n_groups[which] < 0]] = False
+        which, first = which[whole[row]], _edges(np.where(whole, counts, 0))
+        (a, a_counts), (b, b_counts) = self.a.take(which), self.b.take(which)
+        a_at, b_at = _edges(a_counts)[first].tolist(), _edges(b_counts)[first].tolist()
+        n = np.diff(_edges(self.n_groups[which])[first]).tolist()
+        groups, first = [self.groups[i] for i in which.tolist()], first.tolist()
+        for i in range(len(parts)):
+            yield (a[a_at[i]:a_at[i + 1]], b[b_at[i]:b_at[i + 1]], b";".join(groups[first[i]:first[i + 1]]), n[i])
 
 
 #: One encoder per Python worker and pair of paths; a worker serves many tasks.
@@ -250,8 +286,8 @@ def _encode(a_path: str, b_path: str, keep_groups: bool):
                 rows, a_all, b_all = [], [], []
                 docs, texts = (batch.column(i).slice(low, high - low).to_pylist() for i in (0, 1))
                 for doc, (a, b, groups, n) in zip(docs, encoder.batch(texts)):
-                    digest = hashlib.sha256(groups.encode()).hexdigest() if len(a) else ""
-                    rows.append((doc, len(a), len(b), n, groups if keep_groups else None, digest,
+                    digest = hashlib.sha256(groups).hexdigest() if len(a) else ""
+                    rows.append((doc, len(a), len(b), n, groups.decode() if keep_groups else None, digest,
                                  a.tobytes(), b.tobytes(), None))
                     a_all.append(a)
                     b_all.append(b)

@@ -114,9 +114,10 @@ class Units:
 
 
 class Encoder:
-    """Ids as the library's ``encode(text, add_special_tokens=False)`` gives them."""
+    """Ids as the library's ``encode(text, add_special_tokens=False)`` gives them; with ``plain`` the
+    special tokens' strings inside texts are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -124,7 +125,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         parts = [part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
-        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenizer.encode_special_tokens = plain
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.pattern = _pattern(*parts)
         self.added = [t.content.encode() for t in added]
         # no unit of a text without an added token may hold one
@@ -143,6 +145,7 @@ class Encoder:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.closes = any(x.endswith("</w>") for x in names)
         self.edge = np.array([x.endswith("</w>") if self.closes else x.startswith("Ġ") for x in names])
+        self.most = REMEMBERED
         self._forget()
 
     def _forget(self) -> None:
@@ -293,7 +296,7 @@ class Encoder:
             x in raw for x in self.added) else []
         out = [np.zeros(0, np.uint32)] * len(spans)
         if self.pattern is not None and len(data):
-            if self.noted > REMEMBERED or self.end > HELD_IDS:
+            if self.noted > self.most or self.end > HELD_IDS:
                 self._forget()
             units = Units(data, offsets, self.pattern == "words")
             which = self._numbers(units)
@@ -307,12 +310,12 @@ class Encoder:
         return out
 
 
-#: One encoder per Python worker and tokenizer.
-_ENCODERS: dict[str, Encoder] = {}
+#: One encoder per Python worker, tokenizer and treatment of special tokens.
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def shared(path: str) -> Encoder:
+def shared(path: str, plain: bool = False) -> Encoder:
     """The encoder of this Python worker, with all it has learnt in earlier tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]

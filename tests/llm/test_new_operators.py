@@ -261,6 +261,20 @@ def test_alignment_of_odd_rows(odd, none):
     assert empty.documents.count() == 0 and empty.pairs.count() == 0
 
 
+def test_known_words_with_other_punctuation_are_not_encoded_again():
+    texts = ["Zarquem zarquem", "zarquem, zarquem. (zarquem) zarquem;\nzarquem <unk> zarquem!", None, "", "</s> zarquem <|endoftext|>"]
+    encoder = alignment.Encoder(A, B)
+    encoder.units = alignment.token_ids.Encoder(A, plain=True)
+    made = list(encoder.batch(texts[:1]))
+    before = encoder.units.noted
+    made += encoder.batch(texts[1:])
+    # of the new chunks only signs, the word at the start of a line and the named tokens are new
+    assert before == 2 and b"zarquem" not in b" ".join(encoder.units.long) and encoder.units.noted < 25
+    assert len(encoder.number) == 10
+    want, _ = brute_align(list(enumerate(texts)))
+    assert sorted((len(a), len(b), n, groups.decode()) for a, b, groups, n in made) == sorted((*r[:3], r[-1]) for r in want)
+
+
 def test_alignment_query(spark, sf, docs):
     rows = QUERIES["op13_alignment"](spark, sf)
     assert sorted(rows.columns) == sorted(["doc_id", *COLUMNS[:-1]])
