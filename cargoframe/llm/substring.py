@@ -19,12 +19,13 @@ one document. An empty table gives no row.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from cargoframe.llm.words import Words, lists, mix, packed_texts, unpacked
 from cargoframe.sources.scratch import ship
@@ -189,31 +190,43 @@ def _remove(window: int):
                 struct = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
                 null = column.is_null()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(words.counts.astype(np.int64)),
-                     pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
+                    [batch.column("doc_id"), batch.column("carried"), batch.column("text_hash"),
+                     pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
                      pa.array([None if n else k.decode("utf-8", "surrogatepass") for n, k in zip(null.to_pylist(), kept)], pa.string()),
                      lists(struct, np.array([len(s) for s in spans], np.int64))],
-                    ["doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept_text", "repeats"])
+                    ["doc_id", "carried", "text_hash", "n_words", "n_removed", "kept_sha256", "kept_text", "repeats"])
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, carry: Sequence[str] = ()) -> DataFrame:
     """Remove every word inside a ``window`` of words that also starts in a document with a
     smaller doc_id. One row per input row: doc_id, text_hash, n_words, n_removed, kept_sha256
     (kept words joined by one blank), kept_text (the text without the repeats, its white space
-    otherwise as it was) and repeats (first and end word of every maximal repeat).
+    otherwise as it was) and repeats (first and end word of every maximal repeat). Columns named in
+    ``carry`` travel with the text, so no join back to ``docs`` is needed: they come first, as the
+    fields of a struct ``carried``.
     """
     ship(docs.sparkSession)
     least = -(1 << 63)
     source = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc"),
-        F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+        F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"),
+        (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("carried"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = source.select("doc", "text_hash", "text").mapInArrow(_seeds(window, max(BUCKETS, size // BUCKET)), _PLACES)
     runs = places.groupBy("bucket").applyInArrow(_extend, "doc long, text_hash long, first int, n int")
     marks = runs.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("places"))
-    packed = source.mapInArrow(packed_texts, "doc_id long, doc long, text_hash long, packed binary, size long")
-    marked = packed.join(marks, ["doc", "text_hash"], "left").select("doc_id", "text_hash", "packed", "size", "places")
-    return marked.mapInArrow(
-        _remove(window), "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, "
-                         "kept_text string, repeats array<struct<first:int,end:int>>")
+    # the texts are shuffled this once, and whatever else of a row is wanted goes with them
+    fields = StructType().add("doc_id", "long").add("carried", source.schema["carried"].dataType)
+    packed = source.select("doc_id", "carried", "doc", "text_hash", "text").mapInArrow(packed_texts, _and(
+        fields, "doc long, text_hash long, packed binary, size long"))
+    marked = packed.join(marks, ["doc", "text_hash"], "left").select(
+        "doc_id", "carried", "text_hash", "packed", "size", "places")
+    out = marked.mapInArrow(_remove(window), _and(
+        fields, "text_hash long, n_words long, n_removed long, kept_sha256 string, "
+                "kept_text string, repeats array<struct<first:int,end:int>>"))
+    return out.select("carried", *(c for c in out.columns if c != "carried")) if carry else out.drop("carried")
+
+
+def _and(fields: StructType, more: str) -> StructType:
+    return StructType([*fields.fields, *StructType.fromDDL(more).fields])

@@ -35,17 +35,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text; a document that loses all its words goes.
     """
-    cut = substring.remove_repeats(docs, window=50).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"),
-        (F.col("n_removed") == F.col("n_words")).alias("_empty")).dropDuplicates(["_id", "_hash"])
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    changed = F.col("_kept").isNotNull()
-    out = joined.filter(~F.coalesce("_empty", F.lit(False))).withColumn(
-        "text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    cut = substring.remove_repeats(docs, window=50, carry=rest)
+    changed = F.col("n_removed") > 0
+    values = {c: F.col("carried").getField(c) for c in rest} | {"text": F.col("kept_text")}
+    if "n_chars" in rest:
+        values["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(
+            values["n_chars"])
+    return cut.filter(~(changed & (F.col("n_removed") == F.col("n_words")))).select(
+        *(values[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
