@@ -4,8 +4,10 @@ import hashlib
 import re
 import struct
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -204,6 +206,38 @@ def test_cells_come_by_falling_bound():
         assert bound >= c @ q + np.linalg.norm(q[:3]) * radius[cell // 7] + np.linalg.norm(q[3:]) * radius[cell % 7] - 1e-9
 
 
+def test_visits_leave_their_task_in_small_batches():
+    random = np.random.default_rng(5)
+    codes = random.normal(size=(40, 32))
+    cells = np.arange(1600)
+    index = hard_negatives.Index(codes, codes, np.ones(40), np.ones(40), cells, np.ones(1600, np.int64), np.full(1600, 100))
+    anchors = random.integers(-200, 200, size=(60, 64))
+    vectors = [v.astype("<i8").tobytes() for v in anchors]
+    windows = [[{"slot": 1, "low": 1, "high": 5}]] * 60
+    frame = pa.RecordBatch.from_pydict({
+        "anchor_key": list(range(60)), "anchor_id": list(range(60)), "label": [0] * 60, "vector": vectors,
+        "windows": windows, "reached": [None] * 60, "least": [None] * 59 + [1e9]})
+    found = list(hard_negatives._visit(SimpleNamespace(value=index), True)(iter([frame])))
+    assert len(found) > 1 and max(b.nbytes for b in found) < 8 << 20
+    visits = {(r["block"], a["anchor_key"]) for b in found for r in b.to_pylist() for a in r["anchors"]}
+    assert sum(len(r["anchors"]) for b in found for r in b.to_pylist()) == len(visits)
+    for k, q in enumerate(anchors.astype(float)):
+        cells, held, seeds = index.cells(q), 0, set()
+        while held < hard_negatives.SEED:
+            seeds.add(next(cells)[1])
+            held += 100
+        assert {b for b, a in visits if a == k} == (set(range(1600)) - seeds if k < 59 else set())
+
+
+def test_the_sample_of_the_codebooks_is_bounded_where_it_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "FIT", 100)
+    rows = spark.range(5000).selectExpr("id AS vec_id", "id % 7 AS label", "array(id, id * 3) AS q")
+    sample = hard_negatives._sample(rows, 5000)
+    want = rows.orderBy(F.xxhash64("vec_id", "label", "q")).limit(100).collect()
+    assert sorted(map(tuple, sample)) == sorted(tuple(r.q) for r in want)
+    assert hard_negatives._sample(rows.limit(0), 0).size == 0
+
+
 # alignment
 
 def brute_align(texts):
