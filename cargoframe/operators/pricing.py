@@ -10,6 +10,7 @@ from cargoframe.functions.times import due_date
 from cargoframe.operators.links import rate_card
 from cargoframe.operators.windows import group_totals, share_units, split_to_cents, units_total
 from cargoframe.schema import MONEY
+from cargoframe.sources.scratch import settle
 
 
 def _with_tier_rates(items: DataFrame, customers: DataFrame, package_rates: DataFrame) -> DataFrame:
@@ -158,13 +159,15 @@ def invoice_lines_quoted(
 ) -> DataFrame:
     """Split by the supplied prices (item_id, price) where all items of an order have one.
 
-    Other orders are split as in ``invoice_lines``; prices that add up to zero split equally.
+    Other orders are split as in ``invoice_lines``; prices that add up to zero split equally. Lines
+    with their prices, and priced lines, are written once: their columns would else move for every use.
     """
     prices = quoted.select("item_id", F.col("price").cast("double").alias("_quote"))
     lines = _item_lines(items).join(prices, "item_id", "left").select(
         "order_id", "item_id", "_label", share_units(F.col("cbm")).alias("_units"),
         share_units(F.col("_quote")).alias("_quoted"),
     )
+    lines = settle(lines, "quoted", lean=True)
     totals = lines.groupBy("order_id").agg(
         units_total("_units").alias("_volume"), units_total("_quoted").alias("_asked"),
         (F.count("_quoted") == F.count(F.lit(1))).alias("_full"),
@@ -176,7 +179,7 @@ def invoice_lines_quoted(
             "_total": F.when(F.col("_full"), F.col("_asked")).otherwise(F.col("_volume")),
         }
     ).drop("_quoted", "_asked", "_volume", "_full")
-    return _shaped(split_to_cents(rows, "net", ["item_id"], "order_id", "price"))
+    return _shaped(split_to_cents(rows, "net", ["item_id"], "order_id", "price", keep=True))
 
 
 def volume_quotes(requests: DataFrame, package_rates: DataFrame) -> DataFrame:

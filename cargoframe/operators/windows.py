@@ -6,6 +6,7 @@ from cargoframe.functions.measures import cents
 from cargoframe.functions.text import reference
 from cargoframe.operators.skew import Order, number_in_groups, number_rows
 from cargoframe.schema import MONEY
+from cargoframe.sources.scratch import settle
 
 
 def dedupe_tracking(items: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
@@ -80,9 +81,11 @@ def group_totals(lines: DataFrame, order_cols: list[str], key: str) -> DataFrame
     )
 
 
-def split_to_cents(rows: DataFrame, net: str, order_cols: list[str], key: str, out: str) -> DataFrame:
+def split_to_cents(rows: DataFrame, net: str, order_cols: list[str], key: str, out: str, keep: bool = False) -> DataFrame:
     """Allocation over rows that carry ``_units`` and their group's ``_total``, ``_n`` and ``_end``.
 
+    The priced rows are used three times; with ``keep`` they are written once, for rows that cost much to make.
+
     Only one row per group, the last line, is joined to what the other lines were given. The
     key is wrapped for that sum, so it gets a shuffle of its own after the partial sums and
     adaptive execution stays free to split a hot group in the join below.
@@ -95,6 +98,8 @@ def split_to_cents(rows: DataFrame, net: str, order_cols: list[str], key: str, o
     priced = rows.select(
         *kept, last.alias("_last"), cents(F.col(net).cast("double") * part).alias(out)
     )
+    if keep:
+        priced = settle(priced, "priced", lean=True)
     others = priced.filter("NOT _last")
     given = others.groupBy(F.struct(key).alias("_group")).agg(F.sum(out).alias("_given"))
     ends = priced.filter("_last").withColumn("_of", F.struct(key)).drop(out)

@@ -883,7 +883,7 @@ def _(spark, d):
 def _fed(spark, df, name):
     """Write a frame as the input of a stream: (stream, folder for its outputs)."""
     root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/in")
+    df.write.option("compression", "zstd").parquet(f"{root}/in")
     return spark.readStream.schema(df.schema).parquet(f"{root}/in"), root
 
 

@@ -107,6 +107,14 @@ def _lines(spark, sf_dir):
     ).drop("o_orderkey", "p_partkey")
 
 
+#: Columns of the joined lines that a column of the items is made of; all need those of the id.
+_MADE_OF = {
+    "customer_id": ["o_custkey"], "status": ["l_returnflag", "l_linestatus"], "is_missing": ["l_tax"],
+    "length": ["p_size"], "width": ["p_size"], "dimension_unit": ["p_size"], "weight": ["p_size"],
+    "description": ["p_name"], "date_received": ["l_shipdate"],
+}
+
+
 def _items_of(joined):
     line, size = F.col("l_linenumber"), F.col("p_size")
     flags = F.concat("l_returnflag", "l_linestatus")
@@ -144,10 +152,13 @@ def raw_items(spark, sf_dir):
 
 def stored_items(spark, sf_dir, *columns):
     """These columns of the items, whose joined lines are written once: for jobs that read the
-    table several times, as a table is in practice."""
+    table several times, as a table is in practice. No shuffle carries what the columns do not need."""
     joined = _lines(spark, sf_dir)
-    joined = settle(joined if "description" in columns else joined.drop("p_name"), "lines")
-    return loads.load_items(_items_of(joined)).select(*columns)
+    needed = {c for name in columns for c in _MADE_OF.get(name, [])}
+    spare = {c for made in _MADE_OF.values() for c in made} - needed
+    held = settle(joined.drop(*spare), "lines", lean=True)
+    filled = held.withColumns({c: F.lit(None).cast(joined.schema[c].dataType) for c in spare if c != "p_name"})
+    return loads.load_items(_items_of(filled)).select(*columns)
 
 
 def raw_history(spark, sf_dir):

@@ -1,13 +1,18 @@
 """Steps whose shuffles and passes must not grow faster than the tables."""
 
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 from types import SimpleNamespace
 
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from cargoframe.operators import audit, lifecycle as L, skew
 from cargoframe.schema import ITEM_STATUSES
+from cargoframe.sources import fixtures
+from cargoframe.sources.scratch import settle
 from cargoframe.streaming import feeds
+from tests.conftest import same
 
 START = datetime(2024, 1, 1)
 REQUEST = ("request_id string, item_id string, new_status string, role string, actor string, "
@@ -105,3 +110,62 @@ def test_no_frame_is_made_for_a_record_without_alerts():
     processor.waiting = SimpleNamespace(get=lambda: iter([(5, "e", "Sorting")]), clear=lambda: None)
     timer = SimpleNamespace(getCurrentWatermarkInMs=lambda: 1)
     assert list(processor.handleExpiredTimer(("k",), timer, None)) == []
+
+
+def test_shuffles_leave_the_disks_once_a_frame_is_kept(spark):
+    def held():
+        return len(list(Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+                             .localDirs()[0].getPath()).rglob("shuffle_*.data")))
+
+    settle(spark.range(0), "none", lean=True)
+    before = held()
+    grouped = spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = settle(grouped, "groups", lean=True)
+    deadline = time.time() + 20
+    while held() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert held() <= before and same(kept, grouped)
+
+
+def test_quoted_lines_move_once(spark, sf):
+    """Only closing lines and sums of the other lines are joined again, once the lines are priced."""
+    from __spark_entry__ import queries
+
+    text = _plan(spark, lambda: queries()["j6_invoice_lines_quoted"](spark, sf))
+    assert text.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_stored_lines_hold_what_the_items_need(spark, sf):
+    wanted = ["id", "order_id", "status", "quantity"]
+    items = fixtures.stored_items(spark, sf, *wanted)
+    held = set(spark.read.parquet(items.inputFiles()[0]).columns)
+    assert "l_linestatus" in held and not held & {"p_size", "p_name", "o_custkey", "l_tax", "l_shipdate"}
+    assert same(items, fixtures.items(spark, sf).select(*wanted))
+
+
+def test_ended_items_are_those_moved(spark):
+    """Also for an id that is repeated, with a container once, and for items without an accepted request."""
+    items = spark.createDataFrame(
+        [("a", "a", 1, ITEM_STATUSES[0], True), ("b", "b", None, ITEM_STATUSES[2], True), ("b", "b", 2, ITEM_STATUSES[2], None),
+         ("c", "c", 1, ITEM_STATUSES[4], False), ("d", "d", 1, ITEM_STATUSES[0], True)], ITEM)
+    asked = spark.createDataFrame(
+        [("r1", "a", ITEM_STATUSES[1], "super_admin", "x", START, None), ("r2", "a", ITEM_STATUSES[3], "super_admin", "x", START, None),
+         ("r3", "b", ITEM_STATUSES[1], "super_admin", "x", START, None), ("r4", "c", ITEM_STATUSES[1], "warehouse_staff", "x", START, None),
+         ("r5", None, ITEM_STATUSES[1], "super_admin", "x", START, None), ("r6", "d", ITEM_STATUSES[1], "super_admin", "x", START, None)], REQUEST)
+    judged = L.judge_item_status(items, asked)
+    moved = L.moved_items(items, judged).groupBy("id").agg(F.max(F.struct("status", "is_missing")).alias("s"))
+    want = sorted((r.id, r.s.status, r.s.is_missing) for r in moved.collect())
+    assert sorted(map(tuple, L.ended_items(judged).collect())) == want
+    assert [w[0] for w in want] == ["a", "b", "d"]
+
+
+def test_a_transition_batch_is_not_cached(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    asked = spark.createDataFrame([("r", "i1", ITEM_STATUSES[1], "super_admin", "desk", START, None)], REQUEST)
+    asked.write.parquet(f"{tmp_path}/in")
+    store = feeds.item_store(_items(spark, ["i1", "i2"]), f"{tmp_path}/items")
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: (_ for _ in ()).throw(AssertionError("cached")))
+    feeds.transition_stream(spark.readStream.schema(asked.schema).parquet(f"{tmp_path}/in"), store.root,
+                            f"{tmp_path}/history", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted((r.id, r.status) for r in store.rows().collect()) == [("i1", ITEM_STATUSES[1]), ("i2", ITEM_STATUSES[0])]
