@@ -6,6 +6,7 @@ from cargoframe.functions.statuses import step_index
 from cargoframe.functions.text import actor_email, blank_to_null, phone_chat
 from cargoframe.operators.skew import HOT_ROWS, join_unique
 from cargoframe.schema import ITEM_STATUSES, RECEIVED, SHIPPED
+from cargoframe.sources.scratch import settle
 
 
 def item_history(history: DataFrame, item_ids: DataFrame) -> DataFrame:
@@ -137,8 +138,10 @@ def notification_outbox(
         F.col("id").alias("customer_id"), "name", blank_to_null(F.col("email")).alias("email"), "phone")
     known = orders.select(F.col("id").alias("order_id"), F.col("order_ref").alias("_order_ref"))
     status = F.col("new_status")
+    # written once and narrow: the shuffles behind the changes go before those of the joins come
+    changes = settle(accepted_changes.select("request_id", "id", "customer_id", "order_id", "new_status"), "changes", lean=True)
     # names and addresses come last, so no shuffle carries them; templates have one row per status
-    joined = accepted_changes.join(known, "order_id", "left").join(people, "customer_id").join(
+    joined = changes.join(known, "order_id", "left").join(people, "customer_id").join(
         F.broadcast(templates), "new_status", "left")
     mailed, ordered = F.col("email").isNotNull(), F.col("_order_ref").isNotNull()
     chat = F.format_string(chat_text, F.col("name"), F.col("_order_ref"), status)
