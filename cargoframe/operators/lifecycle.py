@@ -32,7 +32,7 @@ class Change(NamedTuple):
 
 
 #: Columns of an item that its changes show; those that a table lacks are NULL.
-ITEM_DETAILS = ("item_ref", "customer_id", "order_id", "tracking_number", "description")
+ITEM_DETAILS = ("item_ref", "customer_id", "order_id", "tracking_number", "description", "is_missing")
 #: The order in which requests for one record take effect.
 IN_TURN = [("requested_at", "asc"), ("request_id", "asc")]
 
@@ -120,6 +120,16 @@ def moved_items(items: DataFrame, judged: DataFrame, how: str = "inner") -> Data
     ).select(items.columns)
 
 
+def ended_items(judged: DataFrame) -> DataFrame:
+    """id, status and is_missing of the items that accepted requests name, from the judged requests alone."""
+    taken = F.col("reason").isNull()
+    ends = judged.groupBy(F.col("item_id").alias("id")).agg(
+        F.max(F.when(taken, F.struct("requested_at", "request_id", "new_status"))).alias("_last"),
+        F.bool_or(taken & F.col("new_status").isin(*CLEARS_MISSING)).alias("_cleared"), F.max("is_missing").alias("_missing"))
+    return ends.filter("_last IS NOT NULL").select(
+        "id", F.col("_last.new_status").alias("status"), F.when(F.col("_cleared"), False).otherwise(F.col("_missing")).alias("is_missing"))
+
+
 def apply_judged_status(items: DataFrame, judged: DataFrame) -> Change:
     table = moved_items(items, judged, "left")
     accepted = _accepted(judged).select(

@@ -13,10 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql import types as T
 
 from cargoframe.operators.lifecycle import (
-    apply_judged_status, judge_item_status, moved_items, sync_payment_status,
+    apply_judged_status, ended_items, judge_item_status, sync_payment_status,
 )
 from cargoframe.operators.skew import HOT_ROWS, join_unique
 from cargoframe.operators.throttle import micros
+from cargoframe.sources.scratch import remove, settle
 from cargoframe.streaming.store import KeyedStore
 
 LATENESS_DAYS = 1
@@ -243,6 +244,10 @@ def order_store(orders: DataFrame, root: str, **options) -> KeyedStore:
     return KeyedStore.create(timed, root, ORDER_CHANGES, key="sale_id", **options)
 
 
+def _small(rows: DataFrame):
+    return rows.write.mode("overwrite").option("compression", "zstd")
+
+
 def _folder(root: str, batch: int) -> str:
     return f"{root}/batch={batch}"
 
@@ -261,17 +266,16 @@ def transition_stream(
         version, state = store.state()
         if store.is_done(state, checkpoint, number):
             return
-        batch = batch.persist()
         now = store.rows(state, store.buckets_of(batch.select(F.col("item_id").alias("id")))).select(
             "id", "item_ref", "container_id", "status", "is_missing")  # what history and store take
-        judged = judge_item_status(now, batch).persist()
+        # written once instead of cached: a cache takes the memory of the sorts, which then spill, and more disk
+        judged = settle(judge_item_status(now, batch), "judged", lean=True)
         change = apply_judged_status(now, judged)
-        change.history.write.mode("overwrite").parquet(_folder(history_root, number))
+        _small(change.history).parquet(_folder(history_root, number))
         if rejected_root is not None:
-            change.rejected.write.mode("overwrite").parquet(_folder(rejected_root, number))
-        store.commit(version, state, moved_items(now, judged), checkpoint, number)
-        judged.unpersist()
-        batch.unpersist()
+            _small(change.rejected).parquet(_folder(rejected_root, number))
+        store.commit(version, state, ended_items(judged), checkpoint, number)
+        remove(batch.sparkSession, *{f.rsplit("/", 1)[0] for f in judged.inputFiles()})
 
     return (
         requests.writeStream.foreachBatch(apply)

@@ -14,7 +14,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cargoframe.sources.scratch import remove
+from cargoframe.sources.scratch import free_shuffles, remove
 from cargoframe.sources.tables import Conflict, create_once, names_in, read_small
 
 BUCKETS, COMPACT = 64, 8
@@ -123,4 +123,5 @@ def _write(rows: DataFrame, key: Column, buckets: int, path: str) -> None:
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if not isinstance(
         rows.schema[c].dataType, T.MapType)]), F.lit(4))
     dealt = rows.withColumn("_bucket", _bucket(key, buckets)).withColumn("_spread", spread)
-    dealt.repartition("_bucket", "_spread").drop("_spread").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    dealt.repartition("_bucket", "_spread").drop("_spread").write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(path)
+    free_shuffles(rows.sparkSession)
